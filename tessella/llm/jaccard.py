@@ -26,8 +26,8 @@ from tessella.llm import kernel as K
 from tessella.llm.graph import components
 from tessella.llm.store import BROADCAST_ROWS, discard, stash, trim
 
-#: A token counts as heavy from so many sets on; the number rises with the corpus so that at most MOST_HEAVY tokens are.
-HEAVY_FROM, MOST_HEAVY = 48, BROADCAST_ROWS
+#: A token counts as heavy from so many sets on; the number doubles until at most MOST_HEAVY tokens are.
+HEAVY_FROM, MOST_HEAVY = 24, BROADCAST_ROWS
 #: Tokens a task counts at a time when it looks for heavy ones.
 CHUNK_TOKENS = 4_000_000
 #: An inverted list longer than this sends its token back as heavy, and the lists are built again.
@@ -36,6 +36,7 @@ LONGEST_LIST = 512
 BLOCK = 256
 #: Cost of a posting (sorted, scanned, filtered) against that of an enumerated subset (hashed).
 POSTING_COST = 4
+_SUBSET = 1 << 62
 _PAIR = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -132,15 +133,17 @@ def _postings(k: int, num: int, den: int, small: int, heavy):
                     f = n - _need(n, num, den)
                     first, light = _ordered(s, table, f + 1 + (n <= small))
                     hot = light < len(first)
-                    base = n << 32 | int(hot)
+                    # Up to its last light token a set is compared whole; with heavy ones behind, in all its light tokens.
+                    end = 0x7FFFFFFF if hot else int(first[min(light, f + 1) - 1] >> np.uint64(33))
+                    base = n << 32 | end << 1 | int(hot)
                     if hot:
                         put(1, first, sid, np.full(len(first), base, np.int64))
                     if n <= small and n > 1:
                         a, b = np.triu_indices(light, 1)
-                        put(0, K.mix(first[a] * _PAIR[0] + K.mix(first[b] * _PAIR[1])), sid, np.full(len(a), base | 0x7FFFFFFF << 1, np.int64))
+                        put(0, K.mix(first[a] * _PAIR[0] + K.mix(first[b] * _PAIR[1])), sid, np.full(len(a), base | _SUBSET, np.int64))
                     if n > small or n * den >= small * num:
                         m = min(light, f + 1)
-                        put(0, first[:m], sid, base | np.arange(m, dtype=np.int64) << 1)
+                        put(0, first[:m], sid, np.full(m, base, np.int64))
                 if out:
                     kind, token, sid, meta = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(K.signed(token)), pa.array(K.signed(sid)), pa.array(meta)], names=["kind", "token", "sid", "meta"])
@@ -148,42 +151,42 @@ def _postings(k: int, num: int, den: int, small: int, heavy):
     return run
 
 
-_PAIRS = "late long, a long, b long, n_a int, n_b int, p_a int, p_b int"
+_PAIRS = "late long, a long, b long, need int, rest int"
 
 
 def _scan_lists(num: int, den: int):
-    """Scan lists sorted by token: size- and position-filtered pairs, or the token itself where a list is too long."""
+    """Scan lists sorted by token: pairs whose sizes allow a link, or the token itself where a list is too long.
+
+    rest: how much overlap a pair may still have beyond the tokens of its shared lists. The set whose prefix ends first
+    has been compared in all of its prefix, so only its other elements are open.
+    """
+    schema = pa.schema([("late", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("rest", pa.int32())])
 
     def pairs(token, sid, meta):
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(token)), bool), token[1:] != token[:-1])))
         length = np.diff(np.append(first, len(token)))
         late = token[first[length > LONGEST_LIST]]
-        left, right = [], []
         for g in np.unique(length):
-            if 2 <= g <= LONGEST_LIST:
-                at, (x, y) = first[length == g], np.triu_indices(int(g), 1)
-                left.append((at[:, None] + x[None, :]).ravel())
-                right.append((at[:, None] + y[None, :]).ravel())
-        i = np.concatenate(left) if left else np.zeros(0, np.int64)
-        j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        n_i, n_j = meta[i] >> 32, meta[j] >> 32
-        swap = (n_i > n_j) | ((n_i == n_j) & (sid[i] > sid[j]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        n_i, n_j = meta[i] >> 32, meta[j] >> 32
-        p_i, p_j = (meta[i] >> 1) & 0x7FFFFFFF, (meta[j] >> 1) & 0x7FFFFFFF
-        need = -((n_i + n_j) * -num // (num + den))
-        whole = (p_i == 0x7FFFFFFF) | (p_j == 0x7FFFFFFF)
-        most = np.minimum(p_i, p_j) + np.minimum(n_i - p_i, n_j - p_j)
-        keep = (sid[i] != sid[j]) & (n_i * den >= n_j * num) & (whole | (most >= need)) & ~((meta[i] & 1 == 1) & (meta[j] & 1 == 1))
-        i, j, p_i, p_j, whole = i[keep], j[keep], p_i[keep], p_j[keep], whole[keep]
-        p_i, p_j = np.where(whole, -1, p_i), np.where(whole, -1, p_j)
-        for lo in range(0, max(1, len(i)), 100_000):
-            c = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(i[c]), pa.int64()), pa.array(sid[i[c]]), pa.array(sid[j[c]]), *(pa.array(x.astype(np.int32)) for x in (meta[i[c]] >> 32, meta[j[c]] >> 32, p_i[c], p_j[c]))], schema=SCHEMA)
+            if not 2 <= g <= LONGEST_LIST:
+                continue
+            x, y = np.triu_indices(int(g), 1)
+            every = first[length == g]
+            step = max(1, 200_000 // len(x))
+            for lo in range(0, len(every), step):
+                at = every[lo : lo + step, None]
+                i, j = (at + x[None, :]).ravel(), (at + y[None, :]).ravel()
+                n_i, n_j = (meta[i] >> 32) & 0x3FFFFFFF, (meta[j] >> 32) & 0x3FFFFFFF
+                keep = (np.minimum(n_i, n_j) * den >= np.maximum(n_i, n_j) * num) & ~((meta[i] & 1 == 1) & (meta[j] & 1 == 1))
+                i, j, n_i, n_j = i[keep], j[keep], n_i[keep], n_j[keep]
+                need = -((n_i + n_j) * -num // (num + den))
+                e_i, e_j = meta[i] & 0xFFFFFFFE, meta[j] & 0xFFFFFFFE
+                open_i, open_j = (-(n * -num // den) - 1 for n in (n_i, n_j))
+                rest = np.where(e_i < e_j, open_i, np.where(e_j < e_i, open_j, np.maximum(open_i, open_j)))
+                rest = np.where((meta[i] | meta[j]) & _SUBSET != 0, need, rest)
+                a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(rest.astype(np.int32))], schema=schema)
         if len(late):
-            yield pa.RecordBatch.from_arrays([pa.array(late), *(pa.nulls(len(late), f.type) for f in list(SCHEMA)[1:])], schema=SCHEMA)
-
-    SCHEMA = pa.schema([("late", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((x, pa.int32()) for x in ("n_a", "n_b", "p_a", "p_b"))])
+            yield pa.RecordBatch.from_arrays([pa.array(late), *(pa.nulls(len(late), f.type) for f in list(schema)[1:])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -315,17 +318,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     profile = stash(text.mapInArrow(_profile(k), "kind byte, key long, id long, n long"), "profile")
     head = profile.filter("kind = 0").select("key", F.col("id").alias("sid"), "n")
-    total = head.agg(F.sum("n"), F.max("n")).first()
     sizes = {r.n: r["count"] for r in head.filter("n between 1 and 64").groupBy("n").count().collect()}  # 64 rows at most
     small = boundary(sizes, num, den)
-    least = max(HEAVY_FROM, (total[0] or 0) // MOST_HEAVY)
-    often = profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    found = np.array([r.id for r in often.select("id").collect()], np.int64)  # total / least at most
+    often = stash(profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_FROM), "often")
+    least = HEAVY_FROM
+    while often.filter(F.col("n") >= least).count() > MOST_HEAVY:
+        least *= 2
+    found = np.array([r.id for r in often.filter(F.col("n") >= least).select("id").collect()], np.int64)  # MOST_HEAVY at most
+    discard(often)
 
     light = None
     while True:
         heavy = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
-        posted = stash(text.select("text").mapInArrow(_postings(k, num, den, small, heavy), "kind byte, token long, sid long, meta long").filter("kind = 0 or kind = 1"), "postings")
+        posted = stash(text.select("text").mapInArrow(_postings(k, num, den, small, heavy), "kind byte, token long, sid long, meta long"), "postings")
         lists = posted.filter("kind = 0").select("token", "sid", "meta").repartition("token").sortWithinPartitions("token", "sid")
         discard(light)
         light = stash(lists.mapInArrow(_scan_lists(num, den), _PAIRS), "pairs")
@@ -334,14 +339,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         found = np.union1d(found, np.array(late, np.int64))
         discard(posted)
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(num) / F.lit(num + den))
-    pairs = (
-        light.filter("a is not null")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("o"), F.min("p_a").alias("whole"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        .filter((F.col("whole") < 0) | (F.col("o") + F.least(F.col("n_a") - 1 - F.col("p_a"), F.col("n_b") - 1 - F.col("p_b")) >= need))
-        .select("a", "b")
-    )
+    pairs = light.filter("a is not null").groupBy("a", "b").agg(F.count("*").alias("o"), F.max("need").alias("need"), F.max("rest").alias("rest")).filter("o + rest >= need").select("a", "b")
     pairs = stash(pairs, "candidates")
     discard(light)
     tied = posted.filter("kind = 1").select("sid", F.col("token").bitwiseXOR(F.lit(0x5A5A5A5A5A5A5A5A)).alias("token")).distinct()

@@ -21,7 +21,7 @@ SHINGLES = f"""
 words AS (SELECT doc_id, regexp_extract_all({LOWER}, {BLANK_WORDS}) AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
 flat AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
 pairs AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS o FROM flat a JOIN flat b ON a.g = b.g AND a.c < b.c GROUP BY ALL),
