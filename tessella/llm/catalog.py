@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import q_near
+from tessella.llm import q_leaks, q_mix, q_near
 
-MODULES = [q_near]
+MODULES = [q_near, q_leaks, q_mix]
 
 
 def queries() -> dict:
