@@ -27,11 +27,11 @@ from tessella.llm.graph import components
 from tessella.llm.store import BROADCAST_ROWS, discard, stash, trim
 
 #: A token counts as heavy from so many sets on; the number doubles until at most MOST_HEAVY tokens are.
-HEAVY_FROM, MOST_HEAVY = 24, BROADCAST_ROWS
+HEAVY_FROM, MOST_HEAVY = 16, BROADCAST_ROWS
 #: Tokens a task counts at a time when it looks for heavy ones.
 CHUNK_TOKENS = 4_000_000
 #: An inverted list longer than this sends its token back as heavy, and the lists are built again.
-LONGEST_LIST = 512
+LONGEST_LIST = 256
 #: Sets of a block in a family.
 BLOCK = 256
 #: Cost of a posting (sorted, scanned, filtered) against that of an enumerated subset (hashed).
@@ -75,7 +75,7 @@ def _profile(k: int):
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             at = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
             count = np.diff(np.append(at, len(every)))
-            pick = count >= 3
+            pick = count >= 2
             m = int(pick.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(K.signed(every[at[pick]])), pa.array(count[pick].astype(np.int64))], names=["kind", "key", "id", "n"])
 
