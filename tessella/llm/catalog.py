@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import q_leaks, q_mix, q_near
+from tessella.llm import q_classify, q_leaks, q_mix, q_near
 
-MODULES = [q_near, q_leaks, q_mix]
+MODULES = [q_near, q_leaks, q_mix, q_classify]
 
 
 def queries() -> dict:

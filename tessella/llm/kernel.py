@@ -83,8 +83,15 @@ class Words:
         at = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(at, size)
         power = np.cumprod(np.full(int(size.max()), _BASE, dtype=np.uint64))
-        code = (_FOLDED if fold else BYTE_CODE)[data[inside]]
-        self.hash = mix(np.add.reduceat(code * power[place], at))
+        code = (_FOLDED if fold else BYTE_CODE)[data[inside]] * power[place]
+        self.hash = mix(np.add.reduceat(code, at))
+        self._code, self._place, self._at = code, place, at
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        return mix(np.add.reduceat(np.where(self._place < n, self._code, np.uint64(0)), self._at) ^ np.uint64(n))
 
 
 def grams(word: np.ndarray, k: int) -> np.ndarray:

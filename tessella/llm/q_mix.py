@@ -1,4 +1,4 @@
-"""Query op9: mixing sources to target weights."""
+"""Queries op9 (mixing) and op8 (sharding)."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import table
 from tessella.llm.mixing import mix_sources
+from tessella.llm.sharding import shard_documents
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op9_mixing": op9_mixing}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {"op9_mixing": op9_mixing, "op8_sharding": op8_sharding}
 ORACLES: dict[str, str] = {}
