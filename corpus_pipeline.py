@@ -1,14 +1,79 @@
-"""The training-data pipeline: STAGES applied to documents one after another."""
+"""The training-data pipeline: STAGES applied to documents one after another.
+
+toxicity drops documents that the classifier chain rejects; near_duplicates keeps the document with the smallest id of
+each group; decontamination drops documents with benchmark passages; mixing repeats or leaves out documents so that
+sources meet their target weights; sharding adds the shard and slot of each row.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.attach import attach
+from tessella.llm.common import table
+from tessella.llm.decontaminate import find_leaks
+from tessella.llm.jaccard import jaccard_classes
+from tessella.llm.mixing import mix_sources
+from tessella.llm.sharding import shard_documents
+from tessella.llm.store import BROADCAST_ROWS, stash
+from tessella.llm.toxicity import CATEGORIES, fit_toxicity, score_toxicity
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column beside their text, for operators that pass an id through."""
+    return docs.select(F.struct("*").alias("row"), F.col("text"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Train on labelled documents, drop every document that the chain rejects. Null texts stay."""
+    chain = fit_toxicity(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return score_toxicity(_carried(docs), chain, id_col="row").filter("not toxic").select("doc_id.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows that repeat an id count once.
+
+    Texts without words have no links and stay, as do groups in which no row has an id.
+    """
+    classes = stash(jaccard_classes(docs), "classes")
+    gone = classes.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct()
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = docs.join(side, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if classes.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
+        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
+    return out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop every document in which a window of a benchmark item occurs."""
+    found = find_leaks(_carried(docs), table(spark, sf_dir, "benchmark"), id_col="row")
+    return found.filter("size(spans) = 0").select("doc_id.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its copies in the mix: not at all, or up to three times."""
+    mixed = mix_sources(docs)
+    taken = attach(docs, mixed, "doc_id", "text_hash", ["copies"])
+    return taken.filter("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with shard (0 to 39) and slot."""
+    dealt = shard_documents(docs, shards=40)
+    out = attach(docs, dealt, "doc_id", "text_hash", ["shard", "slot"])
+    return out.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: The first stage is a trained model, which SQL cannot express; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply every stage to the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply every stage to the documents of sf_dir, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

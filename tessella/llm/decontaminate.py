@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import kernel as K
 
@@ -122,7 +123,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_SCHEMA = "key long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+
+
+def _schema(key: T.DataType) -> T.StructType:
+    span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())
+    return T.StructType().add("key", key).add("text", T.StringType()).add("n_words", T.LongType()).add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
 
 
 def _scan(index, last: bool):
@@ -163,14 +168,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are runs of ASCII digits and letters (case folded) and of any non-ASCII characters. Ten consecutive words of
     an item make a window; an item of one to nine words is one window. Null or empty texts have no words and no hits;
     null or empty items are never found; an item without an id is named "null"; rows that repeat an item count once.
-    Repeated documents stay repeated. Only the named columns are read. Empty benchmark: no hits; empty docs: no rows.
+    Repeated documents stay repeated. id_col may be a struct that carries a whole row along. Only the named columns
+    are read. Empty benchmark: no hits; empty docs: no rows.
     """
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    schema = _schema(out.schema["key"].dataType)
     held = None
     for block in _blocks(benchmark, item_col, item_text_col):
         if held is not None:
-            out = out.mapInArrow(_scan(spark.sparkContext.broadcast(held), False), _SCHEMA)
+            out = out.mapInArrow(_scan(spark.sparkContext.broadcast(held), False), schema)
         held = block
-    out = out.mapInArrow(_scan(spark.sparkContext.broadcast(held), True), _SCHEMA)
+    out = out.mapInArrow(_scan(spark.sparkContext.broadcast(held), True), schema)
     return out.select(F.col("key").alias("doc_id"), "n_words", "spans", "items")

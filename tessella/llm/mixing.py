@@ -16,7 +16,7 @@ from tessella.llm.store import stash
 
 NEWTON_STEPS = 40
 #: Documents of a source are laid out along [0, 1) by hash, in cells of about so many rows.
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:

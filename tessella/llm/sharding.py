@@ -59,7 +59,7 @@ def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
     linked = F.col("rows") > 1
     spread = F.pmod(F.xxhash64("place", F.lit(7)), F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.lit(1)))
     cell = F.when(linked, F.pmod(F.xxhash64("g"), F.lit(cells))).otherwise(cells + F.pmod(F.xxhash64("place"), F.lit(cells)))
-    laid = state.select("place", "g", "shard", "doc_id", "size", "text_crc32", cell.alias("cell"), F.when(linked, spread).otherwise(F.lit(0)).alias("part"))
+    laid = state.select("place", "g", "shard", "doc_id", "size", "text_crc32", "text_hash", cell.alias("cell"), F.when(linked, spread).otherwise(F.lit(0)).alias("part"))
     laid = stash(laid, "laid")
     count = laid.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
     before = count.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "part")) - F.col("n")).drop("n")
@@ -68,7 +68,7 @@ def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard, group).
+    """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard, group, text_hash).
 
     Law `rows`: counts of any two shards differ by one at most. size is the UTF-8 length of the text plus overhead,
     text_crc32 its unsigned CRC-32, slot runs gapless from 0 in every shard, grown_shard is null under this law. Rows of
@@ -78,7 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     (which of equal rows gets which slot is arbitrary). Only the two named columns are read. No rows, no shards.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    state = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.crc32(text)).alias("g"))
+    state = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.crc32(text)).alias("g"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     state = state.withColumn("place", F.xxhash64("doc_id", "g")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
     state = stash(state, "state")
     total = state.count()
@@ -107,4 +107,4 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     out = ranked.withColumn("index", F.when(over, index)).withColumn("hole", F.when(over, hole))
     slot = F.when(over, F.col("index") - _pick([x[0] for x in lack], F.col("hole")) + _pick([x[2] for x in lack], F.col("hole"))).otherwise(F.col("rank"))
     shard = F.when(over, _pick([x[1] for x in lack], F.col("hole"))).otherwise(F.col("shard"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("g").alias("group"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("g").alias("group"), "text_hash")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import kernel as K
 
@@ -148,18 +149,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     return train_chain([np.frombuffer(b, np.uint32) for _, b, _ in got], np.array([y for *_, y in got]).reshape(len(got), len(categories)), list(categories))
 
 
-def _score(chain, out_schema: pa.Schema):
+def _score(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = chain.value
         for batch in batches:
             data, offs = K.buffers(batch.column("text"))
             for lo, hi, d, o in K.slices(data, offs):
-                words = K.Words(d, o, K.NON_ALNUM)
-                p = model.score(_features(words), hi - lo)
-                part = batch.slice(lo, hi - lo)
-                kept = [part.column(c) for c in part.schema.names if c != "text" or "text" in out_schema.names]
-                hit = p >= np.array(model.cuts)[None, :]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(list(p), pa.list_(pa.float64())), pa.array(hit[:, -1])], names=out_schema.names)
+                p = model.score(_features(K.Words(d, o, K.NON_ALNUM)), hi - lo)
+                toxic = p[:, -1] >= model.cuts[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(list(p), pa.list_(pa.float64())), pa.array(toxic)], names=["doc_id", "p", "toxic"])
 
     return run
 
@@ -168,13 +166,13 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     """One row per row of docs: (doc_id, p_<category>..., toxic): the last category's decision.
 
     Null or empty texts have no words: their probability is the models' bias, never above the threshold unless the
-    labelled corpus is mostly toxic. Null ids and repeated rows pass through. Only the named columns are read.
+    labelled corpus is mostly toxic. Null ids and repeated rows pass through; id_col may be a struct that
+    carries a whole row along. Only the named columns are read.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("p", pa.list_(pa.float64())), ("toxic", pa.bool_())])
-    kind = text.schema["doc_id"].dataType.simpleString()
-    out = text.mapInArrow(_score(spark.sparkContext.broadcast(chain), schema), f"doc_id {kind}, p array<double>, toxic boolean")
+    schema = T.StructType().add(text.schema["doc_id"]).add("p", T.ArrayType(T.DoubleType())).add("toxic", T.BooleanType())
+    out = text.mapInArrow(_score(spark.sparkContext.broadcast(chain)), schema)
     return out.select("doc_id", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(chain.names)], "toxic")
 
 
