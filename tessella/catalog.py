@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessella.plans import q_vectors
+
+PLANS = [q_vectors]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in PLANS for name, f in m.CATALOG.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in PLANS for name, sql in m.CATALOG.oracles.items()}
