@@ -14,8 +14,9 @@ DEFAULT_MEDIANS = {"duplication": 10_400, "utility": 13_500, "overengineering":
 STATUSES = ["PENDING", "IN_PROGRESS", "DONE", "ERROR", "CACHED", "SKIPPED"]
 
 
-def _millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+def _between(start: Column, end: Column) -> Column:
+    """Whole milliseconds from one time to another."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000).cast("long")
 
 
 def rollup(events: DataFrame, dims: list[str], sums: list[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def hit_rate(read: Column, fresh: Column, creation: Column) -> Column:
 
 def run_table(runs: DataFrame, now: Column) -> DataFrame:
     """runs with duration_ms up to their end, or to now while they go on."""
-    return runs.withColumn("duration_ms", _millis(F.coalesce("completed_at", now)) - _millis(c("started_at")))
+    return runs.withColumn("duration_ms", _between(c("started_at"), F.coalesce("completed_at", now)))
 
 
 def run_info(files: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def run_info(files: DataFrame) -> DataFrame:
 def timeline(events: DataFrame, run: str, time: str) -> DataFrame:
     """Events with their place within the run and the time since the one before."""
     w = Window.partitionBy(run).orderBy(time, *[x for x in events.columns if x.endswith("_id")])
-    return events.withColumn("place", F.row_number().over(w)).withColumn("since", _millis(c(time)) - _millis(F.lag(time).over(w)))
+    return events.withColumn("place", F.row_number().over(w)).withColumn("since", _between(F.lag(time).over(w), c(time)))
 
 
 def run_id(ts: Column) -> Column:

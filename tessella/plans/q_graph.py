@@ -191,12 +191,12 @@ def estimate_minutes(spark, sf):
     return M.estimate_minutes(m, 40, 4)
 
 
-@CATALOG.add("timeline", "SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS place, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@CATALOG.add("timeline", "SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS place, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000 AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def timeline(spark, sf):
     return M.timeline(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts").select("user_id", "event_id", "place", "since")
 
 
-@CATALOG.add("run_table", "SELECT user_id, strftime(min(ts), '%Y-%m-%d_%H%M%S') AS run_id, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS duration_ms FROM events GROUP BY user_id")
+@CATALOG.add("run_table", "SELECT user_id, strftime(min(ts), '%Y-%m-%d_%H%M%S') AS run_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms FROM events GROUP BY user_id")
 def run_table(spark, sf):
     runs = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("completed_at"))
     return M.run_table(runs, F.current_timestamp()).select("user_id", M.run_id(c("started_at")).alias("run_id"), "duration_ms")
