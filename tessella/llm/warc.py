@@ -86,6 +86,8 @@ def _record_at(data: bytes, at: int) -> Found | str:
             return "header line without a colon"
         last = k.strip().lower()
         headers[last] = v.strip()
+    if not all(headers.get(k) for k in ("warc-type", "warc-record-id", "warc-date")):
+        return "a required field is missing"
     if not headers.get("content-length", "").isdigit():
         return "no content length"
     begin = stop + 4
