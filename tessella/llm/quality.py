@@ -114,18 +114,18 @@ def _measure(ratio):
                 chars, symbols = per(~K.BLANKS[d] & ((d & 0xC0) != 0x80)), per(_SYMBOL[d])
                 triple = K.grams(words.hash, 3)
                 repeat, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                raw = d.tobytes()
                 for i in range(n):
                     f, c = int(words.first[i]), int(words.count[i])
                     repeat[i] = _repeated_words(triple[f : f + c - 2], c)
-                    lines[i] = _duplicate_lines(raw[o[i] : o[i + 1]])
+                    lines[i] = _duplicate_lines(d[o[i] : o[i + 1]].tobytes())
+                del words, triple
                 folded = K.Words(d, o, K.BLANKS)
                 one, two = _buckets(folded)
                 gain = np.zeros(len(one) + 1)
                 gain[1:] = np.cumsum(weight[one] + np.append(np.where(_in_doc_pairs(folded), weight[two], 0), 0)) if len(one) else 0
                 grams = np.maximum(2 * folded.count - 1, 1)
                 score = np.diff(gain[folded.first]) / grams
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), *(pa.array(x.astype(np.int64)) for x in (words.count, chars, symbols, lines, repeat)), pa.array(score)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), *(pa.array(x.astype(np.int64)) for x in (folded.count, chars, symbols, lines, repeat)), pa.array(score)], names=names)
 
     return run
 
