@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.store import discard, stash
 
-ROUNDS = 4
+ROUNDS = 3
 CELL_ROWS = 20_000
 
 
@@ -35,16 +35,22 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def _propagate(state: DataFrame, shards: int, cap: int, turn: int) -> DataFrame:
-    """One round over the rows with links."""
-    load = _loads(state, shards)
+def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[int]) -> DataFrame:
+    """One round over rows with links; base is what other rows of higher rank fill of each shard."""
+    load = [a + b for a, b in zip(base, _loads(state, shards), strict=True)]
     votes = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
     ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by"))  # one entry a shard at most
     elected = ranked.select(F.col("g").alias("g_"), F.transform("by", lambda x: x["shard"]).alias("by"))
     wanted = F.greatest(F.ceil(F.col("rows") / cap), F.lit(1)).cast("int")
     asked = state.join(elected, F.col("g") == F.col("g_")).withColumn("to", F.slice("by", 1, wanted)).drop("by")
     moves = ~F.array_contains("to", F.col("shard"))
-    target = F.when(moves, F.element_at("to", (F.pmod(F.xxhash64("place", F.lit(turn)), F.size("to")) + 1).cast("int")))
+    target = F.element_at("to", (F.pmod(F.xxhash64("place", F.lit(turn)), F.size("to")) + 1).cast("int"))
+    full, open_ = [s for s in range(shards) if base[s] >= cap], [s for s in range(shards) if load[s] < cap]
+    if full and open_:  # a small group whose shard belongs to large ones moves as a whole
+        lost = (F.size("to") == 1) & F.element_at("to", 1).isin(full)
+        target = F.when(lost, _pick(open_, F.pmod(F.xxhash64("g"), F.lit(len(open_))))).otherwise(target)
+        moves = moves | lost
+    target = F.when(moves, target)
     asked = stash(asked.withColumn("target", target).drop("g_", "to"), "asked")
     flow = {r.target: r["count"] for r in asked.filter("target is not null").groupBy("target").count().collect()}
     leave = {r.shard: r["count"] for r in asked.filter("target is not null").groupBy("shard").count().collect()}
@@ -54,11 +60,12 @@ def _propagate(state: DataFrame, shards: int, cap: int, turn: int) -> DataFrame:
 
 
 def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
-    """rank: gapless from 0 within each shard, rows with links first and groups together."""
+    """rank: gapless from 0 within each shard; large groups first, then small ones, each together, then rows without links."""
     cells = max(1, total // shards // CELL_ROWS)
-    linked = F.col("rows") > 1
+    linked, large = F.col("rows").isNotNull(), F.col("rows") * 2 * shards > total
     spread = F.pmod(F.xxhash64("place", F.lit(7)), F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.lit(1)))
-    cell = F.when(linked, F.pmod(F.xxhash64("g"), F.lit(cells))).otherwise(cells + F.pmod(F.xxhash64("place"), F.lit(cells)))
+    by_group = F.pmod(F.xxhash64("g"), F.lit(cells))
+    cell = F.when(large, by_group).when(linked, cells + by_group).otherwise(2 * cells + F.pmod(F.xxhash64("place"), F.lit(cells)))
     laid = state.select("place", "g", "shard", "doc_id", "size", "text_crc32", "text_hash", cell.alias("cell"), F.when(linked, spread).otherwise(F.lit(0)).alias("part"))
     laid = stash(laid, "laid")
     count = laid.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
@@ -84,12 +91,18 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     total = state.count()
     size = state.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumnRenamed("g", "g_")
     state = stash(state.join(size, F.col("g") == F.col("g_"), "left").drop("g_"), "state")
-    linked = state.filter("rows > 1")
-    for turn in range(rounds if total else 0):
-        new = stash(_propagate(linked, shards, -(-total // shards), turn), "linked")
-        discard(linked)
-        linked = new
-    state = linked.unionByName(state.filter("rows is null"))
+    cap = -(-total // shards)
+    base = [0] * shards
+    settled = [state.filter("rows is null")]
+    # Groups of half a shard and more settle first and see only each other; small ones settle around them.
+    for part, turns in ((state.filter(F.col("rows") * 2 > cap), range(rounds)), (state.filter(F.col("rows") * 2 <= cap), range(rounds, 2 * rounds))):
+        for turn in turns if total else ():
+            new = stash(_propagate(part, shards, cap, turn, base), "linked")
+            discard(part)
+            part = new
+        base = [a + b for a, b in zip(base, _loads(part, shards), strict=True)]
+        settled.append(part)
+    state = settled[0].unionByName(settled[1]).unionByName(settled[2])
     load = _loads(state, shards)
     quota = [(s + 1) * total // shards - s * total // shards for s in range(shards)]
     shed, lack, at, to = [], [], 0, 0
