@@ -84,3 +84,51 @@ def auto_unique(symbols: DataFrame, candidates: DataFrame) -> DataFrame:
     """Symbols (file, name, lines) with `auto`: UNIQUE without asking a model if tiny or without any similar function."""
     near = candidates.select("file", "name").distinct().withColumn("has", F.lit(True))
     return symbols.join(near, ["file", "name"], "left").withColumn("auto", F.when((F.col("lines") <= 2) | F.col("has").isNull(), "UNIQUE")).drop("has")
+
+
+class Breaker:
+    """Opens after some failures in a row; after a pause one call may try again."""
+
+    def __init__(self, failures: int = 3, pause: float = 300.0, clock: Callable[[], float] | None = None):
+        import time
+
+        self.failures, self.pause, self.clock = failures, pause, clock or time.monotonic
+        self.count, self.opened = 0, None
+
+    def allows(self) -> bool:
+        return self.opened is None or self.clock() - self.opened >= self.pause
+
+    def record(self, success: bool) -> None:
+        self.count = 0 if success else self.count + 1
+        if success:
+            self.opened = None
+        elif self.count >= self.failures or self.opened is not None:
+            self.opened = self.clock()
+
+
+def retried(call: Callable, attempts: int = 3, base: float = 5.0, most: float = 60.0, sleep: Callable[[float], None] | None = None):
+    """The call's result; between failures a pause that doubles up to a limit. The last failure is raised."""
+    import time
+
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001
+            if n == attempts - 1:
+                raise
+            (sleep or time.sleep)(min(base * 2**n, most))
+    return None
+
+
+class Router:
+    """Model name to provider factory by longest prefix; a provider whose breaker is open gives way to the fallback."""
+
+    def __init__(self, routes: dict[str, Callable], fallback: str | None = None):
+        self.routes, self.fallback = routes, fallback
+        self.breakers = {k: Breaker() for k in routes}
+
+    def pick(self, model: str) -> str | None:
+        best = max((p for p in self.routes if model.startswith(p)), key=len, default=None)
+        if best is not None and self.breakers[best].allows():
+            return best
+        return self.fallback
