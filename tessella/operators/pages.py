@@ -13,12 +13,39 @@ from tessella.operators import similarity as S
 c = F.col
 
 # Conventions of the page layout.
-CONVENTIONS = {"routes": "04-API-Reference/04-REST-Endpoints.md", "controllers": "04-API-Reference/04-REST-Endpoints.md", "models": "02-Architecture/03-Data-Model.md", "hooks": "05-Modules/Hooks.md", "services": "05-Modules/Services.md", "components": "05-Modules/Components.md", "utils": "05-Modules/Utilities.md"}
+CONVENTIONS = {
+    "routes": "04-API-Reference/04-REST-Endpoints.md",
+    "controllers": "04-API-Reference/04-REST-Endpoints.md",
+    "middleware": "04-API-Reference/05-Middleware.md",
+    "commands": "04-API-Reference/04-CLI-Reference.md",
+    "components": "05-Modules/Components.md",
+    "hooks": "05-Modules/Hooks.md",
+    "stores": "05-Modules/Stores.md",
+    "styles": "05-Modules/Styles.md",
+    "models": "05-Modules/Models.md",
+    "services": "05-Modules/Services.md",
+    "validators": "05-Modules/Validators.md",
+    "dtos": "05-Modules/DTOs.md",
+    "migrations": "05-Modules/Migrations.md",
+}
 SYNONYMS = {"api": "routes", "handlers": "controllers", "entities": "models", "composables": "hooks"}
 PATTERN_PAGES = {"@Controller()": "04-API-Reference/04-REST-Endpoints.md", "express.Router()": "04-API-Reference/04-REST-Endpoints.md", "@Injectable()": "05-Modules/Services.md"}
 CONCEPT_OF_DIR = {"00-Monorepo": "monorepo", "01-Getting-Started": "getting-started", "02-Architecture": "architecture", "03-Guides": "guides", "04-API-Reference": "api-reference", "05-Modules": "modules", "06-Development": "development"}
-BASE_PAGES = ["index.md", "01-Getting-Started/01-Overview.md", "02-Architecture/01-System-Overview.md", "03-Guides/01-Common-Workflows.md", "04-API-Reference/01-Public-API.md", "06-Development/01-Source-Tree.md"]
-TYPE_PAGES = {"Backend API": ["04-API-Reference/04-REST-Endpoints.md"], "ORM": ["02-Architecture/03-Data-Model.md"], "CLI": ["04-API-Reference/05-CLI-Reference.md"], "Frontend": ["04-API-Reference/06-Component-API.md"], "Monorepo": ["00-Monorepo/01-Package-Overview.md"]}
+BASE_PAGES = [
+    "index.md",
+    "01-Getting-Started/01-Overview.md", "01-Getting-Started/02-Installation.md", "01-Getting-Started/03-Configuration.md", "01-Getting-Started/04-Quick-Start.md",
+    "02-Architecture/01-System-Overview.md", "02-Architecture/02-Core-Concepts.md", "02-Architecture/03-Data-Flow.md", "02-Architecture/04-Design-Decisions.md",
+    "03-Guides/01-Common-Workflows.md", "03-Guides/02-Advanced-Configuration.md", "03-Guides/03-Troubleshooting.md",
+    "04-API-Reference/01-Public-API.md", "04-API-Reference/02-Configuration-Schema.md", "04-API-Reference/03-Types-and-Interfaces.md",
+    "06-Development/01-Source-Tree.md", "06-Development/02-Build-and-Test.md", "06-Development/03-Code-Conventions.md", "06-Development/04-Release-Process.md",
+]
+TYPE_PAGES = {
+    "CLI": ["04-API-Reference/04-CLI-Reference.md"],
+    "Frontend": ["03-Guides/04-Component-Patterns.md", "03-Guides/05-State-Management.md", "03-Guides/06-Routing.md", "04-API-Reference/04-Component-API.md", "05-Modules/Components.md", "05-Modules/Hooks.md", "05-Modules/Stores.md", "05-Modules/Styles.md"],
+    "Backend API": ["03-Guides/04-Authentication.md", "03-Guides/05-Error-Handling.md", "03-Guides/06-Pagination-and-Filtering.md", "04-API-Reference/04-REST-Endpoints.md", "04-API-Reference/05-Middleware.md", "05-Modules/Routes.md", "05-Modules/Services.md", "05-Modules/Validators.md", "05-Modules/DTOs.md"],
+    "ORM": ["02-Architecture/05-Data-Model.md", "03-Guides/07-Migrations.md", "03-Guides/08-Seeding.md", "03-Guides/09-Query-Patterns.md", "05-Modules/Models.md", "05-Modules/Migrations.md"],
+    "Monorepo": ["00-Monorepo/01-Package-Overview.md", "00-Monorepo/02-Dependency-Graph.md", "00-Monorepo/03-Shared-Conventions.md"],
+}
 LEAST_LOC = 200
 
 

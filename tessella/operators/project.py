@@ -8,17 +8,56 @@ from pyspark.sql import functions as F
 # Extension, file name and framework tables.
 EXTENSIONS = {".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".sh": "Shell", ".bash": "Shell", ".py": "Python", ".rs": "Rust", ".go": "Go", ".java": "Java", ".cs": "C#", ".sql": "SQL", ".yml": "YAML", ".yaml": "YAML", ".json": "JSON"}
 FILE_NAMES = {"Dockerfile": "Docker", "Makefile": "Makefile", "Jenkinsfile": "Groovy"}
-FRAMEWORKS = [  # id, language, dependency, suppressed id, implied types
-    ("nextjs", "typescript", "next", "react", ["Frontend", "Backend API"]),
-    ("nuxt", "typescript", "nuxt", "vue", ["Frontend", "Backend API"]),
-    ("nestjs", "typescript", "@nestjs/core", None, ["Backend API"]),
-    ("react", "typescript", "react", None, ["Frontend"]),
-    ("vue", "typescript", "vue", None, ["Frontend"]),
-    ("angular", "typescript", "@angular/core", None, ["Frontend"]),
-    ("svelte", "typescript", "svelte", None, ["Frontend"]),
-    ("solid", "typescript", "solid-js", None, ["Frontend"]),
-    ("express", "typescript", "express", None, ["Backend API"]),
-    ("fastify", "typescript", "fastify", None, ["Backend API"]),
+FRAMEWORKS = [  # id, language, dependencies, suppressed id, implied types
+    ("nextjs", "typescript", ["next"], "react", ["Frontend", "Backend API"]),
+    ("nuxt", "typescript", ["nuxt"], "vue", ["Frontend", "Backend API"]),
+    ("nestjs", "typescript", ["@nestjs/core"], None, ["Backend API"]),
+    ("react", "typescript", ["react"], None, ["Frontend"]),
+    ("vue", "typescript", ["vue"], None, ["Frontend"]),
+    ("angular", "typescript", ["@angular/core"], None, ["Frontend"]),
+    ("svelte", "typescript", ["svelte"], None, ["Frontend"]),
+    ("solid", "typescript", ["solid-js"], None, ["Frontend"]),
+    ("express", "typescript", ["express"], None, ["Backend API"]),
+    ("fastify", "typescript", ["fastify"], None, ["Backend API"]),
+    ("hono", "typescript", ["hono"], None, ["Backend API"]),
+    ("koa", "typescript", ["koa"], None, ["Backend API"]),
+    ("hapi", "typescript", ["@hapi/hapi"], None, ["Backend API"]),
+    ("prisma", "typescript", ["prisma", "@prisma/client"], None, ["ORM"]),
+    ("drizzle", "typescript", ["drizzle-orm"], None, ["ORM"]),
+    ("typeorm", "typescript", ["typeorm"], None, ["ORM"]),
+    ("sequelize", "typescript", ["sequelize"], None, ["ORM"]),
+    ("knex", "typescript", ["knex"], None, ["ORM"]),
+    ("mikro-orm", "typescript", ["@mikro-orm/core"], None, ["ORM"]),
+    ("commander", "typescript", ["commander"], None, ["CLI"]),
+    ("yargs", "typescript", ["yargs"], None, ["CLI"]),
+    ("clipanion", "typescript", ["clipanion"], None, ["CLI"]),
+    ("cac", "typescript", ["cac"], None, ["CLI"]),
+    ("vitest", "typescript", ["vitest"], None, []),
+    ("jest", "typescript", ["jest"], None, []),
+    ("passport", "typescript", ["passport"], None, []),
+    ("django", "python", ["django"], None, ["Frontend", "Backend API"]),
+    ("fastapi", "python", ["fastapi"], None, ["Backend API"]),
+    ("flask", "python", ["flask"], None, ["Backend API"]),
+    ("sqlalchemy", "python", ["sqlalchemy", "SQLAlchemy"], None, ["ORM"]),
+    ("click", "python", ["click"], None, ["CLI"]),
+    ("typer", "python", ["typer"], None, ["CLI"]),
+    ("pytest", "python", ["pytest"], None, []),
+    ("actix", "rust", ["actix-web"], None, ["Backend API"]),
+    ("rocket", "rust", ["rocket"], None, ["Backend API"]),
+    ("axum", "rust", ["axum"], None, ["Backend API"]),
+    ("diesel", "rust", ["diesel"], None, ["ORM"]),
+    ("sea-orm", "rust", ["sea-orm"], None, ["ORM"]),
+    ("clap", "rust", ["clap"], None, ["CLI"]),
+    ("gin", "go", ["github.com/gin-gonic/gin"], None, ["Backend API"]),
+    ("echo", "go", ["github.com/labstack/echo"], None, ["Backend API"]),
+    ("fiber", "go", ["github.com/gofiber/fiber"], None, ["Backend API"]),
+    ("gorm", "go", ["gorm.io/gorm"], None, ["ORM"]),
+    ("cobra", "go", ["github.com/spf13/cobra"], None, ["CLI"]),
+    ("aspnet", "csharp", ["Microsoft.AspNetCore"], None, ["Backend API"]),
+    ("ef-core", "csharp", ["Microsoft.EntityFrameworkCore"], None, ["ORM"]),
+    ("spring", "java", ["org.springframework"], None, ["Backend API"]),
+    ("hibernate", "java", ["org.hibernate"], None, ["ORM"]),
+    ("picocli", "java", ["picocli"], None, ["CLI"]),
 ]
 
 c = F.col
@@ -47,8 +86,9 @@ def primary_language(files: DataFrame, language: str, position: str) -> DataFram
 
 def detect_frameworks(dependencies: DataFrame) -> DataFrame:
     """Frameworks (id, language, types) of a manifest (name), without those that another one found suppresses."""
-    rules = dependencies.sparkSession.createDataFrame(FRAMEWORKS, "id string, language string, dep string, suppresses string, types array<string>")
-    found = rules.join(dependencies.select(c("name").alias("dep")).distinct(), "dep", "left_semi")
+    rules = dependencies.sparkSession.createDataFrame(FRAMEWORKS, "id string, language string, deps array<string>, suppresses string, types array<string>")
+    hits = rules.select("id", F.explode("deps").alias("dep")).join(dependencies.select(c("name").alias("dep")).distinct(), "dep", "left_semi")
+    found = rules.join(hits.select("id").distinct(), "id", "left_semi")
     gone = found.filter("suppresses is not null").select(c("suppresses").alias("id"))
     return found.join(gone, "id", "left_anti").select("id", "language", "types")
 

@@ -55,7 +55,7 @@ def doc_mappings(spark, sf):
     return d.select("source", "dir").join(m, "dir").select("source", "page", "strategy")
 
 
-@CATALOG.add("page_list", "SELECT unnest(['index.md', '01-Getting-Started/01-Overview.md', '02-Architecture/01-System-Overview.md', '03-Guides/01-Common-Workflows.md', '04-API-Reference/01-Public-API.md', '06-Development/01-Source-Tree.md', '02-Architecture/03-Data-Model.md']) AS path UNION ALL SELECT DISTINCT concat('05-Modules/', source, '.md') FROM documents")
+@CATALOG.add("page_list", f"SELECT unnest({P.BASE_PAGES + P.TYPE_PAGES['ORM']}) AS path UNION ALL SELECT DISTINCT concat('05-Modules/', source, '.md') FROM documents")
 def page_list(spark, sf):
     project = _docs(spark, sf).agg(F.array_distinct(F.collect_set(F.lit("ORM"))).alias("types"))
     return P.page_list(project, _docs(spark, sf).select(F.concat(F.lit("05-Modules/"), "source", F.lit(".md")).alias("path")).distinct())
