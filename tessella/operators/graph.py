@@ -165,3 +165,41 @@ def file_dependencies(refs: DataFrame, manifest: DataFrame) -> DataFrame:
     package = F.regexp_extract("source", r"^(@[^/]+/[^/]+|[^./@][^/]*)", 1)
     first = refs.select("file", package.alias("name"), "pos").filter("name <> ''").groupBy("file", "name").agg(F.min("pos").alias("pos"))
     return first.join(manifest, "name").select("file", "name", "version", "pos")
+
+
+def crate_map(manifests: DataFrame) -> DataFrame:
+    """(crate, src) of Cargo manifests (dir, content): package names with dashes as underscores, and their source folders."""
+    name = F.regexp_extract("content", r"(?s)\[package\].*?name\s*=\s*\"([^\"]+)\"", 1)
+    rows = manifests.select(F.regexp_replace(name, "-", "_").alias("crate"), F.when(c("dir") == "", "src").otherwise(F.concat("dir", F.lit("/src"))).alias("src"))
+    return rows.filter("crate <> ''")
+
+
+def resolve_other(refs: DataFrame, files: DataFrame, language: str, crates: DataFrame | None = None) -> DataFrame:
+    """(file, source, target): references (file, source) of bash, python or rust to files of the tree, first candidate wins.
+
+    Python: relative dots climb from the file's folder, other modules start at the root or below src/. Rust: `crate::`
+    and names of crates lead into their source folder (the longest matching one), the rest is a path of modules.
+    """
+    folder = F.regexp_replace("file", "/?[^/]*$", "")
+    keys = refs.select("file", "source").distinct()
+    if language == "bash":
+        tries = F.array(normalize(F.concat_ws("/", folder, "source")), normalize(c("source")))
+    elif language == "python":
+        dots = F.length(F.regexp_extract("source", r"^(\.*)", 1))
+        rest = F.translate(F.regexp_replace("source", r"^\.+", ""), ".", "/")
+        climbed = normalize(F.concat_ws("/", folder, F.array_join(F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0))), "/"), rest))
+        roots = F.when(dots > 0, F.array(climbed)).otherwise(F.array(rest, F.concat(F.lit("src/"), rest)))
+        tries = F.flatten(F.transform(roots, lambda r: F.array(F.concat(r, F.lit(".py")), F.concat(r, F.lit("/__init__.py")))))
+    else:
+        parts = F.split(F.regexp_replace("source", r"^::", ""), "::")
+        known = crates.select(c("crate"), c("src"))
+        own = keys.join(known, F.element_at(parts, 1) == c("crate"), "left").groupBy("file", "source").agg(F.max_by("src", F.length("src")).alias("src"))
+        keys = own
+        base = F.coalesce("src", F.regexp_extract("file", r"^(.*?src)/", 1))
+        tail = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        lengths = F.reverse(F.sequence(F.lit(1), F.greatest(F.size(tail), F.lit(1))))
+        path = F.transform(lengths, lambda n: F.concat_ws("/", base, F.array_join(F.slice(tail, F.lit(1), n), "/")))
+        tries = F.flatten(F.transform(path, lambda p: F.array(F.concat(p, F.lit(".rs")), F.concat(p, F.lit("/mod.rs")))))
+    ranked = keys.select("file", "source", F.posexplode(tries).alias("rank", "target"))
+    best = ranked.join(files.select(c("file").alias("target")), "target").groupBy("file", "source").agg(F.min_by("target", "rank").alias("target"))
+    return best.filter("target <> file")

@@ -119,3 +119,8 @@ def file_centroids(index: DataFrame) -> DataFrame:
 
 def is_unembedded(v) -> Column:
     return v.isNull() | V.is_zero(v)
+
+
+def table_name(mode: str) -> str:
+    """Vectors of different models never share a table."""
+    return f"cards_{mode}"

@@ -110,3 +110,11 @@ def run_id(ts: Column) -> Column:
 def backoff(attempt: Column, base: float = 5_000, most: float = 60_000) -> Column:
     """Delay before an attempt (from 0), without jitter."""
     return F.least(base * F.pow(F.lit(2.0), attempt), F.lit(float(most)))
+
+
+def embed_tokens(cards: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kind, units, tokens) of texts to embed: cards (text) and chunks (text), each as they are cut for the model."""
+    from tessella.functions.text import EMBED_CHARS, estimate_tokens
+
+    of = lambda df, kind: df.agg(F.count("*").alias("units"), F.coalesce(F.sum(estimate_tokens(F.substring("text", 1, EMBED_CHARS))), F.lit(0)).alias("tokens")).select(F.lit(kind).alias("kind"), "units", "tokens")
+    return of(cards, "code").unionAll(of(chunks, "text"))

@@ -198,3 +198,27 @@ def truncate_context(df: DataFrame, budget: int) -> DataFrame:
     out = df.withColumn("stage", stage)
     empty = lambda from_stage, col: F.when(c("stage") >= from_stage, "").otherwise(c(col))
     return out.withColumns({"internals": empty(1, "internals"), "bodies": empty(2, "bodies"), "docs": empty(3, "docs"), "exports": F.when(c("stage") == 4, kept).otherwise(c("exports"))})
+
+
+def relevant_sections(index: DataFrame, window_tokens: int, k: int = 5, least: float = 0.5) -> DataFrame:
+    """(file, source, rank, name, content) of sections near to each file's centroid, packed into the prompt's budget.
+
+    All files are searched as one batch, sources apart so that neither crowds out the other.
+    """
+    centres = S.centroid(index.filter("type = 'function'"), ["file"], "nlp_vector").select(F.xxhash64("file").alias("id"), "file", c("centroid").alias("v"))
+    docs = index.filter("type = 'doc_section'").select(F.xxhash64("id").alias("id"), c("nlp_vector").alias("v"), "source", "name", c("summary").alias("content"))
+    parts = []
+    for source in ("internal", "project"):
+        some = docs.filter(c("source") == source)
+        hits = S.knn(centres, some, k, least).join(some.drop("v"), "id")
+        parts.append(hits.join(centres.select(c("id").alias("query_id"), "file"), "query_id").select("file", "source", "rank", "name", "content"))
+    return within_budget(parts[0].unionByName(parts[1]), window_tokens, most=k)
+
+
+def renumber(pages: DataFrame) -> DataFrame:
+    """(file, new_file): numbered pages of each directory counted anew without gaps, others as they are."""
+    name = F.element_at(F.split("file", "/"), -1)
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    numbered = name.rlike(r"^\d+-")
+    place = F.row_number().over(Window.partitionBy(folder, numbered).orderBy(F.regexp_extract(name, r"^(\d+)", 1).try_cast("int"), "file"))
+    return pages.select("file", F.when(numbered, F.concat(folder, F.lpad(place.cast("string"), 2, "0"), F.regexp_replace(name, r"^\d+", ""))).otherwise(c("file")).alias("new_file"))

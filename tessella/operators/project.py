@@ -109,3 +109,8 @@ def merge_dependencies(prod: DataFrame, dev: DataFrame) -> DataFrame:
     """(name, version): versions of dev dependencies win."""
     both = prod.withColumn("rank", F.lit(0)).unionByName(dev.withColumn("rank", F.lit(1)))
     return both.groupBy("name").agg(F.max_by("version", "rank").alias("version"))
+
+
+def active_models(configs: DataFrame) -> DataFrame:
+    """(model): every model that any slot of the configurations (slots map<string, string>) names, once."""
+    return configs.select(F.explode(F.map_values("slots")).alias("model")).filter("model is not null").distinct()

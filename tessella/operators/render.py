@@ -78,3 +78,15 @@ def sync_checked(actions: DataFrame, done: DataFrame) -> DataFrame:
     d = done.select("id").distinct().withColumn("checked", F.lit(True))
     out = actions.join(d, "id", "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
     return out.withColumn("shard_done", F.min("checked").over(Window.partitionBy("shard")))
+
+
+def tree_text(rows: DataFrame) -> str:
+    """The tree as text on the driver, one line a path: a listing for people, of one project."""
+    kinds = {r.path: r.is_dir for r in rows.toLocalIterator()}
+    key = lambda p: tuple((not kinds["/".join(p.split("/")[: i + 1])], x) for i, x in enumerate(p.split("/")))
+    return "\n".join("  " * p.count("/") + p.rsplit("/", 1)[-1] + ("/" if kinds[p] else "") for p in sorted(kinds, key=key))
+
+
+def write_pages(pages: DataFrame, root: str) -> None:
+    """Rendered pages (path, markdown) as text below root, one folder a page."""
+    pages.select("path", c("markdown").alias("value")).repartition("path").write.mode("overwrite").partitionBy("path").text(root)

@@ -236,3 +236,14 @@ def group_identical(actions: DataFrame, least: int = 3) -> DataFrame:
 def enforce_duplication() -> Column:
     """A target makes an evaluated symbol a duplicate."""
     return F.when(c("duplicate_target").isNotNull() & (c("duplication") != "-"), "DUPLICATE").otherwise(c("duplication"))
+
+
+def without_test_files(df: DataFrame, tested: DataFrame) -> DataFrame:
+    """WEAK tests of files that no test file (file) belongs to are NONE."""
+    t = tested.select("file").distinct().withColumn("has_tests", F.lit(True))
+    return df.join(t, "file", "left").withColumn("tests", F.when((c("tests") == "WEAK") & c("has_tests").isNull(), "NONE").otherwise(c("tests"))).drop("has_tests")
+
+
+def data_files_documented(df: DataFrame) -> DataFrame:
+    """Symbols of JSON files need no documentation."""
+    return df.withColumn("documentation", F.when(c("file").endswith(".json"), "DOCUMENTED").otherwise(c("documentation")))

@@ -170,3 +170,38 @@ def inject_block(text: Column, block: Column, start: str = "<!-- badge:start -->
     at = F.instr(text, start)
     after = F.instr(text, end)
     return F.when((at > 0) & (after > at), F.concat(F.substring(text, 1, at - 1), whole, F.substring(text, after + len(end), F.length(text)))).otherwise(F.concat(F.rtrim(text), F.lit("\n\n"), whole, F.lit("\n")))
+
+
+def write_reviews(reviews: DataFrame, markdown: DataFrame, root: str) -> None:
+    """Reviews as JSON lines and their Markdown (file, markdown), each in a folder of its own."""
+    reviews.write.mode("overwrite").json(f"{root}/json")
+    markdown.write.mode("overwrite").parquet(f"{root}/markdown")
+
+
+def write_transcripts(lines: DataFrame, root: str) -> None:
+    """Log lines (file, at, line) in order, one folder a file."""
+    rows = lines.repartition("file").sortWithinPartitions("file", "at").select(c("file"), c("line").alias("value"))
+    rows.write.mode("append").partitionBy("file").text(root)
+
+
+def acquire_lock(path: str) -> bool:
+    """A lock file of this process on the driver; that of a process which is gone is taken over. False if another runs."""
+    import os
+
+    for _ in range(2):
+        try:
+            with open(path, "x") as f:
+                f.write(str(os.getpid()))
+            return True
+        except FileExistsError:
+            with open(path) as f:
+                owner = f.read().strip()
+            try:
+                if int(owner) > 0:
+                    os.kill(int(owner), 0)
+                return False
+            except (ValueError, ProcessLookupError):
+                os.unlink(path)
+            except PermissionError:
+                return False
+    return False

@@ -16,3 +16,20 @@ CARD = "id string, file string, name string, signature string, summary string, d
 #: Domains of the enumerations.
 KINDS = ["function", "class", "method", "type", "constant", "variable", "enum", "hook"]
 VERDICTS = {"correction": ["OK", "NEEDS_FIX", "ERROR"], "overengineering": ["LEAN", "OVER", "ACCEPTABLE"], "utility": ["USED", "DEAD", "LOW_VALUE"], "duplication": ["UNIQUE", "DUPLICATE"], "tests": ["GOOD", "WEAK", "NONE"], "documentation": ["DOCUMENTED", "PARTIAL", "UNDOCUMENTED"]}
+
+
+def example(schema, hint: str = "text"):
+    """A value that fits a Spark type: for prompts and fixtures."""
+    from pyspark.sql import types as T
+
+    if isinstance(schema, T.StructType):
+        return {f.name: example(f.dataType, f.name) for f in schema.fields}
+    if isinstance(schema, T.ArrayType):
+        return [example(schema.elementType, hint)]
+    if isinstance(schema, T.MapType):
+        return {"key": example(schema.valueType, hint)}
+    if isinstance(schema, T.BooleanType):
+        return True
+    if isinstance(schema, T.IntegralType):
+        return 1
+    return 0.5 if isinstance(schema, T.FractionalType) else hint
