@@ -34,7 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; rows that repeat an id count once.
 
-    Texts without words have no links and stay, as do groups in which no row has an id.
+    Texts without words have no links and stay. Rows without an id stay as well: no decision could name them. Ids are
+    taken to name one text each; rows that share an id and differ in text go or stay together.
     """
     classes = stash(jaccard_classes(docs), "classes")
     gone = classes.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct()
