@@ -22,7 +22,7 @@ BITS = 18
 FOLDS = 3
 MAX_TRAIN = 8_000
 #: Likelihood ratio from which a feature enters a model.
-LEAST_G = 20.0
+LEAST_G = 15.0
 #: Size of one category's model.
 MOST_FEATURES = 400
 
@@ -63,7 +63,7 @@ def _telling(at: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(strong[g[strong] > LEAST_G])
 
 
-def _fit(at, row, n, earlier, y, steps: int = 25, decay: float = 1.0):
+def _fit(at, row, n, earlier, y, steps: int = 25, decay: float = 3.0):
     """Ridge logistic regression on the telling features: Newton steps, with the Hessian's diagonal bounded from above."""
     pick = _telling(at, row, y)
     place = np.full(1 << BITS, -1)
