@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import discard, stash
+from tessella.llm.store import BROADCAST_ROWS, discard, stash
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Tie each neighbour (of larger id, or else of smaller) to the smallest id around its node."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if few:
+        low = F.broadcast(low)
     tied = both.join(low, "u")
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -23,13 +25,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, u: str, v: str, rounds: int = 40) -> DataFrame:
     """(node, root) for every node with a link: root is the smallest node reachable. Nodes are longs; null ends are ignored.
 
-    Both star operations aggregate before they shuffle, so a hub costs one row a map task; the joins back are plain
-    equi-joins that adaptive execution can split. Links stay distributed; the driver sees one checksum a round.
+    Both star operations aggregate before they shuffle, so a hub costs one row a map task. The smallest neighbours are
+    broadcast where the number of nodes allows it, else joined by plain equi-joins that adaptive execution can split.
+    Links stay distributed; the driver sees one checksum a round.
     """
     now = stash(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "edges")
+    few = now.count() * 2 <= BROADCAST_ROWS  # so many nodes at most; rounds never add any
     mark = None
     for _ in range(rounds):
-        new = stash(_stars(_stars(now, True), False), "edges")
+        new = stash(_stars(_stars(now, True, few), False, few), "edges")
         discard(now)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
