@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.store import discard, stash
+from tessella.llm.store import BROADCAST_ROWS, discard, stash
 
 ROUNDS = 3
 CELL_ROWS = 20_000
@@ -35,14 +35,14 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[int]) -> DataFrame:
+def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[int], few: bool) -> DataFrame:
     """One round over rows with links; base is what other rows of higher rank fill of each shard."""
     load = [a + b for a, b in zip(base, _loads(state, shards), strict=True)]
     votes = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
     ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by"))  # one entry a shard at most
     elected = ranked.select(F.col("g").alias("g_"), F.transform("by", lambda x: x["shard"]).alias("by"))
     wanted = F.greatest(F.ceil(F.col("rows") / cap), F.lit(1)).cast("int")
-    asked = state.join(elected, F.col("g") == F.col("g_")).withColumn("to", F.slice("by", 1, wanted)).drop("by")
+    asked = state.join(F.broadcast(elected) if few else elected, F.col("g") == F.col("g_")).withColumn("to", F.slice("by", 1, wanted)).drop("by")
     moves = ~F.array_contains("to", F.col("shard"))
     target = F.element_at("to", (F.pmod(F.xxhash64("place", F.lit(turn)), F.size("to")) + 1).cast("int"))
     full, open_ = [s for s in range(shards) if base[s] >= cap], [s for s in range(shards) if load[s] < cap]
@@ -90,14 +90,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     state = stash(state, "state")
     total = state.count()
     size = state.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumnRenamed("g", "g_")
-    state = stash(state.join(size, F.col("g") == F.col("g_"), "left").drop("g_"), "state")
+    size = stash(size, "groups")
+    few = size.count() <= BROADCAST_ROWS // 10  # an elected group lists a shard or some
+    state = stash(state.join(F.broadcast(size) if few else size, F.col("g") == F.col("g_"), "left").drop("g_"), "state")
     cap = -(-total // shards)
     base = [0] * shards
     settled = [state.filter("rows is null")]
     # Groups of half a shard and more settle first and see only each other; small ones settle around them.
     for part, turns in ((state.filter(F.col("rows") * 2 > cap), range(rounds)), (state.filter(F.col("rows") * 2 <= cap), range(rounds, 2 * rounds))):
         for turn in turns if total else ():
-            new = stash(_propagate(part, shards, cap, turn, base), "linked")
+            new = stash(_propagate(part, shards, cap, turn, base, few), "linked")
             discard(part)
             part = new
         base = [a + b for a, b in zip(base, _loads(part, shards), strict=True)]
