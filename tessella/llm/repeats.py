@@ -198,7 +198,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part = runs.select(F.col(u).alias("w_uid"), F.col(p).alias("w_pos"))
         wanted = part if wanted is None else wanted.unionAll(part)
     wanted = stash(wanted.groupBy("w_uid").agg(F.collect_set("w_pos").alias("wanted")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 10 else wanted
+    size = wanted.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0  # in numbers of four bytes
+    side = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
     beside = stash(text.join(side, F.col("uid") == F.col("w_uid")).select("uid", "wanted", "text").mapInArrow(_contexts, "uid long, pos int, left array<long>, right array<long>").dropDuplicates(["uid", "pos"]), "contexts")
 
     def context(name):
