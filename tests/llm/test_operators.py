@@ -189,6 +189,40 @@ def test_repeats_find_every_shared_passage(docs, corpus):
     assert all(r.n_repeat_words >= 70 and r.partners for r in shared)
 
 
+def test_repeats_beside_boilerplate_are_exact_and_held_by_one_document(spark):
+    rng = random.Random(29)
+    rows = []
+    for g in range(0, 900, 3):  # a and b share 50 to 60 words, of which c holds the first or last 36 to 49
+        passage = prose(rng, 50 + g % 11, 10**6).split()
+        part = passage[: 36 + g % 14] if g % 2 else passage[-36 - g % 14 :]
+        rows += [(g + i, f"{prose(rng, 30, 10**6)} {' '.join(x)} {prose(rng, 30, 10**6)}") for i, x in enumerate((passage, passage, part))]
+    both = [prose(rng, 60, 10**6) for _ in range(40)]  # two passages side by side, each from another document
+    rows += [(1000 + i, x) for i, x in enumerate(both)] + [(2000 + i, f"{both[i]} {both[i + 1]}") for i in range(0, 40, 2)]
+    split = {d: words(t) for d, t in rows}
+    seen = defaultdict(set)
+    for d, w in split.items():
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add(d)
+    common = " ".join(["same"] * 40)  # one key that fills several partitions, in very many contexts
+    for i in range(200):
+        split[3000 + i] = words(f"{prose(rng, 20, 40)} {common} {prose(rng, 20, 40)}")
+        rows.append((3000 + i, " ".join(split[3000 + i])))
+        w = split[3000 + i]
+        for j in range(len(w) - 49):
+            seen[tuple(w[j : j + 50])].add(3000 + i)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for r in got:
+        w = split[r.doc_id]
+        hit = {p for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1 for p in range(i, i + 50)}
+        assert {p for s in r.spans for p in range(s.start, s.stop)} == hit and r.n_repeat_words == len(hit), r.doc_id
+        for s in r.spans:
+            assert any(f" {' '.join(w[s.start : s.stop])} " in f" {' '.join(split[p])} " for p in r.partners), r.doc_id
+
+
 def test_one_passage_in_very_many_documents_is_found_across_partitions(spark):
     rng = random.Random(1)
     passage = prose(rng, 60, 10**6)
