@@ -1,7 +1,9 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Headers are the lines of a text that speak of a license, copyright or the public domain; a licence file is a text whose
-words are mostly a template's. Both are compared with templates as sparse TF-IDF vectors; a file named like one and holding a header is one too. A file without a licence of
+Headers are the lines of a text that speak of a license, copyright or the public domain, and the stretches of words
+around such a hint that are as long as a template, across lines or within one; a licence file is a text whose words are
+mostly a template's. All are compared with templates as sparse TF-IDF vectors; a file named like one and holding a
+header is one too. A file without a licence of
 its own takes that of the licence file in the nearest directory above it: directories, not files, are expanded to their
 ancestors and joined with the directories that hold licence files.
 """
@@ -12,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,10 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
 
-#: Cosine from which a line, or a whole text, counts as a template's.
+#: Cosine from which a line, a stretch of words, or a whole text, counts as a template's.
 LEAST_COSINE = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[A-Za-z0-9]+")
 _HEADER = re.compile(r"licen[sc]|copyright|public domain|redistribution and use|permission is hereby", re.IGNORECASE)
 _FILE_NAME = re.compile(r"(?:^|/)(?:un)?(?:licen[sc]e|copying)[^/]*\Z", re.IGNORECASE)
 #: The same words for Arrow's linear-time matcher, which passes whole batches over.
@@ -64,6 +68,8 @@ class Templates:
         self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
         self.rare = math.log(1 + n) + 1
         self.rows = [(name, self.unit(terms)) for name, terms in rows]
+        self.lengths = [len(_WORD.findall(t.lower())) for texts in templates.values() for t in texts]
+        self.reach = max(self.lengths, default=0) * 9 // 8
 
     def unit(self, terms: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(c)) * self.idf.get(t, self.rare) for t, c in terms.items()}
@@ -75,19 +81,65 @@ class Templates:
         return max(((name, sum(x * v.get(t, 0.0) for t, x in row.items())) for name, row in self.rows), key=lambda x: (x[1], x[0]), default=("", 0.0))
 
 
+def _around(text: str, hint: re.Match, templates: Templates) -> tuple[str | None, float, int, int]:
+    """(license, cosine, start, end) of the stretch of words with the hint that is nearest to a template."""
+    size = 4096
+    while True:
+        lo = max(0, hint.start() - size)
+        before = [(m.group().lower(), lo + m.start(), lo + m.end()) for m in _WORDS.finditer(text[lo : hint.start()])]
+        if lo == 0 or len(before) > templates.reach + 1:
+            break
+        size *= 2
+    before = before[-templates.reach - 1 :]
+    words = before + [(m.group().lower(), m.start(), m.end()) for m in islice(_WORDS.finditer(text, hint.start()), templates.reach + 1)]
+    plain, mid = [w for w, _, _ in words], len(before)
+    here = set(plain) | {f"{a} {b}" for a, b in zip(plain, plain[1:])}
+    best = (None, 0.0, 0, 0)
+    for (name, row), n in zip(templates.rows, templates.lengths, strict=True):
+        # A stretch has no more of the template's terms than all the words around have.
+        if sum(x * x for t, x in row.items() if t in here) < LEAST_COSINE**2:
+            continue
+        for length in {n, n * 9 // 8}:
+            for i in range(max(0, mid - length), min(mid + 1, max(1, len(plain) - length + 1))):
+                part = plain[i : i + length]
+                v = templates.unit(Counter(part) + Counter(f"{a} {b}" for a, b in zip(part, part[1:])))
+                cosine = sum(x * v.get(t, 0.0) for t, x in row.items())
+                if (cosine, name) > (best[1], best[0] or ""):
+                    best = (name, cosine, words[i][1], words[i + len(part) - 1][2])
+    return best
+
+
 def detect(text: str, templates: Templates, path: str | None = None) -> tuple[str | None, float, bool]:
     """(license or null, cosine, whether this is a licence file: by its name, or as nine tenths of it are a template)."""
-    found, seen, at = (None, 0.0), 0, 0
+    found, spans, at = (None, 0.0), [], 0
     while m := _HEADER.search(text, at):
         end = text.find("\n", m.end())
         end = len(text) if end < 0 else end
-        line = text[text.rfind("\n", 0, m.start()) + 1 : end]
-        name, cosine = templates.best(line)
+        start = text.rfind("\n", 0, m.start()) + 1
+        name, cosine = templates.best(text[start:end])
         if cosine >= LEAST_COSINE:
-            seen += len(line)
+            spans.append((start, end))
             if cosine > found[1]:
                 found = (name, cosine)
         at = end
+    at = 0
+    while m := _HEADER.search(text, at):
+        at = m.end()
+        name, cosine, start, end = _around(text, m, templates)
+        if cosine >= LEAST_COSINE:
+            spans.append((start, end))
+            at = max(at, end)
+            if cosine > found[1]:
+                found = (name, cosine)
+    name, cosine = templates.best(text) if len(text) < 4096 else ("", 0.0)  # no template is near as long
+    if cosine >= LEAST_COSINE:
+        spans.append((0, len(text)))
+        if cosine > found[1]:
+            found = (name, cosine)
+    seen, to = 0, 0
+    for start, end in sorted(spans):
+        seen += max(0, end - max(start, to))
+        to = max(to, end)
     whole = found[0] is not None and (seen * 10 >= len(text.strip()) * 9 or bool(_FILE_NAME.search(path or "")))
     return (*found, whole)
 
