@@ -30,7 +30,7 @@ from tessella.llm.store import BROADCAST_ROWS, discard, stash, trim
 HEAVY_FROM, MOST_HEAVY = 16, BROADCAST_ROWS
 #: Tokens a task counts at a time when it looks for heavy ones.
 CHUNK_TOKENS = 4_000_000
-#: An inverted list longer than this sends its token back as heavy, and the lists are built again.
+#: An inverted list longer than this sends its token (or both of its subset) back as heavy; lists are built again.
 LONGEST_LIST = 256
 #: Sets of a block in a family.
 BLOCK = 256
@@ -111,6 +111,10 @@ def _ordered(s: np.ndarray, heavy: np.ndarray, prefix: int) -> tuple[np.ndarray,
     return np.concatenate((light, s[is_heavy][: prefix - len(light)])), len(light)
 
 
+def _subsets(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return K.mix(first[a] * _PAIR[0] + K.mix(first[b] * _PAIR[1]))
+
+
 def _postings(k: int, num: int, den: int, small: int, heavy):
     """Rows (token, sid, meta): light tokens or subsets (kind 0), and all prefix tokens of heavy sets (kind 1)."""
 
@@ -140,7 +144,7 @@ def _postings(k: int, num: int, den: int, small: int, heavy):
                         put(1, first, sid, np.full(len(first), base, np.int64))
                     if n <= small and n > 1:
                         a, b = np.triu_indices(light, 1)
-                        put(0, K.mix(first[a] * _PAIR[0] + K.mix(first[b] * _PAIR[1])), sid, np.full(len(a), base | _SUBSET, np.int64))
+                        put(0, _subsets(first, a, b), sid, np.full(len(a), base | _SUBSET, np.int64))
                     if n > small or n * den >= small * num:
                         m = min(light, f + 1)
                         put(0, first[:m], sid, np.full(m, base, np.int64))
@@ -151,12 +155,37 @@ def _postings(k: int, num: int, den: int, small: int, heavy):
     return run
 
 
+def _shingles_of(k: int, num: int, den: int, small: int, heavy, late):
+    """Shingles of the late 2-subsets: a subset's hash does not tell what it is made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, wanted, seen = heavy.value, late.value, set()
+        for batch in batches:
+            data, offs = K.buffers(batch.column("text"))
+            for _, _, d, o in K.slices(data, offs):
+                out = []
+                for s in K.shingle_sets(K.Words(d, o, K.BLANKS), k):
+                    n = len(s)
+                    if not 1 < n <= small:
+                        continue
+                    first, light = _ordered(s, table, n - _need(n, num, den) + 2)
+                    a, b = np.triu_indices(light, 1)
+                    hit = np.isin(_subsets(first, a, b), wanted)
+                    out += [x for x in (*first[a[hit]].tolist(), *first[b[hit]].tolist()) if x not in seen]
+                    seen.update(out)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.array(out, np.uint64)))], names=["token"])
+
+    return run
+
+
 _PAIRS = "late long, a long, b long, need int, rest int"
 
 
 def _scan_lists(num: int, den: int):
     """Scan lists sorted by token: pairs whose sizes allow a link, or the token itself where a list is too long.
 
+    need is 1 for a late token that is a 2-subset, else 0.
     rest: how much overlap a pair may still have beyond the tokens of its shared lists. The set whose prefix ends first
     has been compared in all of its prefix, so only its other elements are open.
     """
@@ -165,7 +194,8 @@ def _scan_lists(num: int, den: int):
     def pairs(token, sid, meta):
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(token)), bool), token[1:] != token[:-1])))
         length = np.diff(np.append(first, len(token)))
-        late = token[first[length > LONGEST_LIST]]
+        long = first[length > LONGEST_LIST]
+        late, of_two = token[long], (meta[long] & _SUBSET != 0).astype(np.int32)
         for g in np.unique(length):
             if not 2 <= g <= LONGEST_LIST:
                 continue
@@ -186,7 +216,7 @@ def _scan_lists(num: int, den: int):
                 a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(rest.astype(np.int32))], schema=schema)
         if len(late):
-            yield pa.RecordBatch.from_arrays([pa.array(late), *(pa.nulls(len(late), f.type) for f in list(schema)[1:])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(late), *(pa.nulls(len(late), f.type) for f in list(schema)[1:3]), pa.array(of_two), pa.nulls(len(late), pa.int32())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -334,10 +364,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = posted.filter("kind = 0").select("token", "sid", "meta").repartition("token").sortWithinPartitions("token", "sid")
         discard(light)
         light = stash(lists.mapInArrow(_scan_lists(num, den), _PAIRS), "pairs")
-        late = [r.late for r in light.filter("late is not null").select("late").distinct().limit(MOST_HEAVY).collect()]
+        late = light.filter("late is not null").select("late", "need").distinct().limit(MOST_HEAVY).collect()
         if not late:
             break
-        found = np.union1d(found, np.array(late, np.int64))
+        found = np.union1d(found, np.array([r.late for r in late if not r.need], np.int64))
+        if any(r.need for r in late):
+            subsets = spark.sparkContext.broadcast(np.sort(np.array([r.late for r in late if r.need], np.int64).view(np.uint64)))
+            parts = text.select("text").mapInArrow(_shingles_of(k, num, den, small, heavy, subsets), "token long").distinct()
+            found = np.union1d(found, np.array([r.token for r in parts.collect()], np.int64))  # two a subset at most
         discard(posted)
     pairs = light.filter("a is not null").groupBy("a", "b").agg(F.count("*").alias("o"), F.max("need").alias("need"), F.max("rest").alias("rest")).filter("o + rest >= need").select("a", "b")
     pairs = stash(pairs, "candidates")
