@@ -1,8 +1,8 @@
 """WARC archives: a deduplicating writer, and a salvage reader.
 
 The writer turns each page into one WARC/1.1 record: a `response` with the payload, or a `revisit` that refers to the
-record of the same payload with the smallest id. Archives are written by Spark's text writer (gzip), so they can go to
-any file system that Spark reaches.
+record of the same payload with the smallest id. Each record is a gzip member of its own, so that damage to one leaves
+the others. Archives are written by Spark's text writer, so they can go to any file system that Spark reaches.
 
 The reader checks every record (version line, header block, length, closing blank lines, payload digest). After a
 failed check it searches for the next version line, or in a compressed archive for the next gzip member that opens,
@@ -29,7 +29,6 @@ RECORDS_PER_FILE = 2_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_NEXT = re.compile(rb"(?<=\n)WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
 
@@ -113,7 +112,7 @@ def _records(data: bytes) -> Iterator[Found]:
             yield got
             at = got.end
             continue
-        found = _NEXT.search(data, at + 1)
+        found = _VERSION.search(data, at + 1)
         to = found.start() if found else len(data)
         yield Found(at, to, None, b"", got)
         at = to
@@ -121,19 +120,31 @@ def _records(data: bytes) -> Iterator[Found]:
 
 def _opens(data: bytes, at: int) -> tuple[bytes, int] | None:
     """Content and end of the gzip member at a position, or None."""
-    z = zlib.decompressobj(31)
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(data[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + 65536]))
+            at = min(at + 65536, len(data))
     except zlib.error:
         return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
+    return (b"".join(out), at - len(z.unused_data)) if z.eof else None
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """Records and gaps of a plain or gzip archive. Positions in a member are those of the member's first byte."""
-    if data[:2] != _MEMBER[:2]:
+    """Records and gaps of a plain or gzip archive. Positions in a member are those of the member's first byte.
+
+    Where the first bytes are damaged, the archive is what gives more records.
+    """
+    if data[:2] == _MEMBER[:2]:
+        yield from _members(data)
+    elif _VERSION.match(data) or _MEMBER not in data:
         yield from _records(data)
-        return
+    else:
+        either = list(_records(data)), list(_members(data))
+        yield from max(either, key=lambda found: sum(x.headers is not None for x in found))
+
+
+def _members(data: bytes) -> Iterator[Found]:
     at = 0
     while at < len(data):
         got = _opens(data, at)
@@ -160,14 +171,21 @@ def salvage(data: bytes) -> Iterator[Found]:
         at = to
 
 
+def _member(content: bytes) -> bytes:
+    """A gzip member that ends in a zero byte (its length's highest); after 16 MB and more an empty one follows."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    got = z.compress(content) + z.flush()
+    return got if got[-1] == 0 else got + _member(b"")
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 64):
             out = []
             for page, url, html, first in zip(*(batch.column(c).slice(lo, 64).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
                 got = record(page, url, (html or "").encode(), None if first is None or first == page else first)
-                out.append(got[:-1].decode())  # the text writer ends each row with the last newline
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], names=["value"])
+                out.append(_member(got)[:-1])  # the text writer ends each row with the last byte
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0) -> None:
@@ -184,7 +202,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     twice = stash(twice, "twice")
     side = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     rows = rows.join(side, F.col("sha") == F.col("k"), "left").select("page_id", "url", "html", "first")
-    rows.mapInArrow(_build, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members = rows.mapInArrow(_build, "value binary").select(F.col("value").cast("string"))  # bytes stay as they are
+    members.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _OUT = "archive string, start long, end long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, reason string, payload binary"
