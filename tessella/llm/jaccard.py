@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import kernel as K
 from tessella.llm.graph import components
-from tessella.llm.store import BROADCAST_ROWS, discard, stash, trim
+from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 
 #: A token counts as heavy from so many sets on; the number doubles until at most MOST_HEAVY tokens are.
 HEAVY_FROM, MOST_HEAVY = 16, BROADCAST_ROWS
@@ -333,6 +333,7 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return dealt.groupBy("family", "cell").applyInPandas(_block_links(num, den), "a long, b long")
 
 
+@scoped("jaccard")
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, class_id, component_id, n_links_class).
 
@@ -381,7 +382,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = families.join(tied.select(F.col("sid").alias("node")).distinct(), "node", "left_semi")
     families = stash(families, "families")
     discard(posted)
-    trim(spark)
 
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).unionAll(families.select(F.col("node").alias("sid"))).distinct()
     place = F.coalesce(F.col("key"), F.xxhash64(F.col("sid")))
@@ -396,7 +396,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(_verify(num, den), "a long, b long")
     links = stash(links.unionAll(_family_links(families, sets, num, den)), "links")
     discard(pairs, families, keys, sets)
-    trim(spark)
     roots = components(links, "a", "b")
     ends = links.select(F.col("a").alias("sid")).unionAll(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     tree = roots.join(ends, roots.node == ends.sid, "left").select("node", "root", "n_links")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import BROADCAST_ROWS, stash
+from tessella.llm.store import BROADCAST_ROWS, scoped, stash
 
 #: Short grants and headers of well-known licenses.
 TEMPLATES = {
@@ -160,6 +160,7 @@ def _directory(path):
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+@scoped("licenses")
 def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, path, own_license, cosine, is_license_file, license, inherited_from).
 

@@ -1,22 +1,34 @@
 """Mixing sources to target weights by entropy balancing. DataFrame expressions only.
 
-Of all document rates whose expected tokens meet the target of every source, entropy balancing takes the one closest
-(in Kullback-Leibler divergence, a token at a time) to the corpus as it is. Its dual is convex with one multiplier per
-source, and the rates are exponential tilts. Tokens of a source are the sufficient statistic, so the corpus is
-aggregated once and each Newton step runs on the table of sources, distributed. Rates are rounded to whole copies so
-that every source's tokens come within half a small document of the target.
+Of all document rates between 0 and `cap` whose expected tokens meet the target of every source, entropy balancing
+takes the one closest (in Kullback-Leibler divergence, a document at a time) to the corpus as it is. Its dual is convex
+with one multiplier per source, and a document's rate is the exponential of the multiplier times its own tokens, cut at
+`cap`: where a source must shrink its longest documents go first, where it must grow they are repeated first, and as
+many documents as possible stay as they are.
+
+Documents of a source that are equally long have the same rate, so (source, size) with the number of documents is all
+that the dual needs: the corpus is aggregated once, and each Newton step is a distributed sum of gradient and Hessian
+over that table, for all sources at once. Sums are decimals, so that reruns agree to the last digit. Rates become whole
+copies by systematic rounding along the sizes; then exchanges of a few documents close what a source still lacks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.store import stash
+from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 
-NEWTON_STEPS = 40
-#: Documents of a source are laid out along [0, 1) by hash, in cells of about so many rows.
+#: Newton stops when every source's expected tokens are so near its target (relative), or after so many steps: each
+#: halves the bracket of the multiplier at least.
+TOLERANCE, MOST_STEPS = 1e-10, 100
+#: Documents of one source and size are laid out along [0, 1) by hash, in cells of about so many rows.
 CELL_ROWS = 4_000
+#: Exchanges look at one size per 1/PER_OCTAVE of an octave; three documents at a time up to FEW sizes, else two.
+PER_OCTAVE, FEW, EXCHANGES = 3, 14, 2
+_EXACT = "decimal(38,12)"
 
 
 def n_words(text: Column) -> Column:
@@ -49,20 +61,98 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: int = 3) -> DataFrame:
     return table.withColumn("target", F.least(limit.cast("double"), F.col("weight") * level))
 
 
-def tilt(size: Column, target: Column, cap: int) -> Column:
-    """Newton on the dual d(x) = size * exp(x) - target * x: the multiplier of a source whose rate is exp(x)."""
-    start = F.lit(0.0)
-    step = lambda x, _: x - F.greatest(F.least((size * F.exp(x) - target) / (size * F.exp(x)), F.lit(1.0)), F.lit(-1.0))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)
-    return F.when((size <= 0) | (target <= 0), F.lit(0.0)).otherwise(F.least(F.exp(root), F.lit(float(cap))))
+def _tilted(multiplier: Column, x: Column, cap: int) -> Column:
+    """exp(multiplier * x), cut at cap."""
+    return F.least(F.exp(F.least(multiplier * x, F.lit(math.log(cap)))), F.lit(float(cap)))
+
+
+def _matched(left: DataFrame, right: DataFrame, *on: str, few: bool, how: str = "inner") -> DataFrame:
+    """Join by columns where null matches null; the right side is broadcast if it has few rows."""
+    r = right.withColumnsRenamed({c: f"_{c}" for c in on})
+    test = F.lit(True)
+    for c in on:
+        test = test & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(F.broadcast(r) if few else r, test, how).drop(*[f"_{c}" for c in on])
+
 
+def solve_dual(sizes: DataFrame, sources: DataFrame, cap: int = 3, few: bool = False) -> DataFrame:
+    """(source, multiplier, mean) where Newton steps on the dual end, from sizes (source, size, n) with size > 0.
+
+    The multiplier counts in units of the source's mean size. Sources whose target is all they may give (cap times
+    their size) have no finite multiplier and are left out, as are sources without words. few: there are so few sources
+    that their table may be broadcast.
+    """
+    mean = sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    now = sources.filter(F.col("target") < F.col("source_size") * cap * (1 - 1e-12)).select("source", "source_size", "target")
+    now = _matched(now, mean, "source", few=few)
+    # At `low` a document of one word has a rate of exp(-60), at `high` all have the cap.
+    now = stash(now.withColumns({"multiplier": F.lit(0.0), "low": -60.0 * F.col("mean"), "high": math.log(cap) * F.col("mean")}), "dual")
+    x = F.col("size") / F.col("mean")
+    for _ in range(MOST_STEPS):
+        rate = _tilted(F.col("multiplier"), x, cap)
+        tokens = F.col("size") * F.col("n") * rate
+        sums = _matched(sizes, now, "source", few=few).groupBy("source").agg(
+            F.sum(tokens.cast(_EXACT)).cast("double").alias("got"),
+            F.sum(F.when(rate < cap, tokens * x).otherwise(0.0).cast(_EXACT)).cast("double").alias("slope"),
+        )
+        off = F.col("got") - F.col("target")
+        low, high = F.when(off < 0, F.col("multiplier")).otherwise(F.col("low")), F.when(off > 0, F.col("multiplier")).otherwise(F.col("high"))
+        step = F.when(F.col("slope") > 0, F.col("multiplier") - off / F.col("slope"))
+        inside = step.between(F.col("low"), F.col("high"))
+        new = _matched(now, sums, "source", few=few).withColumns({"low": low, "high": high})
+        new = new.withColumn("miss", F.abs(off) / F.col("source_size"))
+        multiplier = F.when(F.col("miss") <= TOLERANCE, F.col("multiplier")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
+        new = stash(new.withColumn("multiplier", multiplier).drop("got", "slope"), "dual")
+        discard(now)
+        miss = new.agg(F.max("miss")).first()[0]
+        now = new.drop("miss")
+        now._stash_path = new._stash_path
+        if miss is None or miss <= TOLERANCE:
+            break
+    return now.select("source", "multiplier", "mean")
 
+
+def _rounded(plan: DataFrame) -> DataFrame:
+    """plan with `copies`, those that all documents of a source and size get together: systematic along the sizes.
+
+    Sizes rise along the order, so a source misses its tokens by less than its longest document.
+    """
+    share = F.col("rate") * F.col("n")
+    until = F.sum(share).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    plan = plan.withColumn("until", F.floor(until + 0.5))
+    before = F.lag("until", 1, 0).over(Window.partitionBy("source").orderBy("size"))
+    return plan.withColumn("copies", (F.col("until") - before).cast("long")).drop("until")
+
+
+def _exchanged(plan: DataFrame, cap: int, few: bool) -> DataFrame:
+    """plan after the best exchange in each source: two (of few sizes three) documents get a copy more or less."""
+    octave = F.floor(F.log2("size") * PER_OCTAVE)
+    more, less = (F.col("copies") < F.col("n") * cap).cast("long"), (F.col("copies") > 0).cast("long")
+    lacks = plan.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lacks"), F.count("*").alias("sizes"))
+    # Every size of a source of few sizes; of others one size an octave's part, so that the list is bounded.
+    each = plan.withColumns({"more": more, "less": less, "octave": octave})
+    each = _matched(each, lacks, "source", few=few)
+    part = F.when(F.col("sizes") <= FEW, F.col("size")).otherwise(F.col("octave"))
+    some = each.groupBy("source", "lacks", part.alias("part")).agg(F.min(F.struct("size", "more", "less")).alias("at"))
+    steps = F.flatten(F.transform("ats", lambda a: F.filter(F.array(F.when(a["more"] > 0, a["size"]), F.when(a["less"] > 0, -a["size"])), lambda v: v.isNotNull())))
+    some = some.groupBy("source", "lacks").agg(F.array_sort(F.collect_list("at")).alias("ats")).withColumn("few", F.size("ats") <= FEW)
+    some = some.withColumn("steps", F.concat(F.array(F.lit(0).cast("long")), steps))
+    miss = lambda *s: F.struct(F.abs(F.col("lacks") - sum(s[1:], s[0])).alias("miss"), sum((F.abs(F.signum(x)) for x in s[1:]), F.abs(F.signum(s[0]))).alias("moves"), F.array(*s).alias("steps"))
+    best = lambda outer, inner: F.array_min(F.transform(outer, inner))
+    two = best(F.col("steps"), lambda a: best(F.filter("steps", lambda b: (b != a) & (b != -a) | (b == 0)), lambda b: miss(a, b, F.lit(0).cast("long"))))
+    three = best(F.col("steps"), lambda a: best(F.filter("steps", lambda b: (b != a) & (b != -a) | (b == 0)), lambda b: best(F.filter("steps", lambda c: (c != a) & (c != -a) & (c != b) & (c != -b) | (c == 0)), lambda c: miss(a, b, c))))
+    moves = some.withColumn("best", F.when(F.col("few"), three).otherwise(two)).select("source", F.explode("best.steps").alias("step")).filter("step <> 0")
+    moves = moves.select("source", F.abs("step").alias("size"), F.signum("step").cast("long").alias("change"))  # three a source at most
+    return _matched(plan, moves, "source", "size", few=few, how="left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+
+
+@scoped("mix")
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, cap: int = 3) -> DataFrame:
     """One row per row of docs: (doc_id, text_hash, size, source, source_size, target, rate, copies, taken).
 
-    rate is the tilted rate of the document, copies its rounding (floor(rate) or one more, at most cap), taken is
-    copies * size. Which documents take the extra copy follows from hashes of id and text alone, so reruns agree; rows
-    equal in both are told apart by a running number.
+    rate is the tilted rate of the document, copies its rounding (at most cap), taken is copies * size. Which of equally
+    long documents of a source take one copy more follows from hashes of id and text alone, so reruns agree; rows equal
+    in both are told apart by a running number.
 
     Null texts have size 0 and take none; null sources are a source of their own, ordered last; null ids are hashed by
     their text. Only the named columns are read. An empty table gives no rows; a corpus without words takes nothing.
@@ -70,39 +160,34 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     base = stash(base, "sizes")
-    sources = stash(source_targets(base.select("source", "size"), cycle, cap).withColumn("rate", tilt(F.col("source_size").cast("double"), F.col("target"), cap)), "targets")
-
+    sizes = stash(base.groupBy("source", "size").agg(F.count("*").alias("n")), "by-size")
+    sources = stash(source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), cycle, cap), "targets")
+    few = sources.count() <= BROADCAST_ROWS // 10
+    some = sizes.filter("size > 0")
+    dual = solve_dual(some, sources, cap, few)
+
+    plan = _matched(_matched(some, sources.drop("weight"), "source", few=few), dual, "source", few=few, how="left")
+    rate = F.coalesce(_tilted(F.col("multiplier"), F.col("size") / F.col("mean"), cap), F.lit(float(cap)))
+    plan = stash(_rounded(plan.withColumn("rate", rate).drop("multiplier", "mean")), "plan")
+    for _ in range(EXCHANGES):
+        new = stash(_exchanged(plan, cap, few), "plan")
+        discard(plan)
+        plan = new
+    whole = F.floor(F.col("copies") / F.col("n")).cast("long")
+    told = plan.withColumns({"whole": whole, "extra": F.col("copies") - whole * F.col("n")}).select("source", "size", "n", "rate", "whole", "extra")
+    told = stash(told, "told")
+
+    rows = _matched(base, told, "source", "size", few=told.count() <= BROADCAST_ROWS // 10, how="left")
+    rows = _matched(rows, sources.select("source", "source_size", "target"), "source", few=few)
     key = F.xxhash64("doc_id", "text_hash", F.lit(17))
-    rows = base.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    stats = base.groupBy("source").agg(F.avg("size").alias("mean"), F.count("*").alias("n"), F.max("size").alias("top"))
-    rows = rows.join(stats.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # Large documents are rounded first; small ones then make up what these leave open.
-    cells = F.greatest(F.ceil(F.col("n") / CELL_ROWS), F.lit(1)).cast("long")
     unit = F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)
-    rows = rows.withColumn("small", F.col("size") <= F.col("mean")).withColumn("key", key).withColumn("cell", F.least(F.floor(unit * cells), cells - 1)).drop("mean", "n", "top")
-    rows = stash(rows, "laid")
-
-    whole = F.floor(F.col("rate") + 1e-9)
-    extra = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    group = rows.groupBy("source", "small", "cell").agg(F.sum("size").alias("cell_size"), F.first("rate").alias("rate"))
-    order = Window.partitionBy("source", "small").orderBy("cell")
-    group = group.withColumn("before", F.sum("cell_size").over(order) - F.col("cell_size")).withColumn("all", F.sum("cell_size").over(Window.partitionBy("source", "small")))
-    group = stash(group, "cells")
-
-    def taking(part: DataFrame, cells: DataFrame, quota: DataFrame) -> DataFrame:
-        """Rows with extra = 1 along the hash order while the middle of the row lies within the quota."""
-        c = cells.join(quota.withColumnRenamed("source", "q"), F.col("source").eqNullSafe(F.col("q"))).select(F.col("source").alias("q"), F.col("cell").alias("c"), "before", "quota")
-        w = Window.partitionBy("source", "cell").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        got = part.join(c, F.col("source").eqNullSafe(F.col("q")) & (F.col("cell") == F.col("c"))).drop("q", "c")
-        end = F.col("before") + F.sum("size").over(w)
-        return got.withColumn("extra", (end - F.col("size") / 2.0 <= F.col("quota")).cast("long")).drop("before", "quota")
-
-    sums = group.groupBy("source").agg(F.sum("cell_size").alias("all"), F.sum(F.when(~F.col("small"), F.col("cell_size"))).alias("large"), F.first("rate").alias("rate"))
-    sums = sums.withColumn("open", extra * F.col("all")).withColumn("share", extra * F.coalesce(F.col("large"), F.lit(0)))
-    large = stash(taking(rows.filter(~F.col("small")), group.filter(~F.col("small")), sums.select("source", F.col("share").alias("quota"))), "large")
-    done = large.groupBy("source").agg(F.sum(F.col("extra") * F.col("size")).alias("done"))
-    left = sums.join(done.withColumnRenamed("source", "d"), F.col("source").eqNullSafe(F.col("d")), "left").select("source", (F.col("open") - F.coalesce(F.col("done"), F.lit(0))).alias("quota"))
-    small = taking(rows.filter("small"), group.filter("small"), left)
-    out = large.unionByName(small)
-    copies = F.least(whole.cast("long") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0), F.lit(cap).cast("long"))
-    return out.withColumn("copies", copies).select("doc_id", "text_hash", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    cells = F.greatest(F.ceil(F.col("n") / CELL_ROWS), F.lit(1)).cast("long")
+    rows = stash(rows.withColumn("key", key).withColumn("cell", F.least(F.floor(unit * cells), cells - 1)), "laid")
+    open_ = rows.filter("extra > 0")
+    filled = open_.groupBy("source", "size", "cell").agg(F.count("*").alias("in_cell"))
+    filled = stash(filled.withColumn("before", F.sum("in_cell").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("in_cell")).drop("in_cell"), "cells")
+    nth = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("key")) - 1
+    open_ = _matched(open_, filled, "source", "size", "cell", few=filled.count() <= BROADCAST_ROWS // 10).withColumn("more", (F.col("before") + nth < F.col("extra")).cast("long")).drop("before")
+    out = open_.unionByName(rows.filter("extra is null or extra = 0").withColumn("more", F.lit(0).cast("long")))
+    out = out.withColumn("copies", F.coalesce(F.col("whole") + F.col("more"), F.lit(0).cast("long"))).withColumn("rate", F.coalesce("rate", F.lit(1.0)))
+    return out.select("doc_id", "text_hash", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table
 from tessella.llm.licenses import scan_licenses
 from tessella.llm.repeats import find_repeats
-from tessella.llm.store import shared_dir
+from tessella.llm.store import new_path, scope
 from tessella.llm.warc import read_warc, write_warc
 
 
@@ -19,11 +17,13 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tessella/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.try_element_at(F.split(F.regexp_replace(c, "[<>]", ""), ":"), F.lit(3)).try_cast("long")
-    records = read_warc(spark, path).filter("warc_type is not null")
-    return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
+    with scope(spark) as tables:
+        path = new_path(spark, "warc")
+        write_warc(table(spark, sf_dir, "pages"), path)
+        records = read_warc(spark, path).filter("warc_type is not null")
+        out = records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
+        return tables.result(out, "warc-records")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

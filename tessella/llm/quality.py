@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import kernel as K
-from tessella.llm.store import BROADCAST_ROWS, stash
+from tessella.llm.store import BROADCAST_ROWS, discard, stash
 
 BITS = 18
 #: Pseudo-counts per bucket of the trusted multinomial, spread as the raw one is.
@@ -69,6 +69,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     raw, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toLocalIterator():  # 2^BITS rows at most
         raw[r.bucket], good[r.bucket] = r.raw, r.good
+    discard(ids)
     if not good.sum():
         return np.zeros(1 << BITS)
     base = (raw + 1) / (raw.sum() + len(raw))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import kernel as K
-from tessella.llm.store import BROADCAST_ROWS, discard, stash, trim
+from tessella.llm.store import discard, scoped, stash
 
 LEAST, GRAM, WINDOW = 50, 4, 16
 KEY = LEAST - WINDOW + 1
@@ -244,6 +244,7 @@ def _bucket(uid: str):
     return F.shiftrightunsigned(uid, 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
 
 
+@scoped("repeats")
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, n_words, n_repeat_words, spans, partners).
 
@@ -256,12 +257,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer than LEAST words have no spans. Null ids are compared like others but are not listed as partners. Only the two
     named columns are read. No rows in, no rows out.
     """
-    spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text = text.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = stash(text.mapInArrow(_suffixes, "kind byte, key long, wide long, uid long, at long, doc_id long"), "suffixes")
     wide, asks, matched = _agree(found.filter("kind = 1").select("key", "wide", "uid", "at"), "matches")
-    trim(spark)
 
     wanted = stash(asks.groupBy("uid").agg(F.collect_set("at").alias("wanted")).withColumnRenamed("uid", "w_uid"), "wanted")
     # Texts without a wanted position do not move: ids are 64 bits of a hash, so their bits make a filter of fixed size.
@@ -271,12 +270,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     passages = stash(passages, "passages")
     exact, _, shared = _agree(passages.select("key", F.col("key").alias("wide"), "uid", "at"), "shared")
     discard(wanted, passages)
-    trim(spark)
 
     every = wide.unionAll(exact)
     grown = stash(every.repartition("uid").sortWithinPartitions("uid", "uid2", "shift", "start").mapInArrow(_runs, "uid long, start int, stop int, uid2 long"), "grown")
     discard(matched, shared)
-    trim(spark)
 
     heads = found.filter("kind = 0").select("doc_id", "uid", F.col("at").alias("n_words"))
     names = heads.filter("doc_id is not null").select(F.col("uid").alias("p_uid"), F.col("doc_id").alias("p_id")).dropDuplicates(["p_uid"])

@@ -2,8 +2,8 @@
 
 Rows that belong together (equal texts) form groups. Every row starts in a shard by hash; in each round groups elect
 the shards where most of their rows are (as many shards as the group fills), and rows move there under quotas: a shard
-admits the share of its applicants that its capacity beside other linked rows allows, drawn by hash. A last pass makes
-counts exact: rows beyond a shard's quota, rows without links first, go to the shards that still lack some.
+admits the share of its applicants that its capacity beside other linked rows allows, drawn by hash. Rounds go on while
+the number of rows that want to move falls. A last pass makes counts exact: rows beyond a shard's quota, rows without links first, go to the shards that still lack some.
 
 Groups enter as (group, shard) counts, aggregated before any shuffle, so a group with a third of all rows costs one
 row a shard. Ranks come from counts of small cells, never from one task that sorts a shard.
@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.store import BROADCAST_ROWS, discard, stash
+from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 
-ROUNDS = 3
 CELL_ROWS = 20_000
 
 
@@ -35,8 +34,8 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[int], few: bool) -> DataFrame:
-    """One round over rows with links; base is what other rows of higher rank fill of each shard."""
+def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[int], few: bool) -> tuple[DataFrame, int]:
+    """One round over rows with links, and how many of them wanted to move; base is what rows of higher rank fill of each shard."""
     load = [a + b for a, b in zip(base, _loads(state, shards), strict=True)]
     votes = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
     ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by"))  # one entry a shard at most
@@ -56,7 +55,7 @@ def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[in
     leave = {r.shard: r["count"] for r in asked.filter("target is not null").groupBy("shard").count().collect()}
     admit = [min(1.0, max(0, cap - load[s] + leave.get(s, 0)) / flow[s]) if flow.get(s) else 0.0 for s in range(shards)]
     goes = F.col("target").isNotNull() & (_unit("place", F.lit(turn + 100)) < _pick(admit, F.coalesce("target", F.lit(0))))
-    return asked.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target")
+    return asked.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"), sum(leave.values())
 
 
 def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
@@ -74,7 +73,8 @@ def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
     return laid.withColumn("own", own).join(before, ["shard", "cell", "part"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "cell", "part")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, rounds: int = ROUNDS) -> DataFrame:
+@scoped("shards")
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard, group, text_hash).
 
     Law `rows`: counts of any two shards differ by one at most. size is the UTF-8 length of the text plus overhead,
@@ -97,11 +97,17 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     base = [0] * shards
     settled = [state.filter("rows is null")]
     # Groups of half a shard and more settle first and see only each other; small ones settle around them.
-    for part, turns in ((state.filter(F.col("rows") * 2 > cap), range(rounds)), (state.filter(F.col("rows") * 2 <= cap), range(rounds, 2 * rounds))):
-        for turn in turns if total else ():
-            new = stash(_propagate(part, shards, cap, turn, base, few), "linked")
+    turn = 0
+    for part in (state.filter(F.col("rows") * 2 > cap), state.filter(F.col("rows") * 2 <= cap)):
+        before = part.count() + 1
+        while before > 1:
+            moved, wanted = _propagate(part, shards, cap, turn, base, few)
+            turn += 1
+            if not 0 < wanted < before:  # settled: none wants to move, or no fewer than before
+                break
+            new = stash(moved, "linked")
             discard(part)
-            part = new
+            part, before = new, wanted
         base = [a + b for a, b in zip(base, _loads(part, shards), strict=True)]
         settled.append(part)
     state = settled[0].unionByName(settled[1]).unionByName(settled[2])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.store import BROADCAST_ROWS, stash
+from tessella.llm.store import BROADCAST_ROWS, discard, stash
 
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2_000
@@ -204,6 +204,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = rows.join(side, F.col("sha") == F.col("k"), "left").select("page_id", "url", "html", "first")
     members = rows.mapInArrow(_build, "value binary").select(F.col("value").cast("string"))  # bytes stay as they are
     members.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    discard(twice)
 
 
 _OUT = "archive string, start long, end long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, reason string, payload binary"
