@@ -25,7 +25,7 @@ from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 #: halves the bracket of the multiplier at least.
 TOLERANCE, MOST_STEPS = 1e-10, 100
 #: Documents of one source and size are laid out along [0, 1) by hash, in cells of about so many rows.
-CELL_ROWS = 4_000
+CELL_ROWS = 500
 #: Exchanges look at one size per 1/PER_OCTAVE of an octave; three documents at a time up to FEW sizes, else two.
 PER_OCTAVE, FEW, EXCHANGES = 3, 14, 2
 _EXACT = "decimal(38,12)"
@@ -185,9 +185,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stash(rows.withColumn("key", key).withColumn("cell", F.least(F.floor(unit * cells), cells - 1)), "laid")
     open_ = rows.filter("extra > 0")
     filled = open_.groupBy("source", "size", "cell").agg(F.count("*").alias("in_cell"))
-    filled = stash(filled.withColumn("before", F.sum("in_cell").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("in_cell")).drop("in_cell"), "cells")
-    nth = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("key")) - 1
-    open_ = _matched(open_, filled, "source", "size", "cell", few=filled.count() <= BROADCAST_ROWS // 10).withColumn("more", (F.col("before") + nth < F.col("extra")).cast("long")).drop("before")
+    filled = stash(filled.withColumn("before", F.sum("in_cell").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("in_cell")), "cells")
+    open_ = _matched(open_, filled, "source", "size", "cell", few=filled.count() <= BROADCAST_ROWS // 10)
+    # Cells before the one where the extra copies end take one each, cells behind it none; in it rows are ordered.
+    left = F.col("extra") - F.col("before")
+    cut = (left > 0) & (left < F.col("in_cell"))
+    nth = F.row_number().over(Window.partitionBy("source", "size").orderBy("key")) - 1
+    open_ = open_.filter(~cut).withColumn("more", (left > 0).cast("long")).unionByName(open_.filter(cut).withColumn("more", (nth < left).cast("long"))).drop("before", "in_cell")
     out = open_.unionByName(rows.filter("extra is null or extra = 0").withColumn("more", F.lit(0).cast("long")))
     out = out.withColumn("copies", F.coalesce(F.col("whole") + F.col("more"), F.lit(0).cast("long"))).withColumn("rate", F.coalesce("rate", F.lit(1.0)))
     return out.select("doc_id", "text_hash", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

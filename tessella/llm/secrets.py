@@ -1,10 +1,13 @@
 """Secret scan by assignment-aware lexing.
 
-Each text is lexed as source or configuration: name-literal pairs from assignments (`name = "literal"`, `name: literal`,
-`"name": "literal"`, `name := literal`, `export NAME=literal`, `--name=literal`), where the right side may also be
-another name or a sum of literals and names. Constants are propagated through such names, and a literal is scored by
-how sensitive the name is that it reaches, by its length and by its entropy. Plain patterns for credentials of a known
-shape (the base) are always part of the result; the lexer adds to them.
+Each text is cut into tokens as source or configuration is (strings with their prefixes, names, operators, brackets,
+lines), and assignments are read from them as name-literal pairs: `name = "literal"`, with type annotations or
+declarations around the name, `"name": literal`, `name := literal`, `object["name"] = literal`, `name => literal`,
+`--name=literal`, `NAME=literal`, `#define NAME literal`, `<add key="name" value="literal"/>`, `<name>literal</name>`.
+The right side may be a sum of literals and names, or a string that names are set into. Constants are propagated
+through such names within their scopes, and a literal is scored by how sensitive the name is that it reaches, by its
+length and by its entropy. Plain patterns for credentials of a known shape (the base) are always part of the result;
+the lexer adds to them.
 """
 
 from __future__ import annotations
@@ -29,95 +32,291 @@ _HINT = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.
 #: Parts of names that make a target sensitive, and their weight.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "api_key": 3, "credential": 2, "private_key": 3, "access_key": 3, "auth": 1, "signing": 1, "license_key": 2, "client_key": 2, "encryption": 2, "conn_str": 2, "connectionstring": 2}
 
+#: Last parts of names that speak about a secret and do not hold it.
+ABOUT = {"help", "hint", "label", "prompt", "message", "msg", "error", "placeholder", "title", "description", "text", "url", "uri", "path", "file", "field", "name", "length", "len", "type", "id", "ttl", "expiry", "policy", "regex", "pattern", "count", "size", "format", "header", "column", "input"}
+
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = {"none", "null", "true", "false", "undefined", "changeme", "example", "password", "secret", "token", "xxxxxx", "placeholder", "your_password", "todo", "redacted", "string", "bytes", "required", "optional"}
 
+#: Words that declare a name, and words for types that may follow it.
+DECLARES = {"const", "let", "var", "val", "static", "final", "public", "private", "protected", "auto", "char", "my", "local", "export", "mut", "pub", "readonly"}
+TYPES = {"string", "str", "String", "int", "bool", "byte", "bytes", "char", "any", "float", "double", "object", "CharSequence"}
+
 LEAST_LITERAL = 6
 LEAST_SCORE = 4.0
 
-_OPERATOR = re.compile(r":=|=>|[:=]")
-_NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
-_TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[A-Za-z0-9_$][A-Za-z0-9+/_.=$-]*)""")
-_PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
-_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+_TOKEN = re.compile(
+    r"""(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2})?(?:\"{3}(?:\\.|[^\\])*?\"{3}|"(?:\\.|[^"\\\n])*")|(?<![A-Za-z0-9_])[rRbBfFuU]{0,2}(?:'{3}(?:\\.|[^\\])*?'{3}|'(?:\\.|[^'\\\n])*')|`(?:\\.|[^`\\])*`)"""
+    r"""|(?P<line>\n[\x20\t]*)"""
+    r"""|(?P<define>(?<![^\n])[\x20\t]*(?:\#[\x20\t]*define|ENV|setenv)[\x20\t]+[A-Za-z_][A-Za-z0-9_]*(?=[\x20\t]))"""
+    r"""|(?P<tag></?[A-Za-z_][A-Za-z0-9_.:-]*)"""
+    r"""|(?P<other>={2,3}|![=]{1,2}|<=|>=|->|::|://)"""
+    r"""|(?P<op>:=|=>|\+=|\?=|[:=])"""
+    r"""|(?P<bracket>[{}()\[\];,<>])""",
+    re.DOTALL,
+)
+_LAST_NAME = re.compile(r"[A-Za-z0-9_$.\-]+\Z")
+_WORDS = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
+_INDEX = re.compile(r"\[[\x20\t]*[0-9]*[\x20\t]*\][\x20\t]*\Z")
+_TYPED = re.compile(r"""[\x20\t]*[&*?A-Za-z_\[(][^\n"'`=:;\#]*?(?:(?<=[\x20\t])=[\x20\t]|=(?=[\x20\t]*[rRbBfFuU]{0,2}["'`]))""")
+_BARE = re.compile(r"""[A-Za-z0-9_$/+@!%^&*~.-][^\s"'`,;<>(){}\[\]]*""")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\Z")
+_SET_IN = re.compile(r"\$?\{[\x20]*([A-Za-z_$][A-Za-z0-9_.$]*)[^{}\n]*\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+_JOINS = re.compile(r"[\x20\t]*(?:\+|\|\||\.\.)[\x20\t]*|[\x20\t]+(?=[\"'])")
+_DEF = re.compile(r"[\x20\t]*(?:async[\x20]+)?(?:def|class)\b[^\n]*:[\x20\t]*(?:\#[^\n]*)?\Z")
+
 
+class Value:
+    """A literal with what other constants put into it: terms are spans of the text or other values, never a copy."""
+
+    __slots__ = ("counts", "length", "plain", "terms", "through")
+
+    def __init__(self, terms: list, text: str):
+        self.terms, self.counts, self.length, self.through = terms, Counter(), 0, False
+        pieces: list[str] | None = []
+        for t in terms:
+            if isinstance(t, Value):
+                self.counts, self.length, self.through = self.counts + t.counts, self.length + t.length, True
+                piece = t.plain
+            else:
+                piece = text[t[0] : t[1]]
+                self.counts, self.length = self.counts + Counter(piece), self.length + len(piece)
+            pieces = None if pieces is None or piece is None or self.length > 64 else [*pieces, piece]
+        #: The text itself if it is short.
+        self.plain = None if pieces is None else "".join(pieces)
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+    def spans(self) -> set[tuple[int, int]]:
+        out, seen, todo = set(), set(), [self]
+        while todo:
+            for t in todo.pop().terms:
+                if not isinstance(t, Value):
+                    out.add(t)
+                elif id(t) not in seen:
+                    seen.add(id(t))
+                    todo.append(t)
+        return out
 
 
 def name_weight(name: str) -> int:
     """How much a target name suggests a secret; camel case, dashes and dots are read like underscores."""
     plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_").replace("$", "")
-    return max((w for part, w in SENSITIVE.items() if part in plain), default=0)
+    weight = max((w for part, w in SENSITIVE.items() if part in plain), default=0)
+    return 0 if plain.rpartition("_")[2] in ABOUT else weight
 
 
-def score(name: str, literal: str) -> float:
-    """Weight of the name, plus up to two points each for entropy and length; 0 for placeholders and plain words."""
-    if literal.lower() in PLACEHOLDERS or len(literal) < LEAST_LITERAL:
+def score(name: str, literal: Value | str, quoted: bool = True) -> float:
+    """Weight of the name, plus up to two points each for entropy and length; less for words and phrases, 0 for placeholders.
+
+    A literal without quotes must hold a digit or a sign to be more than a word.
+    """
+    value = Value([(0, len(literal))], literal) if isinstance(literal, str) else literal
+    weight, n = name_weight(name), value.length
+    if not weight or n < LEAST_LITERAL or (value.plain is not None and value.plain.lower() in PLACEHOLDERS):
         return 0.0
-    weight = name_weight(name)
-    mixed = bool(re.search(r"\d", literal)) + bool(re.search(r"[A-Z]", literal)) + bool(re.search(r"[^A-Za-z0-9]", literal))
-    return weight and weight + min(2.0, _entropy(literal) / 2) + min(2.0, len(literal) / 16) - (2.0 if not mixed else 0.0)
+    entropy = -sum(c / n * math.log2(c / n) for c in value.counts.values())
+    mixed = any(c.isdigit() or not c.isalnum() and c not in " _." or quoted and c.isupper() for c in value.counts)
+    phrase = any(c.isspace() for c in value.counts) and "phrase" not in name.lower()
+    return weight + min(2.0, entropy / 2) + min(n, 32) / 16 - (0.0 if mixed else 2.0) - (3.0 if phrase else 0.0)
+
+
+def _string(text: str, start: int, end: int) -> tuple[int, int, bool]:
+    """Content of a string token, and whether names may be set into it."""
+    i = start
+    while text[i] not in "\"'`":
+        i += 1
+    width = 3 if text[i : i + 3] in ('\"\"\"', "'''") and end - i >= 6 else 1
+    return i + width, end - width, "f" in text[start:i].lower() or text[i] in '"`'
+
 
+def _terms(text: str, at: int) -> tuple[list, int, bool]:
+    """Terms of the expression at a position (spans, or names as strings), its end, and whether it is quoted.
 
-def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, terms) of each assignment, in order; a term is (content, start, end, is a name)."""
-    out, floor = [], 0
-    for m in _OPERATOR.finditer(text):
-        i = m.start()
-        if i < floor:
+    A call, or a name that is indexed, has no value that the text tells: no terms.
+    """
+    out, quoted = [], False
+    while True:
+        m = _TOKEN.match(text, at)
+        if m and m.lastgroup == "string":
+            start, end, open_ = _string(text, m.start(), m.end())
+            quoted, at = True, m.end()
+            for s in _SET_IN.finditer(text, start, end) if open_ else ():
+                if s.start() > start:
+                    out.append((start, s.start()))
+                out.append(s.group(1) or s.group(2))
+                out.append((s.start(), s.end()))  # as it stands, should the name be unknown
+                start = s.end()
+            if end > start:
+                out.append((start, end))
+        elif m and m.lastgroup not in (None, "other"):
+            break
+        elif b := _BARE.match(text, at):
+            if text[b.end() : b.end() + 1] in ("(", "[") or text[b.end() - 1] == ":":
+                return [], b.end(), False
+            if _IDENTIFIER.match(b.group()):
+                out.append(b.group())
+            out.append((b.start(), b.end()))
+            at = b.end()
+        else:
+            break
+        join = _JOINS.match(text, at)
+        if not join or not out:
+            break
+        at = join.end()
+    return out, at, quoted
+
+
+def _declared(head: str) -> tuple[str, bool]:
+    """The name that an assignment's left side ends in, and whether it declares it."""
+    head = _INDEX.sub("", head.rstrip(" \t?!"))
+    words = _WORDS.findall(head)
+    last = _LAST_NAME.search(head)
+    if not last or head[last.start() - 1 : last.start()] == "/":  # part of a path
+        return "", False
+    name = last.group().lstrip("-.")
+    if name in TYPES and len(words) > 1 and words[-2] not in DECLARES:
+        name = words[-2]
+    return name, len(words) > 1 and bool(DECLARES.intersection(words[:-1]) or TYPES.intersection(words))
+
+
+def lex(text: str) -> Iterator[tuple]:
+    """Events in the order of the text: ("set", name, terms, quoted, declares, adds), ("open", kind) and ("close", kind)."""
+    begin = line = 0  # where the statement and the line begin
+    before = [(0, 0, "")] * 3  # the last tokens
+    floor, deep, defs, waiting = 0, 0, [], None
+    tag: dict[str, tuple] | None = None
+    for m in _TOKEN.finditer(text):
+        kind, i = m.lastgroup, m.start()
+        if kind == "line":
+            if deep == 0 and text[m.end() : m.end() + 1] not in ("\n", "#", ""):
+                indent = m.end() - i - 1
+                if waiting is not None and indent > waiting:
+                    defs.append(waiting)
+                    yield ("open", "def")
+                if waiting is not None or text[line:i].strip():
+                    waiting = None
+                if _DEF.match(text, line, i):
+                    waiting = len(text[line:i]) - len(text[line:i].lstrip())
+                    if indent > waiting:
+                        defs.append(waiting)
+                        yield ("open", "def")
+                        waiting = None
+                while defs and indent <= defs[-1]:
+                    defs.pop()
+                    yield ("close", "def")
+            begin, line = m.end(), i + 1
+        elif kind == "bracket":
+            c = m.group()
+            if c == "{":
+                yield ("open", "brace")
+            elif c == "}":
+                yield ("close", "brace")
+            deep = max(0, deep + (c in "([") - (c in ")]"))
+            if c == ">":
+                tag = None
+            if c not in "[]<>" or tag is not None:
+                begin = m.end()
+        elif kind == "tag":
+            tag, begin = {}, m.end()
+            if i >= floor and text[i + 1] != "/" and text[m.end() : m.end() + 1] == ">":
+                end = text.find("<", m.end())
+                if end > 0 and text.startswith(f"</{m.group()[1:]}", end):
+                    a, z = m.end() + 1, end
+                    while a < z and text[a].isspace():
+                        a += 1
+                    while z > a and text[z - 1].isspace():
+                        z -= 1
+                    if z > a:
+                        yield ("set", m.group()[1:], [(a, z)], True, True, False)
+        elif kind == "define":
+            name = m.group().split()[-1]
+            at = m.end()
+            while text[at : at + 1] in (" ", "\t"):
+                at += 1
+            terms, _, quoted = _terms(text, at)
+            if terms:
+                yield ("set", name, terms, quoted, False, False)
+        elif kind == "op" and i >= floor:
+            op, at = m.group(), m.end()
+            gap = lambda a, b: not text[a:b].strip(" \t?")
+            (s0, e0, k0), (s1, e1, k1), (s2, e2, k2) = before
+            if k2 == "string" and gap(e2, i):
+                name, declares = text[slice(*_string(text, s2, e2)[:2])], False
+            elif text[s2:e2] == "]" and k1 == "string" and text[s0:e0] == "[" and gap(e2, i) and gap(e1, s2) and gap(e0, s1):
+                name, declares = text[slice(*_string(text, s1, e1)[:2])], False
+            else:
+                name, declares = _declared(text[begin:i])
+            if op == ":" and (typed := _TYPED.match(text, at)):
+                at, declares = typed.end(), True
+            elif op in (":", ":="):
+                declares = True
+            while text[at : at + 1] in (" ", "\t"):
+                at += 1
+            terms, end, quoted = _terms(text, at)
+            if name:
+                yield ("set", name, terms, quoted, declares, op == "+=")
+                if tag is not None and terms:
+                    tag[name.lower()] = (terms, text[at:end])
+                    key, value = tag.get("key") or tag.get("name"), tag.get("value")
+                    if key and value and name.lower() in ("key", "name", "value"):
+                        yield ("set", key[1].strip("\"'"), value[0], True, True, False)
+            # What the value holds is no target, but a bare word may be one (a: b: c).
+            if quoted or op != ":":
+                floor = max(floor, end if quoted else at)
+            begin = max(begin, at)
+        before = [before[1], before[2], (i, m.end(), kind)]
+
+
+def propagate(text: str, events: Iterator[tuple]) -> Iterator[tuple[str, Value, bool]]:
+    """(name, value, quoted) of each assignment with a value; names stand for what they were set to last in their scope."""
+    known: dict[str, list[tuple[int, Value | None]]] = {}
+    scopes: list[tuple[str, set[str]]] = [("file", set())]
+    walls = [0]  # the function scopes of indented code, which hide names around them from assignments
+
+    def close():
+        for name in scopes[-1][1]:
+            known[name].pop()
+        scopes.pop()
+        if walls[-1] >= len(scopes):
+            walls.pop()
+
+    for event in events:
+        if event[0] == "open":
+            scopes.append((event[1], set()))
+            if event[1] == "def":
+                walls.append(len(scopes) - 1)
             continue
-        end = i
-        while end > floor and text[end - 1] in " \t":
-            end -= 1
-        quoted = end > floor and text[end - 1] in "\"'`"
-        end -= quoted
-        start = end
-        while start > floor and text[start - 1] in _NAME_CHAR:
-            start -= 1
-        name = text[start:end].lstrip("-")
-        at = m.end()
-        while at < len(text) and text[at] in " \t":
-            at += 1
-        if not name or text[at : at + 1] in ("=", ""):
+        if event[0] == "close":
+            floor = next((i for i in range(len(scopes) - 1, 0, -1) if scopes[i][0] == event[1]), None) if scopes[-1][0] != event[1] else len(scopes) - 1
+            while floor and len(scopes) > floor:
+                close()
             continue
-        terms = []
-        while t := _TERM.match(text, at):
-            bare = t.group("bare")
-            if bare is None:
-                terms.append((t.group("text"), t.start("text"), t.end("text"), False))
-            else:
-                terms.append((bare, t.start(), t.end(), bool(_IDENTIFIER.match(bare))))
-            at = t.end()
-            plus = _PLUS.match(text, at)
-            if not plus:
-                break
-            at = plus.end()
-        if terms:
-            out.append((name, terms))
-            floor = max(floor, min(at, terms[0][1]))
-    return out
-
-
-def propagate(pairs) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
-    """(name, literal, spans of its pieces, whether it came through another name), constants resolved in order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    for name, terms in pairs:
-        literal, spans, through = "", [], False
-        for content, start, end, is_name in terms:
-            if is_name and content in known:
-                value, where = known[content]
-                literal += value
-                spans += where
-                through = True
+        _, name, terms, quoted, declares, adds = event
+        parts, skip = [], False
+        for t in terms:
+            if isinstance(t, str):
+                got = (known.get(t) or [(0, None)])[-1][1]
+                skip = got is not None
+                parts += [got] if skip else []
+            elif skip:
+                skip = False
             else:
-                literal += content
-                spans.append((start, end))
-        if len(literal) <= 4096:  # a sum of sums may double each time; no secret is as long
-            known[name] = (literal, spans)
-        yield name, literal, spans, through
+                parts.append(t)
+        old = known.setdefault(name, [])
+        if adds and old and old[-1][1] is not None:
+            parts.insert(0, old[-1][1])
+        value = Value(parts, text) if parts else None
+        at = len(scopes) - 1
+        if not declares and not (old and old[-1][0] >= walls[-1]):
+            at = walls[-1] if walls[-1] else at
+        elif not declares:
+            at = old[-1][0]
+        if old and old[-1][0] == at:
+            old[-1] = (at, value)
+        else:
+            old.append((at, value))
+            scopes[at][1].add(name)
+        if value is not None:
+            yield name, value, quoted
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -128,10 +327,10 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found |= {("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20}
     found |= {("hex", m.start(), m.end()) for m in _HEX.finditer(text)}
-    if ":" in text or "=" in text:
-        for name, literal, spans, through in propagate(lex(text)):
-            if score(name, literal) >= LEAST_SCORE:
-                found |= {("flow" if through else "named", s, e) for s, e in spans if e > s}
+    if ":" in text or "=" in text or "define" in text or "ENV" in text or "setenv" in text or "</" in text:
+        for name, value, quoted in propagate(text, lex(text)):
+            if score(name, value, quoted or value.through) >= LEAST_SCORE:
+                found |= {("flow" if value.through else "named", s, e) for s, e in value.spans() if e > s}
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -147,7 +346,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, spans array<struct<kind, start, end>>) over whole texts.
 
-    Null texts count as empty and have no spans. Null ids and repeated rows pass through. Only the two named columns
+    Null texts count as empty and have no spans. Literals and texts may have any length. Null ids and repeated rows pass through. Only the two named columns
     are read, whatever else docs has. Rows are scanned where they are read: there is no shuffle.
     """
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
