@@ -27,8 +27,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files `source/lang/doc_id`."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """Documents as files of a source tree: ten to a directory, of which the tenth is the LICENSE; ten directories to one
+    above, whose LICENSE is the hundredth document."""
+    id_, top = F.col("doc_id"), F.floor(F.col("doc_id") / 100)
+    inner = F.floor(F.col("doc_id") / 10)
+    path = F.when(F.pmod(id_, F.lit(100)) == 0, F.concat_ws("/", F.lit("src"), top, F.lit("LICENSE"))).when(F.pmod(id_, F.lit(10)) == 0, F.concat_ws("/", F.lit("src"), top, inner, F.lit("LICENSE"))).otherwise(F.concat_ws("/", F.lit("src"), top, inner, id_.cast("string")))
     return scan_licenses(table(spark, sf_dir, "documents"), path)
 
 

@@ -26,8 +26,6 @@ KEY = LEAST - WINDOW + 1
 BESIDE = WINDOW - 1
 #: Words of 64 bits in the filter of documents that are read again.
 FILTER_WORDS = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C55)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def _lowest(gram: np.ndarray) -> np.ndarray:
@@ -43,17 +41,6 @@ def marked(gram: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(_lowest(gram), minlength=1))
 
 
-class _Ranges:
-    """Hashes of word ranges, wherever these stand."""
-
-    def __init__(self, w: np.ndarray):
-        self.down = np.cumprod(np.full(len(w), _P_INV, np.uint64))
-        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * np.cumprod(np.full(len(w), _P, np.uint64)))))
-
-    def sums(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.total[stop] - self.total[start]) * self.down[start]
-
-
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its number of words (kind 0); per marked position its key and context (kind 1).
 
@@ -73,7 +60,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.searchsorted(words.first, p, "right") - 1
             keep = (p + KEY <= words.first[of + 1]) & (words.count[of] >= LEAST)
             p, of = p[keep], of[keep]
-            ranges = _Ranges(words.hash)
+            ranges = K.Ranges(words.hash)
             left = np.minimum(p - words.first[of], BESIDE)
             right = np.minimum(words.first[of + 1] - p - KEY, BESIDE)
             around = left << 4 | right
@@ -199,7 +186,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, uid = batch.column("wanted"), batch.column("uid").to_numpy()
         for lo, hi, d, o in K.slices(data, offs):
             words = K.Words(d, o, K.BLANKS)
-            lowest, ranges = _lowest(K.grams(words.hash, GRAM)), _Ranges(words.hash)
+            lowest, ranges = _lowest(K.grams(words.hash, GRAM)), K.Ranges(words.hash)
             part = wanted.slice(lo, hi - lo)
             of = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
             at = part.flatten().to_numpy()
