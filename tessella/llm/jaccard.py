@@ -8,7 +8,7 @@ Sets are the distinct k-word shingles of whole texts. Equal sets collapse to one
   count filters before any set is fetched;
 * tokens found in very many sets are heavy: they are ordered last, so that passages which many documents share leave
   the prefixes, and sets that consist of heavy tokens all the same (large families of near copies) are compared in
-  blocks within their family, where only a spanning forest of the links leaves a task.
+  blocks within their family, where only a spanning forest of the links and their number per set leave a task.
 
 Any order of tokens gives the same links, so which tokens count as heavy changes cost and never results.
 """
@@ -77,11 +77,11 @@ def _profile(k: int):
             count = np.diff(np.append(at, len(every)))
             pick = count >= 2
             m = int(pick.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(K.signed(every[at[pick]])), pa.array(count[pick].astype(np.int64))], names=["kind", "key", "id", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(K.signed(every[at[pick]])), pa.array(count[pick].astype(np.int64)), pa.nulls(m, pa.int64())], names=["kind", "key", "id", "n", "mark"])
 
         for batch in batches:
             data, offs = K.buffers(batch.column("text"))
-            keys = batch.column("key")
+            keys, marks = batch.column("key"), batch.column("mark")
             for lo, hi, d, o in K.slices(data, offs):
                 ids, sizes = [], []
                 for s in K.shingle_sets(K.Words(d, o, K.BLANKS), k):
@@ -91,7 +91,7 @@ def _profile(k: int):
                         seen.add(ids[-1])
                         held.append(s)
                         n_held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), keys.slice(lo, hi - lo), pa.array(K.signed(np.array(ids, np.uint64))), pa.array(np.array(sizes, np.int64))], names=["kind", "key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), keys.slice(lo, hi - lo), pa.array(K.signed(np.array(ids, np.uint64))), pa.array(np.array(sizes, np.int64)), marks.slice(lo, hi - lo)], names=["kind", "key", "id", "n", "mark"])
                 if n_held >= CHUNK_TOKENS:
                     yield often()
                     held, n_held = [], 0
@@ -269,7 +269,11 @@ def _verify(num: int, den: int):
 
 
 def _block_links(num: int, den: int):
-    """Links of two blocks of one family by products of membership matrices; a spanning forest of them."""
+    """Links of one or two blocks of a family by products of membership matrices: a spanning forest of them (a, b), and
+    how many links each set has in this pair of blocks (a, n).
+
+    Two sets of one block meet in the cell of that block alone, so that each link counts once.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -292,7 +296,10 @@ def _block_links(num: int, den: int):
             part = np.zeros((len(sets), width), np.float32)
             part[row[c], column[c] - lo] = 1
             both += part @ part.T
-        near = np.argwhere(np.triu(both * den >= num * (size[:, None] + size[None, :] - both), 1))
+        side = pdf["side"].to_numpy()
+        near = (both * den >= num * (size[:, None] + size[None, :] - both)) & ((side[:, None] != side[None, :]) | pdf["alone"].to_numpy()[0] & ~np.eye(len(sets), dtype=bool))
+        count = near.sum(axis=1)
+        near = np.argwhere(np.triu(near))
         up = list(range(len(sets)))
 
         def root(i):
@@ -305,14 +312,16 @@ def _block_links(num: int, den: int):
         for i, j in near.tolist():
             if (x := root(i)) != (y := root(j)):
                 up[x] = y
-                out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.append((ids[i], ids[j], None))
+        out += [(ids[i], None, int(count[i])) for i in np.flatnonzero(count)]
+        return pd.DataFrame({c: pd.array([x[k] for x in out], dtype="Int64") for k, c in enumerate("abn")})
 
     return run
 
 
 def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within families (node, root): blocks by size band and hash, each pair of blocks whose sizes allow a link."""
+    """Links (a, b) and counts (a, n) within families (node, root): blocks by size band and hash, each pair of blocks whose
+    sizes allow a link."""
     band = F.floor(F.log(F.col("n")) / float(np.log(den / num))).cast("int")
     docs = members.join(sets, members.node == sets.sid).select("sid", "n", "blob", F.col("root").alias("family"), band.alias("band"))
     head = docs.select("sid", "family", "band")
@@ -323,39 +332,45 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Da
         near = near.join(other, ["family", "band"], "left")
     near = near.fillna(0, ["below", "above"])
     block = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
-    dealt = docs.join(near, ["family", "band"]).withColumn("block", block)
+    near = stash(near, "bands")
+    few = near.count() <= BROADCAST_ROWS // 10
+    dealt = docs.join(F.broadcast(near) if few else near, ["family", "band"]).withColumn("block", block)
     some = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda band, other, i, j: F.struct(band.alias("b"), other.alias("c"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = F.transform(some("blocks"), lambda j: key(F.col("band"), F.col("band"), F.least("block", j), F.greatest("block", j)))
     up = F.transform(some("above"), lambda j: key(F.col("band"), F.col("band") + 1, F.col("block"), j))
     down = F.transform(some("below"), lambda j: key(F.col("band") - 1, F.col("band"), j, F.col("block")))
-    dealt = dealt.select("sid", "blob", "family", F.explode(F.concat(own, up, down)).alias("cell"))
-    return dealt.groupBy("family", "cell").applyInPandas(_block_links(num, den), "a long, b long")
+    side = F.when(F.col("cell.b") == F.col("cell.c"), F.col("block")).otherwise(F.col("band"))
+    dealt = dealt.select("sid", "blob", "family", "band", "block", F.explode(F.concat(own, up, down)).alias("cell"))
+    alone = (F.col("cell.b") == F.col("cell.c")) & (F.col("cell.i") == F.col("cell.j"))
+    return dealt.select("sid", "blob", "family", side.alias("side"), alone.alias("alone"), "cell").groupBy("family", "cell").applyInPandas(_block_links(num, den), "a long, b long, n long")
 
 
 @scoped("jaccard")
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """One row per row of docs: (doc_id, n_shingles, class_id, component_id, n_links_class).
+    """One row per row of docs: (doc_id, text_hash, n_shingles, class_id, class_doc, component_id, component, n_links).
 
     Two texts link when |A & B| * den >= num * |A | B| over their distinct k-word shingles (ASCII-lower-cased words
-    between ASCII blanks; fewer than k words: the whole sequence is the one shingle). class_id is equal for equal sets;
-    component_id is the smallest id that links reach, the row's own included.
+    between ASCII blanks; fewer than k words: the whole sequence is the one shingle). class_id is equal for equal sets,
+    class_doc the smallest id with that set; n_links counts the other classes that link with it. component is equal
+    where links reach, component_id the smallest id there, the row's own included. text_hash is that of the text.
 
-    Null or empty texts, or texts without words, have n_shingles 0, link with nothing and are their own component.
+    Null or empty texts, or texts without words, have n_shingles 0, link with nothing and are their own component (class
+    and component are null).
     Null ids take part with their text but are never a component_id; a component of null ids alone has null. Repeated
     rows stay repeated. Only the two named columns are read, so other columns may have any name. Empty in, empty out.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    profile = stash(text.mapInArrow(_profile(k), "kind byte, key long, id long, n long"), "profile")
-    head = profile.filter("kind = 0").select("key", F.col("id").alias("sid"), "n")
+    profile = stash(text.withColumn("mark", F.xxhash64("text")).mapInArrow(_profile(k), "kind byte, key long, id long, n long, mark long"), "profile")
+    head = profile.filter("kind = 0").select("key", F.col("id").alias("sid"), "n", "mark")
     sizes = {r.n: r["count"] for r in head.filter("n between 1 and 64").groupBy("n").count().collect()}  # 64 rows at most
     small = boundary(sizes, num, den)
     often = stash(profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_FROM), "often")
     least = HEAVY_FROM
     while often.filter(F.col("n") >= least).count() > MOST_HEAVY:
         least *= 2
-    found = np.array([r.id for r in often.filter(F.col("n") >= least).select("id").collect()], np.int64)  # MOST_HEAVY at most
+    found = often.filter(F.col("n") >= least).select("id").toArrow()["id"].to_numpy()  # MOST_HEAVY at most
     discard(often)
 
     light = None
@@ -365,14 +380,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = posted.filter("kind = 0").select("token", "sid", "meta").repartition("token").sortWithinPartitions("token", "sid")
         discard(light)
         light = stash(lists.mapInArrow(_scan_lists(num, den), _PAIRS), "pairs")
-        late = light.filter("late is not null").select("late", "need").distinct().limit(MOST_HEAVY).collect()
-        if not late:
+        late = light.filter("late is not null").select("late", "need").distinct().limit(MOST_HEAVY).toArrow()
+        if not len(late):
             break
-        found = np.union1d(found, np.array([r.late for r in late if not r.need], np.int64))
-        if any(r.need for r in late):
-            subsets = spark.sparkContext.broadcast(np.sort(np.array([r.late for r in late if r.need], np.int64).view(np.uint64)))
+        token, of_two = late["late"].to_numpy(), late["need"].to_numpy() > 0
+        found = np.union1d(found, token[~of_two])
+        if of_two.any():
+            subsets = spark.sparkContext.broadcast(np.sort(token[of_two].view(np.uint64)))
             parts = text.select("text").mapInArrow(_shingles_of(k, num, den, small, heavy, subsets), "token long").distinct()
-            found = np.union1d(found, np.array([r.token for r in parts.collect()], np.int64))  # two a subset at most
+            found = np.union1d(found, parts.toArrow()["token"].to_numpy())  # two a subset at most
         discard(posted)
     pairs = light.filter("a is not null").groupBy("a", "b").agg(F.count("*").alias("o"), F.max("need").alias("need"), F.max("rest").alias("rest")).filter("o + rest >= need").select("a", "b")
     pairs = stash(pairs, "candidates")
@@ -394,15 +410,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stash(known.mapInArrow(_sets(k), "sid long, n int, blob binary").filter(F.length("blob") > 0), "sets")
     one, two = (sets.select(F.col("sid").alias(x), F.col("blob").alias(f"blob_{x}")) for x in "ab")
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(_verify(num, den), "a long, b long")
-    links = stash(links.unionAll(_family_links(families, sets, num, den)), "links")
+    links = links.withColumns({"n": F.lit(None).cast("long"), "told": F.lit(True)})
+    links = stash(links.unionAll(_family_links(families, sets, num, den).withColumn("told", F.col("n").isNotNull())), "links")
     discard(pairs, families, keys, sets)
-    roots = components(links, "a", "b")
-    ends = links.select(F.col("a").alias("sid")).unionAll(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
+    roots = components(links.filter("b is not null"), "a", "b")
+    told = links.filter("told")  # links of lists one by one, those of families as numbers
+    ends = told.select(F.col("a").alias("sid"), F.coalesce("n", F.lit(1)).alias("n")).unionAll(told.filter("b is not null").select(F.col("b").alias("sid"), F.lit(1).cast("long"))).groupBy("sid").agg(F.sum("n").alias("n_links"))
     tree = roots.join(ends, roots.node == ends.sid, "left").select("node", "root", "n_links")
     classes = head.groupBy("sid").agg(F.min("key").alias("low"))
     classes = classes.join(tree, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lowest, "root").select("sid", "component_id", "n_links")
-    some = head.filter("n > 0").join(classes, "sid").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("sid").alias("class_id"), "component_id", "n_links")
-    none = head.filter("n = 0").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    classes = classes.join(lowest, "root").select("sid", F.col("low").alias("class_doc"), "component_id", F.col("root").alias("component"), "n_links")
+    own = [F.col("key").alias("doc_id"), F.col("mark").alias("text_hash"), F.col("n").alias("n_shingles")]
+    some = head.filter("n > 0").join(classes, "sid").select(*own, F.col("sid").alias("class_id"), "class_doc", "component_id", "component", "n_links")
+    no = F.lit(None).cast("long")
+    none = head.filter("n = 0").select(*own, no.alias("class_id"), no.alias("class_doc"), F.col("key").alias("component_id"), no.alias("component"), F.lit(0).cast("long").alias("n_links"))
     return some.unionAll(none)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import table
 from tessella.llm.jaccard import jaccard_classes
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("class_doc").alias("class_id"), "n_links")
 
 
 QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
@@ -29,10 +30,10 @@ links AS (SELECT a, b FROM pairs WHERE 100 * o >= 75 * (na + nb - o)),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
 roots AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
-member AS (SELECT s.doc_id, len(s.s) AS n, coalesce(r.root, s.doc_id) AS root FROM sets s
-  LEFT JOIN classes k ON list_sort(s.s) = k.s LEFT JOIN roots r ON r.c = k.c)
+member AS (SELECT s.doc_id, len(s.s) AS n, coalesce(r.root, s.doc_id) AS root, k.c AS class_id, coalesce(d.n_links, 0) AS n_links FROM sets s
+  LEFT JOIN classes k ON list_sort(s.s) = k.s LEFT JOIN roots r ON r.c = k.c LEFT JOIN (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a) d ON d.a = k.c)
 """
 
 ORACLES = {
-    "op4_ngram_jaccard_join": f"WITH RECURSIVE {SHINGLES} SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, root AS component_id FROM member",
+    "op4_ngram_jaccard_join": f"WITH RECURSIVE {SHINGLES} SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, root AS component_id, class_id, n_links FROM member",
 }
