@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 
 def attach(docs: DataFrame, decisions: DataFrame, id_col: str, text_hash: str, columns: list[str], text_col: str = "text") -> DataFrame:
-    """docs with columns of decisions, matched by id (null matches null) and hash of the text.
+    """(row, *columns): whole rows of docs as a struct beside columns of decisions (named by doc_id and text_hash).
 
-    Rows that repeat both are numbered on either side, so each decision goes to exactly one row. The rows of one id
-    and text come together for that; documents with a third of all rows sharing id and text would be needed to skew it.
+    Matched by id (null matches null) and hash of the text. Rows that repeat both are numbered on either side, so each
+    decision goes to exactly one row. The rows of one id and text come together for that; it takes a third of
+    all rows with the same id and the same text, or with neither, to make that one large group.
     """
-    hidden = ["__id", "__hash", "__n"]
-    rank = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    left = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(F.col(text_col))}).withColumn("__n", rank)
-    order = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(*[F.col(f"__{c}") for c in columns]))
-    right = decisions.select(F.col("doc_id").alias("__id"), F.col(text_hash).alias("__hash"), *[F.col(c).alias(f"__{c}") for c in columns]).withColumn("__n", order)
-    right = right.select(*[F.col(c).alias(f"_{c}") for c in hidden], *[f"__{c}" for c in columns])
-    on = F.col("__id").eqNullSafe(F.col("___id")) & F.col("__hash").eqNullSafe(F.col("___hash")) & (F.col("__n") == F.col("___n"))
-    return left.join(right, on).drop(*hidden, *[f"_{c}" for c in hidden])
+    rank = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")).withColumn("nth", rank)
+    right = decisions.select(F.col("doc_id").alias("id_"), F.col(text_hash).alias("hash_"), *[F.col(c).alias(f"_{c}") for c in columns])
+    right = right.withColumn("nth_", F.row_number().over(Window.partitionBy("id_", "hash_").orderBy(*[f"_{c}" for c in columns])))
+    on = F.col("id").eqNullSafe(F.col("id_")) & F.col("hash").eqNullSafe(F.col("hash_")) & (F.col("nth") == F.col("nth_"))
+    return left.join(right, on).select("row", *[F.col(f"_{c}").alias(c) for c in columns])

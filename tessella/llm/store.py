@@ -116,11 +116,15 @@ class Scope:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Write the scope's result; it outlives the scope, in the one around where there is one."""
         out = stash(df, name)
-        self.paths.remove(out._stash_path)
-        if len(_open.scopes) > 1:
-            _open.scopes[-2].append(out._stash_path)
+        self.keep(out)
         return out
 
+    def keep(self, df: DataFrame) -> None:
+        """Let a table outlive the scope."""
+        self.paths.remove(df._stash_path)
+        if len(_open.scopes) > 1:
+            _open.scopes[-2].append(df._stash_path)
+
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Scope]:

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as P
-from tests.llm.test_operators import brute_components, brute_targets, edited, leak_words, prose, words
+from tests.llm.test_operators import brute_targets, edited, leak_words, prose, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,6 +38,23 @@ def sf(spark, tmp_path_factory):
     return path
 
 
+def brute_groups(texts):
+    """A number for each text, equal where links of similarity 0.75 reach."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for t in texts]
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 4 * (both := len(sets[i] & sets[j])) >= 3 * (len(sets[i]) + len(sets[j]) - both) and both:
+                up[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
 def pairs(df):
     return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
 
@@ -55,12 +72,15 @@ def test_stages_decide_as_plain_versions(spark, sf):
 
     single = stage["near_duplicates"](spark, clean, sf).cache()
     before = pairs(clean)
-    want, seen = [], set()
-    for (d, t), (_, n, low) in zip(before, brute_components([(d, t, "") for d, t in before]), strict=True):
-        if (d is None or not n or d == low) and (d is None or d not in seen):
-            want.append((d, t))
-            seen.add(d)
-    assert pairs(single) == want and single.columns == docs.columns
+    want = pairs(single)
+    assert single.columns == docs.columns and len(set(want)) == len(want) and set(want) <= set(before)
+    groups = defaultdict(set)
+    for row, at in zip(before, brute_groups([t for _, t in before]), strict=True):
+        groups[at if words(row[1]) else row].add(row)
+    for group in groups.values():  # one row of each, of the smallest id; ids that repeat with other texts are told apart
+        stays = [row for row in want if row in group]
+        assert len(stays) == 1 and (stays[0][0] is None, stays[0][0]) == min(((d is None, d) for d, _ in group), key=str if any(d is None for d, _ in group) else None)
+    assert len(groups) == len(want)
 
     windows = {tuple(w[i : i + 10]) for w in map(leak_words, bench) for i in range(len(w) - 9)}
     kept = stage["decontamination"](spark, single, sf).cache()
@@ -73,7 +93,7 @@ def test_stages_decide_as_plain_versions(spark, sf):
         for r in df.collect():
             into[r.source] += len(words(r.text))
     # the source None is one long document, which whole copies can't bring near any target
-    assert all(abs(taken[s] - t) <= 0.05 * t + 60 for s, t in brute_targets(dict(sizes)).items() if s)
+    assert all(abs(taken[s] - t) <= 0.01 * t + 5 for s, t in brute_targets(dict(sizes)).items() if s)
 
     dealt = stage["sharding"](spark, mixed, sf)
     assert dealt.columns == [*docs.columns, "shard", "slot"] and pairs(dealt) == pairs(mixed)
@@ -103,7 +123,7 @@ def test_queries_match_their_sql(spark):
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     queries, oracles = catalog.queries(), catalog.oracle_sql()
-    assert {n.split("_")[0] for n in queries} == {f"op{i}" for i in range(1, 11)} and set(oracles) <= set(queries)
+    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and set(oracles) <= set(queries)
     for name, f in queries.items():
         df = f(spark, DATA)
         columns = sorted(df.columns)
@@ -112,3 +132,47 @@ def test_queries_match_their_sql(spark):
         if name in oracles:
             want = con.execute(f"SELECT {', '.join(columns)} FROM ({oracles[name]})").fetchall()
             assert got == sorted(want, key=str), name
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"])
+def test_stages_keep_columns_of_any_name(spark, sf, name):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["key", "size", "row", "n", "shard", "slot", "copies", "component", "spans", "items", "rate", "toxic", "uid", "__n", "text_hash"]
+    wide = docs.selectExpr("*", *[f"concat('x', doc_id) AS `{c}`" for c in names])
+    out = dict(P.STAGES)[name](spark, wide, sf)
+    assert set(out.columns) == set(wide.columns) and len(out.columns) == len(wide.columns)
+    kept = [c for c in names if name != "sharding" or c not in ("shard", "slot")]
+    for r in out.collect():
+        assert all(r[c] == (None if r.doc_id is None else f"x{r.doc_id}") for c in kept)
+
+
+ORDINARY = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+import __spark_entry__ as e
+from tessella.llm import store
+for name in {names!r}:
+    print("ROWS", name, e.queries()[name](spark, {data!r}).count(), flush=True)
+base = store.shared_dir(spark)[len("file://"):]
+print("LEFT", len(os.listdir(base)), base, flush=True)
+"""
+
+
+def test_queries_start_in_an_ordinary_session_and_leave_no_table(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    import __spark_entry__ as e
+
+    names = [q for q in e.queries() if q.startswith("op") or q == "pipeline"]
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    got = subprocess.run([sys.executable, "-c", ORDINARY.format(repo=repo, names=names, data=DATA)], env=env, capture_output=True, text=True, timeout=900)
+    assert got.stdout.count("ROWS") == len(names) == 11, got.stderr[-3000:]
+    left = next(x for x in got.stdout.splitlines() if x.startswith("LEFT")).split()
+    assert int(left[1]) <= len(names)  # one result each, while the session lives
+    assert not os.path.exists(left[2])
