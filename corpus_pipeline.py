@@ -1,13 +1,13 @@
 """The training-data pipeline: STAGES applied to documents one after another.
 
-toxicity drops documents that the classifier chain rejects; near_duplicates keeps the document with the smallest id of
-each group; decontamination drops documents with benchmark passages; mixing repeats or leaves out documents so that
-sources meet their target weights; sharding adds the shard and slot of each row.
+toxicity drops documents that the classifier chain rejects; near_duplicates keeps one document of each group of linked
+ones; decontamination drops documents with benchmark passages; mixing repeats or leaves out documents so that sources
+meet their target weights; sharding adds the shard and slot of each row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.attach import attach
@@ -16,7 +16,7 @@ from tessella.llm.decontaminate import find_leaks
 from tessella.llm.jaccard import jaccard_classes
 from tessella.llm.mixing import mix_sources
 from tessella.llm.sharding import shard_documents
-from tessella.llm.store import BROADCAST_ROWS, stash
+from tessella.llm.store import BROADCAST_ROWS, scope
 from tessella.llm.toxicity import CATEGORIES, fit_toxicity, score_toxicity
 
 
@@ -26,24 +26,34 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Train on labelled documents, drop every document that the chain rejects. Null texts stay."""
+    """Train on labelled documents, drop every document that the chain rejects. Null and empty texts stay."""
     chain = fit_toxicity(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return score_toxicity(_carried(docs), chain, id_col="row").filter("not toxic").select("doc_id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows that repeat an id count once.
+    """Of each group of linked documents the one of the smallest id stays, of several texts of that id the one whose hash
+    is smallest; documents without an id come last.
 
-    Texts without words have no links and stay. Rows without an id stay as well: no decision could name them. Ids are
-    taken to name one text each; rows that share an id and differ in text go or stay together.
+    Decisions go by id and text, so an id that stands for several texts loses none that has no link. Of rows that repeat
+    id and text one stays (which one is arbitrary where other columns differ). Texts without words have no links.
     """
-    classes = stash(jaccard_classes(docs), "classes")
-    gone = classes.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    out = docs.join(side, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if classes.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    classes = jaccard_classes(docs)
+    mine = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")
+    first = classes.filter("component is not null").groupBy("component").agg(F.min(mine).alias("first"))
+    name = [F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")]
+    gone = classes.join(first, "component").filter(mine != F.col("first")).select(*name).distinct()
+    twice = classes.groupBy("doc_id", "text_hash").count().filter("count > 1").select(*name)
+    side = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    out = rows.join(side(gone), same, "left_anti")
+    if twice.limit(1).count():
+        twice = side(twice)
+        nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+        once = out.join(twice, same, "left_semi").withColumn("nth", nth).filter("nth = 1").drop("nth")
+        out = out.join(twice, same, "left_anti").unionByName(once)
+    return out.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +66,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its copies in the mix: not at all, or up to three times."""
     mixed = mix_sources(docs)
     taken = attach(docs, mixed, "doc_id", "text_hash", ["copies"])
-    return taken.filter("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+    return taken.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with shard (0 to 39) and slot."""
+    """All rows, with shard (0 to 39) and slot. Columns of these names that the documents had are replaced."""
     dealt = shard_documents(docs, shards=40)
     out = attach(docs, dealt, "doc_id", "text_hash", ["shard", "slot"])
-    return out.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "shard", "slot")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
@@ -73,8 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to the documents of sf_dir, each written before the next reads it."""
+    """Apply every stage to the documents of sf_dir, each written before the next reads it; then what it needed goes."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scope(spark) as whole:
+        for name, stage in STAGES:
+            with scope(spark) as tables:
+                docs = tables.result(stage(spark, docs, sf_dir), f"stage-{name}")
+        whole.keep(docs)
+    return docs
