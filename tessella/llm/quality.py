@@ -22,6 +22,8 @@ BITS = 18
 SMOOTH = 2.0
 #: A document is kept from this mean log ratio on.
 THRESHOLD = -0.15
+#: Log ratios are summed in units of 1 / ONE.
+ONE = 1 << 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -105,7 +107,7 @@ def _measure(ratio):
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = ratio.value
+        weight = np.rint(ratio.value * ONE).astype(np.int64)
         for batch in batches:
             data, offs = K.buffers(batch.column("text"))
             for lo, hi, d, o in K.slices(data, offs):
@@ -122,10 +124,10 @@ def _measure(ratio):
                 del words, triple
                 folded = K.Words(d, o, K.BLANKS)
                 one, two = _buckets(folded)
-                gain = np.zeros(len(one) + 1)
+                gain = np.zeros(len(one) + 1, np.int64)  # sums of whole numbers: the same wherever a slice begins
                 gain[1:] = np.cumsum(weight[one] + np.append(np.where(_in_doc_pairs(folded), weight[two], 0), 0)) if len(one) else 0
                 grams = np.maximum(2 * folded.count - 1, 1)
-                score = np.diff(gain[folded.first]) / grams
+                score = np.diff(gain[folded.first]) / ONE / grams
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), *(pa.array(x.astype(np.int64)) for x in (folded.count, chars, symbols, lines, repeat)), pa.array(score)], names=names)
 
     return run

@@ -23,8 +23,6 @@ FOLDS = 3
 MAX_TRAIN = 8_000
 #: Likelihood ratio from which a feature enters a model.
 LEAST_G = 15.0
-#: Size of one category's model.
-MOST_FEATURES = 400
 
 
 def _features(words: K.Words) -> Iterator[np.ndarray]:
@@ -51,36 +49,58 @@ class Chain:
 
 
 def _telling(at: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features whose presence depends on the label by a likelihood-ratio test (G over LEAST_G), the strongest MOST_FEATURES."""
+    """Features whose presence depends on the label by a likelihood-ratio test (G over LEAST_G)."""
     n, pos = len(y), y.sum()
     df = np.bincount(at, minlength=1 << BITS).astype(float)
     in_pos = np.bincount(at, y[row], 1 << BITS)
     cells = ((in_pos, df * pos / n), (df - in_pos, df * (n - pos) / n), (pos - in_pos, (n - df) * pos / n), (n - df - pos + in_pos, (n - df) * (n - pos) / n))
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
-    g = np.nan_to_num(g)
-    strong = np.argsort(-g, kind="stable")[:MOST_FEATURES]
-    return np.sort(strong[g[strong] > LEAST_G])
+    return np.flatnonzero(np.nan_to_num(g) > LEAST_G)
+
+
+def _conjugate(product, goal: np.ndarray, most: int = 200) -> np.ndarray:
+    """x with product(x) = goal, for a positive definite product."""
+    x, left = np.zeros(len(goal)), goal.copy()
+    way, size = left.copy(), left @ left
+    stop = size * 1e-14
+    for _ in range(most):
+        if size <= stop:
+            break
+        turned = product(way)
+        step = size / (way @ turned)
+        x += step * way
+        left -= step * turned
+        new = left @ left
+        way, size = left + new / size * way, new
+    return x
 
 
 def _fit(at, row, n, earlier, y, steps: int = 25, decay: float = 3.0):
-    """Ridge logistic regression on the telling features: Newton steps, with the Hessian's diagonal bounded from above."""
+    """Ridge logistic regression on the telling features: Newton steps by conjugate gradients, with row weights bounded below.
+
+    Rows stay lists of their features, so memory follows the labelled words and not rows times features.
+    """
     pick = _telling(at, row, y)
     place = np.full(1 << BITS, -1)
     place[pick] = np.arange(len(pick))
     use = place[at] >= 0
-    x = np.zeros((n, len(pick) + earlier.shape[1] + 1), np.float32)
-    x[row[use], place[at[use]]] = 1
-    x[:, len(pick) : -1] = earlier
-    x[:, -1] = 1
-    beta = np.zeros(x.shape[1])
+    of, feature, m = row[use], place[at[use]], len(pick)
+
+    def times(b):
+        return np.bincount(of, b[feature], n) + earlier @ b[m:-1] + b[-1]
+
+    def back(u):
+        return np.concatenate((np.bincount(feature, u[of], m), earlier.T @ u, [u.sum()]))
+
+    beta = np.zeros(m + earlier.shape[1] + 1)
     beta[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     ridge = np.full(len(beta), decay)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - y) + ridge * beta
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-3)[:, None].astype(np.float32)).T @ x + np.diag(ridge), grad)
+        p = 1 / (1 + np.exp(-np.clip(times(beta), -30, 30)))
+        weight = np.maximum(p * (1 - p), 1e-3)
+        step = _conjugate(lambda v, w=weight: back(w * times(v)) + ridge * v, back(p - y) + ridge * beta)
         beta -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -137,14 +157,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     """A chain trained on at most max_train labelled documents.
 
     categories: name to a SQL condition over labels, in chain order. Rows of labels whose id is null or which match no
-    document are not used, nor are those where a condition is null. Without labels, every probability is 0.
+    document are not used, nor are those where a condition is null. Of rows that label one id differently the one with
+    more categories, the first first, counts; of documents that share a labelled id the text whose hash is smallest.
+    Without labels, every probability is 0.
     """
     order = F.xxhash64("k")
     known = labels.select(F.col(id_col).alias("k"), F.array(*[F.expr(c).cast("double") for c in categories.values()]).alias("y"))
-    known = known.filter("k is not null and not exists(y, v -> v is null)").dropDuplicates(["k"]).orderBy(order, "k").limit(max_train)
+    known = known.filter("k is not null and not exists(y, v -> v is null)").groupBy("k").agg(F.max("y").alias("y")).orderBy(order, "k").limit(max_train)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # max_train rows at most: small enough to send to every executor
-    rows = text.join(F.broadcast(known), F.col("id") == F.col("k")).select(F.xxhash64("k").alias("place"), "text", "y").mapInArrow(_extract, "place long, blob binary, y array<double>")
+    rows = text.join(F.broadcast(known), F.col("id") == F.col("k")).groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    rows = rows.select(F.xxhash64("k").alias("place"), "one.text", "y").mapInArrow(_extract, "place long, blob binary, y array<double>")
     got = sorted(((r.place, bytes(r.blob), tuple(r.y)) for r in rows.toLocalIterator()), key=lambda r: r[:2])[:max_train]
     return train_chain([np.frombuffer(b, np.uint32) for _, b, _ in got], np.array([y for *_, y in got]).reshape(len(got), len(categories)), list(categories))
 
@@ -155,8 +178,9 @@ def _score(chain):
         for batch in batches:
             data, offs = K.buffers(batch.column("text"))
             for lo, hi, d, o in K.slices(data, offs):
-                p = model.score(_features(K.Words(d, o, K.NON_ALNUM)), hi - lo)
-                toxic = p[:, -1] >= model.cuts[-1]
+                words = K.Words(d, o, K.NON_ALNUM)
+                p = model.score(_features(words), hi - lo)
+                toxic = (p[:, -1] >= model.cuts[-1]) & (words.count > 0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(list(p), pa.list_(pa.float64())), pa.array(toxic)], names=["doc_id", "p", "toxic"])
 
     return run
@@ -165,8 +189,8 @@ def _score(chain):
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, p_<category>..., toxic): the last category's decision.
 
-    Null or empty texts have no words: their probability is the models' bias, never above the threshold unless the
-    labelled corpus is mostly toxic. Null ids and repeated rows pass through; id_col may be a struct that
+    Null or empty texts, and texts without words, get the probabilities of the models' bias and are never toxic. Null ids
+    and repeated rows pass through; id_col may be a struct that
     carries a whole row along. Only the named columns are read.
     """
     spark = docs.sparkSession

@@ -26,6 +26,8 @@ from tessella.llm.store import BROADCAST_ROWS, discard, stash
 
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2_000
+#: Compressed bytes of a damaged member that are read at a time.
+STEP = 512
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -70,7 +72,10 @@ def _record_at(data: bytes, at: int) -> Found | str:
     version = _VERSION.match(data, at)
     if not version:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at)
+    stop = data.find(b"\r\n\r\n", at, at + 65536)
+    if stop < 0:  # a longer header ends before the next version line at the latest
+        after = _VERSION.search(data, version.end())
+        stop = data.find(b"\r\n\r\n", at, after.start() if after else len(data))
     if stop < 0:
         return "header without end"
     headers: dict[str, str] = {}
@@ -157,17 +162,23 @@ def _members(data: bytes) -> Iterator[Found]:
         while to >= 0 and not _opens(data, to):
             to = data.find(_MEMBER, to + 1)
         to = to if to >= 0 else len(data)
-        # what the broken member still gives before its first fault may hold whole records
-        z, head = zlib.decompressobj(31), b""
+        # What the broken member still gives before its first fault may hold whole records. The gap begins at the last
+        # of the steps in which it is read that gives nothing beyond the last whole record.
+        z, head, size, steps = zlib.decompressobj(31), [], 0, [(at, 0)]
         try:
-            for i in range(at, to, 4096):
-                head += z.decompress(data[i : min(i + 4096, to)])
+            for i in range(at, to, STEP):
+                head.append(z.decompress(data[i : min(i + STEP, to)]))
+                size += len(head[-1])
+                steps.append((min(i + STEP, to), size))
         except zlib.error:
             pass
-        for x in _records(head):
-            if x.headers is not None:
-                yield x._replace(start=at, end=to)
-        yield Found(at, to, None, b"", "gzip member is damaged")
+        found = list(_records(b"".join(head)))
+        whole = max((x.end for x in found if x.headers is not None), default=0)
+        given = max(place for place, n in steps if n <= whole)
+        for x in found:
+            if x.end <= whole:
+                yield x._replace(start=at, end=given)
+        yield Found(given, to, None, b"", "gzip member is damaged")
         at = to
 
 

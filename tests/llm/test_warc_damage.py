@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import os
+import time
 from pathlib import Path
 
 from tessella.llm import warc
@@ -33,3 +35,40 @@ def test_one_bad_byte_in_a_written_archive_costs_one_record(spark, tmp_path):
     broken[len(data) // 3] ^= 0xFF
     assert len(good(warc.salvage(bytes(broken)))) >= 29
     assert warc._member(b"x" * (1 << 24))[-1] == 0
+
+
+def test_a_damaged_member_of_many_records_gives_those_before_the_damage_and_the_gap_begins_behind_them():
+    broken = bytearray(gzip.compress(b"".join(warc.record(i, f"http://h/{i}", (b"a%d " % i) * 900, None) for i in range(200)), mtime=0))
+    at = len(broken) // 4
+    broken[at : at + 8] = bytes(b ^ 0x5A for b in broken[at : at + 8])
+    found = list(warc.salvage(bytes(broken)))
+    gaps = [x for x in found if x.headers is None]
+    assert 40 <= len(good(found)) < 200 and good(found)[:2] == ["0", "1"]
+    assert 0 < gaps[-1].start <= len(broken) and gaps[-1].end == len(broken) and all(x.end <= gaps[-1].start for x in found if x.headers)
+
+
+def test_reading_takes_time_in_proportion():
+    def seconds(n):
+        data = b"".join(warc._member(warc.record(i, None, os.urandom(9000), None)) for i in range(n))
+        lines = b"WARC/1.1\r\nWARC-Type: x\r\n" * n
+        one = bytearray(gzip.compress(b"".join(warc.record(i, None, b"a%d " % i * 2000, None) for i in range(n)), mtime=0))
+        one[len(one) * 3 // 4] ^= 0xFF
+        began = time.perf_counter()
+        assert len(good(warc.salvage(data))) == n
+        assert not good(warc.salvage(lines)) and len(good(warc.salvage(bytes(one)))) > n // 2
+        return time.perf_counter() - began
+
+    seconds(200)
+    few, many = seconds(1000), seconds(4000)
+    assert many < 3 and many < 8 * few
+
+
+def test_null_ids_and_repeated_smallest_ids(spark, tmp_path):
+    rows = [(None, "u", "same"), (3, "u", "same"), (3, "v", "same"), (7, "u", "same"), (None, "u", "bare"), (None, "v", "bare"), (9, None, None), (10, "u", "")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    name = lambda s: s and s[12:-1]
+    same = sorted(((name(r.record_id), r.warc_type, name(r.refers_to)) for r in got if r.payload_digest == warc.digest(b"same")), key=str)
+    assert same == sorted([("", "revisit", "3"), ("3", "response", None), ("3", "response", None), ("7", "revisit", "3")], key=str)
+    assert [r.warc_type for r in got if r.payload_digest == warc.digest(b"bare")] == ["response"] * 2
+    assert sorted(((name(r.record_id), r.warc_type, name(r.refers_to)) for r in got if r.payload_digest == warc.digest(b"")), key=str) == [("10", "revisit", "9"), ("9", "response", None)]
