@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Patterns and limits that decide results.
 PROSE_REMOVALS = [(r"(?s)```.*?```", ""), (r"`([^`\n]+)`", "$1"), (r"(?md)^\|[^\n]*\|$", ""), (r"(?md)^>\s[^\n]*$", ""), (r"<[^>]+>", ""), (r"(?md)^---+$", ""), (r"(?md)^\s*\n", "\n")]
-CODE_REMOVALS = [(r"(?md)//[^\n]*$", ""), (r"(?s)/\*.*?\*/", ""), (r'"(?:[^"\\]|\\.)*"', '""'), (r"'(?:[^'\\]|\\.)*'", '""')]
+CODE_REMOVALS = [(r"//[^\n\r\u2028\u2029]*", ""), (r"(?s)/\*.*?\*/", ""), (r"`(?:[^`\\$]|\\.|\$(?!\{))*`", '""'), (r'"(?:[^"\\]|\\.)*"', '""'), (r"'(?:[^'\\]|\\.)*'", '""')]
 BRANCHES = [r"(?<!else\s)\bif\s*\(", r"\belse\s+if\s*\(", r"\bcase\s+", r"&&", r"\|\|", r"\?[^?:]", r"\bcatch\s*\("]
 COMPLEXITY_STEPS = [(2, 1), (5, 2), (10, 3), (20, 4)]
 STOP_WORDS = "this that with from have been will would could should does which when where they them their there about into more some such than very also just only each because being other what then still called calls like used using before after".split()
@@ -40,7 +40,7 @@ def strip_non_prose(text: Column) -> Column:
 
 
 def strip_code(text: Column) -> Column:
-    """Source without comments and with empty string literals."""
+    """Source without comments and with empty string literals; template literals that set expressions in stay as they are."""
     return _chain(text, CODE_REMOVALS)
 
 
@@ -198,6 +198,11 @@ def remap_path(path: Column, old: str, new: str) -> Column:
     return F.when(path == old, F.lit(new)).when(path.startswith(old + "/"), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))).otherwise(path)
 
 
+def quote_path(path: Column) -> Column:
+    """A path for use within a quoted string of a filter: single quotes are doubled."""
+    return F.replace(path, F.lit("'"), F.lit("''"))
+
+
 def json_strings(text: Column) -> Column:
     """The strings of a JSON array; other elements are dropped, and anything else is empty."""
     items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")

@@ -36,15 +36,21 @@ def orphans_anti(spark, sf):
     return G.orphans(exports, edge).select(c("name").alias("c_custkey"))
 
 
-_INTRA = "i AS (SELECT DISTINCT concat('p', a.l_partkey) AS symbol, concat('o', a.l_orderkey) AS file, concat('p', b.l_partkey) AS referencer FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey AND b.l_quantity > a.l_quantity)"
+_INTRA = """n AS (SELECT l_orderkey, l_linestatus, 'p' || l_partkey AS me, 'p' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey, l_linestatus = 'O') AS calls FROM lineitem),
+x AS (SELECT DISTINCT l_orderkey, me FROM n WHERE l_linestatus = 'O'),
+i AS (SELECT DISTINCT calls AS symbol, concat('o', l_orderkey) AS file, me AS referencer FROM n WHERE l_linestatus = 'O' AND calls <> me AND EXISTS (SELECT 1 FROM x WHERE x.l_orderkey = n.l_orderkey AND x.me = n.calls))"""
 
 
 @CATALOG.add("intra_theta", f"WITH {_INTRA} SELECT * FROM i")
 def intra_theta(spark, sf):
-    l = table(spark, sf, "lineitem").select(c("l_orderkey").alias("o"), "l_partkey", "l_quantity")  # noqa: E741
-    r = l.select("o", c("l_partkey").alias("p2"), c("l_quantity").alias("q2"))
-    rows = l.join(r, "o").filter("l_partkey <> p2 and q2 > l_quantity")
-    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("symbol"), F.concat(F.lit("o"), "o").alias("file"), F.concat(F.lit("p"), "p2").alias("referencer")).distinct()
+    """Orders as files of one function a line, which calls the next line's and names others in a comment and a string."""
+    l = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("file"), c("l_linenumber").alias("at"), F.concat(F.lit("p"), "l_partkey").alias("name"), (c("l_linestatus") == "O").alias("exported"))  # noqa: E741
+    rows = l.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "name", "exported"))).alias("rows"))
+    after = lambda i: F.coalesce(F.get("rows", i + 1)["name"], F.lit("none"))
+    line = F.transform("rows", lambda r, i: F.concat(F.lit("function "), r["name"], F.lit("() { "), after(i), F.lit("('"), F.get("rows", F.lit(0))["name"], F.lit("') } // "), F.element_at("rows", -1)["name"]))
+    sources = rows.select("file", F.array_join(line, "\n").alias("content"))
+    symbols = rows.select("file", F.posexplode("rows").alias("i", "r")).select("file", "r.name", "r.exported", (c("i") + 1).alias("line_start"), (c("i") + 1).alias("line_end"))
+    return G.intra_file(symbols, sources)
 
 
 _USED = "u AS (SELECT DISTINCT concat('p', l_partkey) AS symbol, concat('o', l_orderkey) AS file FROM lineitem WHERE l_linestatus = 'O')"
@@ -114,7 +120,7 @@ def cache_aside(spark, sf):
     return hits.select("doc_id", F.lit(True).alias("hit")).unionAll(misses.select("doc_id", F.lit(False)))
 
 
-@CATALOG.add("trees_equal", "SELECT false AS equal UNION ALL SELECT true")
+@CATALOG.add("trees_equal", f"WITH {_V} SELECT NOT EXISTS ((SELECT doc_id, h FROM a EXCEPT ALL SELECT doc_id, h FROM b) UNION ALL (SELECT doc_id, h FROM b EXCEPT ALL SELECT doc_id, h FROM a)) AS equal UNION ALL SELECT NOT EXISTS (SELECT doc_id, h FROM a EXCEPT ALL SELECT doc_id, h FROM a)")
 def trees_equal(spark, sf):
     a, b = (x.select(c("doc_id").alias("path"), F.lit(1).alias("size"), c("h").alias("hash")) for x in _versions(spark, sf))
     return I.trees_equal(a, b).unionAll(I.trees_equal(a, a))

@@ -205,7 +205,10 @@ def report_message(spark, sf):
     return D.message(reviews(spark, sf), _files(spark, sf)).select(F.element_at(F.split("text", "\n"), 2).alias("worst"))
 
 
-@CATALOG.add("review_markdown")
+_LINE = "concat('- **', name, '** — ', concat_ws(' · ', correction, overengineering, utility, duplication, tests, documentation), ' (', confidence, '%)', chr(10), '  ', detail)"
+
+
+@CATALOG.add("review_markdown", f"WITH {_R}, l AS (SELECT file, name, {_LINE} AS line FROM r) SELECT file, concat('# Review: ', file, chr(10), chr(10), string_agg(line, chr(10) ORDER BY name, line), chr(10)) AS markdown FROM l GROUP BY file")
 def review_markdown(spark, sf):
     from tessella.sources.files import render_review
 

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.plans.base import Catalog, table
-from tessella.sources.files import read_snapshot
 from tessella.streaming import watch as W
 
 CATALOG = Catalog()
@@ -34,7 +33,18 @@ def stream_upsert_state(spark, sf):
     action = F.when(c("event_type") == "logout", "unlink").otherwise(c("event_type"))
     changes = _stream(spark, sf).select(c("user_id").cast("string").alias("file"), c("event_type").alias("hash"), action.alias("action"), c("ts").alias("at"))
     W.watch(changes, root, root + "/checkpoint").awaitTermination()
-    return read_snapshot(spark, root).select("file", "hash", "status")
+    return W.present(W.read_state(spark, root)).select("file", "hash", "status")
+
+
+@CATALOG.add("stream_late_changes", """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS t FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS file, t AS hash, 'PENDING' AS status FROM l WHERE t <> 'logout'""")
+def stream_late_changes(spark, sf):
+    """Two batches of which the first holds the later half of the time: what comes late changes nothing newer."""
+    action = F.when(c("event_type") == "logout", "unlink").otherwise(c("event_type"))
+    events = table(spark, sf, "events").select(c("user_id").cast("string").alias("file"), c("event_type").alias("hash"), action.alias("action"), c("ts").cast("timestamp").alias("at"))
+    middle = events.agg(F.timestamp_seconds(F.avg(F.unix_millis("at")) / 1000)).first()[0]
+    state = W.fold_changes(W.fold_changes(None, events.filter(c("at") >= middle)), events.filter(c("at") < middle))
+    return W.present(state).select("file", "hash", "status")
 
 
 @CATALOG.add("stream_windows", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT time_bucket(INTERVAL 1 HOUR, ts)) AS windows FROM events GROUP BY event_type")

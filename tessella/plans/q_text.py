@@ -49,9 +49,16 @@ def strip_non_prose_docs(spark, sf):
     return _docs(spark, sf).select("doc_id", F.length(T.strip_non_prose(c("text"))).cast("long").alias("n"))
 
 
-@CATALOG.add("strip_code", "SELECT page_id, sha256(" + _chain_sql("html", T.CODE_REMOVALS) + ") AS code_hash FROM pages")
+_LEFT = r"""concat('const a = ""; ', chr(10), 'c("", ""); d = a / b;', chr(10), 'e = "" + x; f = ""; g = `set ${', lang, '} in`')"""
+
+
+@CATALOG.add("strip_code", f"SELECT doc_id, {_LEFT} AS code FROM documents")
 def strip_code(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.sha2(T.strip_code(c("html")), 256).alias("code_hash"))
+    """Sources around the languages and sources of documents; the SQL states what must stay of them, not how it is found."""
+    lang, source = c("lang"), c("source")
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    code = of("const a = `plain ", lang, " $5 \\` end`; // ", source, '\nc("', lang, " \\\" q\", '", source, " \\' r'); /* ", source, "\n */d = a / b;\ne = `` + x; f = 'it'; g = `set ${", lang, "} in`")
+    return _docs(spark, sf).select("doc_id", T.strip_code(code).alias("code"))
 
 
 @CATALOG.add("is_scaffold", "SELECT doc_id, false AS scaffold FROM documents WHERE NOT contains(text, '<!-- SCAFFOLDING') UNION ALL SELECT 1000000 + doc_id, n_chars < 180 FROM documents WHERE n_chars < 180")

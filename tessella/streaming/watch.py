@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.incremental import latest
-from tessella.sources.files import read_snapshot, write_snapshot
 
 c = F.col
 
+#: Parts of a watched state, each a snapshot of its own.
+BUCKETS = 8
+
 
 def fold_changes(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     """State (file, hash, status, at) after a batch of changes (file, hash, action, at).
 
-    Of several changes of a file in a batch the last one counts; `unlink` removes the file, another hash makes it
-    PENDING, the same hash leaves it as it is.
+    Of several changes of a file the last one by its time counts, whatever batch it comes in: one that is older than what
+    the state holds changes nothing. `unlink` makes a file REMOVED (kept, so that older changes do not bring it back),
+    another hash makes it PENDING, the same hash leaves it as it is.
     """
     last = latest(changes, ["file"], F.struct("at", "action"))
+    removed = c("action") == "unlink"
     if state is None:
-        return last.filter("action <> 'unlink'").select("file", "hash", F.lit("PENDING").alias("status"), "at")
-    s = state.select("file", c("hash").alias("old_hash"), "status", c("at").alias("old_at"))
-    both = s.join(last, "file", "full_outer").filter("action is null or action <> 'unlink'")
-    same = c("action").isNull() | c("hash").eqNullSafe(c("old_hash"))
-    return both.select("file", F.coalesce("hash", "old_hash").alias("hash"), F.when(same, c("status")).otherwise("PENDING").alias("status"), F.when(same, c("old_at")).otherwise(c("at")).alias("at"))
+        return last.select("file", F.when(~removed, c("hash")).alias("hash"), F.when(removed, "REMOVED").otherwise("PENDING").alias("status"), "at")
+    s = state.select("file", c("hash").alias("old_hash"), c("status").alias("old_status"), c("at").alias("old_at"))
+    both = s.join(last, "file", "full_outer")
+    late = c("action").isNull() | (c("at") < c("old_at"))
+    same = ~removed & c("hash").eqNullSafe(c("old_hash")) & (c("old_status") != "REMOVED")
+    hash_ = F.when(late, c("old_hash")).when(~removed, c("hash"))
+    status = F.when(late | F.coalesce(same, F.lit(False)), c("old_status")).when(removed, "REMOVED").otherwise("PENDING")
+    return both.select("file", hash_.alias("hash"), status.alias("status"), F.when(late, c("old_at")).otherwise(c("at")).alias("at"))
+
+
+def present(state: DataFrame) -> DataFrame:
+    """Files that are there."""
+    return state.filter("status <> 'REMOVED'")
+
+
+def bucket(file) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
+
+
+def manifest(spark: SparkSession, root: str) -> dict[int, str]:
+    """Where each part of the state is; empty if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {r.bucket: r.path for r in spark.read.schema("bucket int, path string").json(f"{root}/manifest").collect()}  # BUCKETS rows
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The whole state; None if there is none."""
+    parts = manifest(spark, root)
+    return spark.read.parquet(*parts.values()) if parts else None
 
 
 def advance(state: DataFrame, done: DataFrame) -> DataFrame:
@@ -36,15 +67,30 @@ def advance(state: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def watch(changes: DataFrame, root: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, available_now: bool = True):
-    """Start a query that folds a stream of changes into the snapshot at root, one micro-batch at a time.
+    """Start a query that folds a stream of changes into the state below root, one micro-batch at a time.
 
-    A batch that is run again after a failure folds the same changes again, which gives the same state.
+    The state lies in BUCKETS parts by hash of the file; only those that a batch touches are read and written, and one
+    manifest says where each part is. A batch that is run again after a failure folds the same changes again, which gives
+    the same state.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        write_snapshot(fold_changes(read_snapshot(batch.sparkSession, root), batch), root)
+        spark = batch.sparkSession
+        dealt = batch.withColumn("bucket", bucket(c("file"))).persist()
+        try:
+            touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
+            at = manifest(spark, root)
+            known = [at[n] for n in touched if n in at]
+            new = fold_changes(spark.read.parquet(*known) if known else None, dealt.drop("bucket"))
+            version = f"{root}/v-{uuid.uuid4().hex}"
+            new.withColumn("bucket", bucket(c("file"))).repartition("bucket").write.partitionBy("bucket").parquet(version)
+            at |= {n: f"{version}/bucket={n}" for n in touched}
+            if touched:
+                spark.createDataFrame(list(at.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+        finally:
+            dealt.unpersist()
         if after is not None:
-            after(read_snapshot(batch.sparkSession, root), number)
+            after(read_state(spark, root), number)
 
     q = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if available_now else q).start()

@@ -124,10 +124,12 @@ def test_fold_changes(spark):
     later = t + datetime.timedelta(seconds=5)
     schema = "file string, hash string, action string, at timestamp"
     one = W.fold_changes(None, spark.createDataFrame([("a", "1", "add", t), ("a", "2", "change", later), ("b", "1", "add", t), ("b", None, "unlink", later)], schema))
-    assert [(r.file, r.hash, r.status) for r in one.collect()] == [("a", "2", "PENDING")]
+    assert [(r.file, r.hash, r.status) for r in W.present(one).collect()] == [("a", "2", "PENDING")]
     done = W.advance(one, spark.createDataFrame([("a", None)], "file string, error string"))
     again = W.fold_changes(done, spark.createDataFrame([("a", "2", "change", later), ("c", "9", "add", later)], schema))
-    assert {(r.file, r.status) for r in again.collect()} == {("a", "DONE"), ("c", "PENDING")}
+    assert {(r.file, r.status) for r in W.present(again).collect()} == {("a", "DONE"), ("c", "PENDING")}
+    late = W.fold_changes(again, spark.createDataFrame([("a", None, "unlink", t), ("b", "0", "change", t), ("c", None, "unlink", later + datetime.timedelta(seconds=1))], schema))
+    assert {(r.file, r.hash, r.status) for r in W.present(late).collect()} == {("a", "2", "DONE")}
 
 
 def test_a_drained_stream_equals_the_batch(spark, tmp_path):
@@ -139,7 +141,7 @@ def test_a_drained_stream_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     W.watch(stream, root, root + "/cp").awaitTermination()
     key = lambda d: {(r.file, r.hash) for r in d.collect()}
-    assert key(S.read_snapshot(spark, root)) == key(W.fold_changes(None, df))
+    assert key(W.present(W.read_state(spark, root))) == key(W.present(W.fold_changes(None, df)))
 
 
 def test_project(spark):
