@@ -48,8 +48,23 @@ def embed(df: DataFrame, text: Column, name: str, factory: Callable, dim: int) -
     return df.filter(some).withColumn(name, run(text)).unionByName(df.filter(~F.coalesce(some, F.lit(False))).withColumn(name, zero))
 
 
-def evaluate(df: DataFrame, factory: Callable, schema: str, attempts: int = 2) -> DataFrame:
-    """Rows of a provider's `evaluate(row) -> list of dicts` with `error`; a failure after some attempts is one error row."""
+#: Least and most calls of a provider at a time.
+LEAST_CALLS, MOST_CALLS = 1, 32
+
+
+def gate(df: DataFrame, calls: int) -> DataFrame:
+    """df in as many tasks as calls may run at a time: a task makes one call after another, so no more ever run."""
+    if not LEAST_CALLS <= calls <= MOST_CALLS:
+        raise ValueError(f"calls at a time must be {LEAST_CALLS} to {MOST_CALLS}, not {calls}")
+    return df.repartition(calls)
+
+
+def evaluate(df: DataFrame, factory: Callable, schema: str, attempts: int = 2, calls: int | None = None) -> DataFrame:
+    """Rows of a provider's `evaluate(row) -> list of dicts` with `error`; a failure after some attempts is one error row.
+
+    calls: how many may run at a time, over the whole cluster.
+    """
+    df = df if calls is None else gate(df, calls)
     from pyspark.sql.types import _parse_datatype_string
 
     names = _parse_datatype_string(schema).names

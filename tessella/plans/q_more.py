@@ -12,6 +12,7 @@ from tessella.operators import incremental as I
 from tessella.operators import index as X
 from tessella.operators import pages as P
 from tessella.operators import project as J
+from tessella.operators import refresh
 from tessella.operators import rules as R
 from tessella.plans.base import Catalog, table
 from tessella.sources import files as S
@@ -22,7 +23,7 @@ c = F.col
 
 def _of(*parts):
     """Concatenation of literals, columns, and columns named after an @."""
-    return F.concat(*[(c(p[1:]) if p[:1] == "@" else F.lit(p)) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.concat(*[(c(p[1:]) if p[:1] == "@" and p[1:].isidentifier() else F.lit(p)) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def _index(spark, sf):
@@ -263,3 +264,66 @@ def card_calls(spark, sf):
     lines = [("a", 1, 1), ("b", 2, 2), ("k", 3, 5)]
     symbols = d.select("file", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit("function").alias("kind"), F.lit(a).alias("line_start"), F.lit(b).alias("line_end")) for n, a, b in lines])).alias("s")).select("file", "s.*")
     return X.cards(symbols, d).select("file", "name", "called")
+
+
+def _functions(d):
+    """Documents as files of one function whose body names their language."""
+    files = d.select(_of("d", c("doc_id"), ".ts").alias("file"), _of("function f", c("doc_id"), "() {\n  return ", c("lang"), "\n}").alias("content"))
+    symbols = files.select("file", F.regexp_extract("content", r"function (\w+)", 1).alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"))
+    return symbols, files
+
+
+@CATALOG.add("refresh_project", "SELECT 'f' || doc_id AS name, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS embedded FROM documents WHERE doc_id % 7 <> 0")
+def refresh_project(spark, sf):
+    """Two runs: between them every third file is new, every fifth changes and every seventh goes."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    embed = lambda run: lambda cards: cards.withColumns({"vector": F.array_repeat(F.lit(1.0).cast("float"), 4), "nlp_vector": F.lit(None).cast("array<float>"), "doc_vector": F.lit(None).cast("array<float>"), "summary": F.lit(run)})
+    one = refresh.project(None, None, *_functions(d.filter("doc_id % 3 <> 0")), embed("first"), (4, 4))
+    later = d.filter("doc_id % 7 <> 0").withColumn("lang", F.when(c("doc_id") % 5 == 0, F.lit("x")).otherwise(c("lang")))
+    two = refresh.project(one.index, one.cache, *_functions(later), embed("second"), (4, 4))
+    return two.index.select("name", c("summary").alias("embedded"))
+
+
+@CATALOG.add("refresh_sections", "SELECT 'd' || doc_id || '.md' AS file, count(*) AS n, bool_or(doc_id % 5 = 0 OR doc_id % 3 = 0) AS again FROM documents WHERE doc_id % 7 <> 0 GROUP BY ALL")
+def refresh_sections(spark, sf):
+    """As refresh_project, for documents of one section each."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    page = lambda x: x.select(_of("d", c("doc_id"), ".md").alias("file"), _of("## Head\n\n", F.repeat(_of("words of ", c("lang"), " "), 20)).alias("content"))
+    embed = lambda value: lambda rows: rows.withColumn("nlp_vector", F.array_repeat(F.lit(value).cast("float"), 4))
+    empty = spark.createDataFrame([], "id string, file string, name string, summary string, vector array<float>, nlp_vector array<float>, doc_vector array<float>, type string, source string")
+    one = refresh.sections(empty, None, page(d.filter("doc_id % 3 <> 0")), "user", embed(1.0), (4, 4), smart=False)
+    later = d.filter("doc_id % 7 <> 0").withColumn("lang", F.when(c("doc_id") % 5 == 0, F.lit("x")).otherwise(c("lang")))
+    two = refresh.sections(one.index, one.cache, page(later), "user", embed(2.0), (4, 4), smart=False)
+    return two.index.groupBy("file").agg(F.count("*").alias("n"), F.bool_or(F.get("nlp_vector", F.lit(0)) == 2.0).alias("again"))
+
+
+@CATALOG.add("test_file_links", "SELECT 'src/m' || doc_id || '.ts' AS file, 'tests/m' || doc_id || '.test.ts' AS test FROM documents UNION ALL SELECT 'src/m' || doc_id || '.ts', 'tests/all' || doc_id || '.ts' FROM documents WHERE doc_id % 2 = 0")
+def test_file_links(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    none = F.array().cast("array<string>")
+    tests = d.select(_of("tests/m", c("doc_id"), ".test.ts").alias("test"), none.alias("imports")).unionAll(d.filter("doc_id % 2 = 0").select(_of("tests/all", c("doc_id"), ".ts"), F.array(_of("../src/m", c("doc_id"), ".js"))))
+    return G.test_files(d.select(_of("src/m", c("doc_id"), ".ts").alias("file")), tests)
+
+
+@CATALOG.add("file_packages", "SELECT 'm' || doc_id AS file, '@a/' || source AS name, 'v' || source AS version, 2 AS pos FROM documents UNION ALL SELECT 'm' || doc_id, lang, 'w', 1 FROM documents")
+def file_packages(spark, sf):
+    d = table(spark, sf, "documents")
+    refs = d.select(_of("m", c("doc_id")).alias("file"), F.explode(F.array(F.struct(_of(c("lang"), "/sub").alias("source"), F.lit(1).alias("pos")), F.struct(_of("@a/", c("source"), "/x/y").alias("source"), F.lit(2).alias("pos")), F.struct(_of("@a/", c("source")).alias("source"), F.lit(4).alias("pos")), F.struct(F.lit("./near").alias("source"), F.lit(3).alias("pos")))).alias("r")).select("file", "r.*")
+    manifest = d.select(_of("@a/", c("source")).alias("name"), _of("v", c("source")).alias("version")).unionAll(d.select("lang", F.lit("w"))).distinct()
+    return G.file_dependencies(refs, manifest)
+
+
+@CATALOG.add("language_globs", "SELECT unnest(['src/**/*.ts', 'src/**/*.tsx', 'src/**/*.py']) AS glob")
+def language_globs(spark, sf):
+    """Globs of languages with a share of 5 % at least."""
+    shares = table(spark, sf, "region").limit(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("lang"), F.lit(p).alias("pct")) for n, p in (("TypeScript", 60), ("Python", 35), ("Rust", 4))])).alias("s")).select("s.*")
+    return J.scan_globs(shares).filter("glob rlike '[.](ts|tsx|py|rs)$'")
+
+
+@CATALOG.add("summarised_cards", "SELECT 'c' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN left(repeat(p_type, 60), 400) END AS summary, CASE WHEN p_partkey % 4 = 0 THEN 'async' ELSE 'utility' END AS behavioral_profile FROM part")
+def summarised_cards(spark, sf):
+    p = table(spark, sf, "part")
+    key = _of("c", c("p_partkey")).alias("id")
+    found = p.filter("p_partkey % 2 = 0").select(key, F.repeat("p_type", 60).alias("summary"), F.lit("").alias("doc_summary"), F.array(F.lit("k")).alias("key_concepts"), F.when(c("p_partkey") % 4 == 0, "async").otherwise("odd").alias("behavioral_profile"))
+    done, missing = X.with_summaries(p.select(key), found)
+    return done.select("id", "summary", "behavioral_profile")
