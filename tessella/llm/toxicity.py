@@ -59,11 +59,15 @@ def _telling(at: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.nan_to_num(g) > LEAST_G)
 
 
-def _conjugate(product, goal: np.ndarray, most: int = 200) -> np.ndarray:
-    """x with product(x) = goal, for a positive definite product."""
+def _conjugate(product, goal: np.ndarray, diagonal: np.ndarray, most: int = 100) -> np.ndarray:
+    """x with product(x) = goal to two digits, for a positive definite product; its diagonal is the preconditioner.
+
+    Newton's steps correct what a step leaves, so that more digits would not be used.
+    """
     x, left = np.zeros(len(goal)), goal.copy()
-    way, size = left.copy(), left @ left
-    stop = size * 1e-14
+    near = left / diagonal
+    way, size = near.copy(), left @ near
+    stop = size * 1e-4
     for _ in range(most):
         if size <= stop:
             break
@@ -71,8 +75,9 @@ def _conjugate(product, goal: np.ndarray, most: int = 200) -> np.ndarray:
         step = size / (way @ turned)
         x += step * way
         left -= step * turned
-        new = left @ left
-        way, size = left + new / size * way, new
+        near = left / diagonal
+        new = left @ near
+        way, size = near + new / size * way, new
     return x
 
 
@@ -100,9 +105,10 @@ def _fit(at, row, n, earlier, y, steps: int = 25, decay: float = 3.0):
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(times(beta), -30, 30)))
         weight = np.maximum(p * (1 - p), 1e-3)
-        step = _conjugate(lambda v, w=weight: back(w * times(v)) + ridge * v, back(p - y) + ridge * beta)
+        diagonal = np.concatenate((np.bincount(feature, weight[of], m), (earlier**2).T @ weight, [weight.sum()])) + ridge
+        step = _conjugate(lambda v, w=weight: back(w * times(v)) + ridge * v, back(p - y) + ridge * beta, diagonal)
         beta -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-2:
             break
     w = np.zeros(1 << BITS)
     w[pick] = beta[: len(pick)]
