@@ -40,7 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = jaccard_classes(docs)
     mine = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")
-    first = classes.filter("component is not null").groupBy("component").agg(F.min(mine).alias("first"))
+    first = classes.filter("component is not null").groupBy("component").agg(F.min(mine).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    few = first.count() <= BROADCAST_ROWS // 10
+    first = F.broadcast(first) if few else first
     name = [F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")]
     gone = classes.join(first, "component").filter(mine != F.col("first")).select(*name).distinct()
     twice = classes.groupBy("doc_id", "text_hash").count().filter("count > 1").select(*name)
