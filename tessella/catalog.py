@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import q_graph, q_more, q_plan, q_review, q_stream, q_text, q_vectors
+from tessella.plans import q_graph, q_more, q_parse, q_plan, q_review, q_stream, q_text, q_vectors
 
-PLANS = [q_vectors, q_review, q_text, q_graph, q_plan, q_stream, q_more]
+PLANS = [q_vectors, q_review, q_text, q_graph, q_plan, q_stream, q_more, q_parse]
 
 
 def queries() -> dict:
