@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from tessella.functions import text as T
 
@@ -104,30 +106,56 @@ def chunk(docs: DataFrame, smart: bool = True) -> DataFrame:
     return out.withColumn("id", T.section_id(c("file"), c("heading"), c("ordinal")))
 
 
+def _folded(rows: DataFrame, key: str, order: list, schema: T_.StructType, start: Callable, step: Callable) -> DataFrame:
+    """rows with a value per row (null: the row is dropped) that depends on those before it under the same key.
+
+    A key's rows come sorted to one task and are folded as they stream by: no row holds a whole key, and memory follows
+    a batch of Arrow rows. step(state, row) gives (state, value).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            values = []
+            for row in batch.to_pylist():
+                if row[key] != last:
+                    last, state = row[key], start()
+                state, value = step(state, row)
+                values.append(value)
+            got = pa.array(values, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), got], names=schema.names).filter(got.is_valid())
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def greedy_batches(rows: DataFrame, key: str, order: str, size: str, limit: int = BATCH_CHARS) -> DataFrame:
-    """rows with `batch`: filled in order until the next row would not fit; one larger than the limit is alone.
+    """(key, order, batch): filled in order until the next row would not fit; one larger than the limit is alone.
 
-    The running sum starts anew with each batch, which no window frame can say: it is a fold over the sizes of one key.
+    The running sum starts anew with each batch, which no window frame can say.
     """
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x[size] <= limit)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(F.when(fits, acc["used"] + x[size]).otherwise(x[size]).cast("long").alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def step(state, row):
+        used, batch = state
+        n = row[size] or 0
+        if used and used + n > limit:
+            used, batch = 0, batch + 1
+        return (used + n, batch), batch
 
-    packed = ordered.select(key, F.explode(F.arrays_zip("xs", F.aggregate("xs", start, step, lambda a: a["out"]).alias("batch"))).alias("z"))
-    return packed.select(key, c(f"z.xs.{order}").alias(order), c("z.batch").alias("batch"))
+    some = rows.select(key, order, size)
+    schema = T_.StructType([some.schema[key], some.schema[order], T_.StructField("batch", T_.IntegerType())])
+    return _folded(some, key, [order], schema, lambda: (0, 0), step)
 
 
 def pack_sections(sections: DataFrame, budget: int) -> DataFrame:
-    """Sections (package, position, score, size) to keep: the first one, then by score what still fits, in document order."""
-    ordered = sections.groupBy("package").agg(F.array_sort(F.collect_list(F.struct((c("position") > 0).alias("later"), (-c("score")).alias("s"), "position", "size"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    takes = lambda a, x: ~x["later"] | ((x["s"] < 0) & (a["used"] + x["size"] <= budget))
-    step = lambda a, x: F.when(takes(a, x), F.struct((a["used"] + x["size"]).cast("long").alias("used"), F.concat(a["kept"], F.array(x["position"].cast("int"))).alias("kept"))).otherwise(a)
-    return ordered.select("package", F.explode(F.array_sort(F.aggregate("xs", start, step, lambda a: a["kept"]))).alias("position"))
+    """Sections (package, position, score, size) to keep: the first one, then by score what still fits."""
+
+    def step(used, row):
+        takes = not row["later"] or (row["score"] > 0 and used + row["size"] <= budget)
+        return (used + row["size"], 1) if takes else (used, None)
+
+    some = sections.select("package", "position", "score", "size", (c("position") > 0).alias("later"))
+    schema = T_.StructType([some.schema["package"], some.schema["position"], T_.StructField("kept", T_.IntegerType())])
+    return _folded(some, "package", ["later", F.desc("score"), "position"], schema, lambda: 0, step).drop("kept")
 
 
 def weights(types: Column) -> dict[str, Column]:

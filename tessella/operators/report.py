@@ -53,10 +53,16 @@ def systemic_dead(df: DataFrame, more_than: int = SYSTEMIC_DEAD) -> DataFrame:
 def sort_findings(files: DataFrame) -> DataFrame:
     """files (file, verdict, n_findings, max_confidence) with `position`: worst verdict, most findings, most certain.
 
-    A total order over files needs one task to number them; files are few against symbols.
+    Files that agree in these three are numbered among themselves; one task orders only the kinds of files there are.
     """
     rank = F.when(c("verdict") == "CRITICAL", 0).when(c("verdict") == "NEEDS_REFACTOR", 1).otherwise(2)
-    return files.withColumn("position", F.row_number().over(Window.orderBy(rank, F.desc("n_findings"), F.desc("max_confidence"), "file")))
+    kind = ["rank", "n_findings", "max_confidence"]
+    some = files.withColumn("rank", rank)
+    before = F.sum("n").over(Window.orderBy("rank", F.desc("n_findings"), F.desc("max_confidence"))) - c("n")
+    kinds = some.groupBy(*kind).agg(F.count("*").alias("n")).withColumn("before", before).select(*[c(k).alias(f"k_{k}") for k in kind], "before")
+    same = c("rank").eqNullSafe(c("k_rank")) & c("n_findings").eqNullSafe(c("k_n_findings")) & c("max_confidence").eqNullSafe(c("k_max_confidence"))
+    nth = F.row_number().over(Window.partitionBy(*kind).orderBy("file"))
+    return some.withColumn("nth", nth).join(kinds, same).select(*files.columns, (c("before") + c("nth")).cast("int").alias("position"))
 
 
 def shards(ordered: DataFrame, size: int = 10) -> DataFrame:

@@ -154,7 +154,10 @@ def greedy_batches(spark, sf):
     return D.greedy_batches(_docs(spark, sf).select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
-@CATALOG.add("pack_sections")
+@CATALOG.add("pack_sections", """WITH RECURSIVE o AS (SELECT source, doc_id, doc_id % 7 AS score, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id > 0, doc_id % 7 DESC, doc_id) AS i FROM documents),
+g AS (SELECT source, doc_id, i, CASE WHEN doc_id <= 0 OR (score > 0 AND n_chars <= 20000) THEN n_chars ELSE 0 END AS used, doc_id <= 0 OR (score > 0 AND n_chars <= 20000) AS kept FROM o WHERE i = 1
+UNION ALL SELECT o.source, o.doc_id, o.i, CASE WHEN o.doc_id <= 0 OR (o.score > 0 AND g.used + o.n_chars <= 20000) THEN g.used + o.n_chars ELSE g.used END, o.doc_id <= 0 OR (o.score > 0 AND g.used + o.n_chars <= 20000) FROM o JOIN g ON o.source = g.source AND o.i = g.i + 1)
+SELECT source AS package, CAST(doc_id AS INTEGER) AS position FROM g WHERE kept""")
 def pack_sections(spark, sf):
     s = _docs(spark, sf).select(c("source").alias("package"), c("doc_id").cast("int").alias("position"), (c("doc_id") % 7).alias("score"), c("n_chars").alias("size"))
     return D.pack_sections(s, 20_000)
