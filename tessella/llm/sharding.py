@@ -39,23 +39,26 @@ def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[in
     load = [a + b for a, b in zip(base, _loads(state, shards), strict=True)]
     votes = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
     ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by"))  # one entry a shard at most
-    elected = ranked.select(F.col("g").alias("g_"), F.transform("by", lambda x: x["shard"]).alias("by"))
+    elected = ranked.select(F.col("g").alias("g_"), F.transform("by", lambda x: x["shard"]).alias("by"), (-F.get("by", F.lit(0))["n"]).alias("top"))
     wanted = F.greatest(F.ceil(F.col("rows") / cap), F.lit(1)).cast("int")
     asked = state.join(F.broadcast(elected) if few else elected, F.col("g") == F.col("g_")).withColumn("to", F.slice("by", 1, wanted)).drop("by")
     moves = ~F.array_contains("to", F.col("shard"))
     target = F.element_at("to", (F.pmod(F.xxhash64("place", F.lit(turn)), F.size("to")) + 1).cast("int"))
     full, open_ = [s for s in range(shards) if base[s] >= cap], [s for s in range(shards) if load[s] < cap]
-    if full and open_:  # a small group whose shard belongs to large ones moves as a whole
-        lost = (F.size("to") == 1) & F.element_at("to", 1).isin(full)
-        target = F.when(lost, _pick(open_, F.pmod(F.xxhash64("g"), F.lit(len(open_))))).otherwise(target)
+    crowded = [s for s in range(shards) if load[s] >= cap]
+    if crowded and open_:  # a group whose shard belongs to large ones, or has no room for all of it, moves as a whole
+        torn = F.element_at("to", 1).isin(crowded) & (F.col("top") < F.col("rows"))
+        lost = (F.size("to") == 1) & (F.element_at("to", 1).isin(full) | torn) if full else (F.size("to") == 1) & torn
+        target = F.when(lost, _pick(open_, F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(len(open_))))).otherwise(target)
         moves = moves | lost
-    target = F.when(moves, target)
-    asked = stash(asked.withColumn("target", target).drop("g_", "to"), "asked")
+    target = F.when(moves & (target != F.col("shard")), target)
+    draw = F.when(F.size("to") == 1, _unit("g", F.lit(turn + 100))).otherwise(_unit("place", F.lit(turn + 100)))  # small groups go together
+    asked = stash(asked.withColumns({"target": target, "draw": draw}).drop("g_", "to", "top"), "asked")
     flow = {r.target: r["count"] for r in asked.filter("target is not null").groupBy("target").count().collect()}
     leave = {r.shard: r["count"] for r in asked.filter("target is not null").groupBy("shard").count().collect()}
     admit = [min(1.0, max(0, cap - load[s] + leave.get(s, 0)) / flow[s]) if flow.get(s) else 0.0 for s in range(shards)]
-    goes = F.col("target").isNotNull() & (_unit("place", F.lit(turn + 100)) < _pick(admit, F.coalesce("target", F.lit(0))))
-    return asked.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"), sum(leave.values())
+    goes = F.col("target").isNotNull() & (F.col("draw") < _pick(admit, F.coalesce("target", F.lit(0))))
+    return asked.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target", "draw"), sum(leave.values())
 
 
 def _ranked(state: DataFrame, total: int, shards: int) -> DataFrame:
