@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
@@ -42,22 +42,18 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: int = 3) -> DataFrame:
     Sources in code-point order, null last, weigh 1 to cycle, again and again. Targets share the total by weight, stop
     at cap times the source's size, and the excess is shared again by weight until no target is above.
     """
+    # One row a source: the only global orders here are over the table of sources.
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row a source: the only global order here is over the table of sources.
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    table = stash(table.select("source", "source_size", (F.pmod(place, F.lit(cycle)) + 1).cast("double").alias("weight")), "sources")
-    total = float(table.agg(F.sum("source_size")).first()[0] or 0)
+    table = stash(table.select("source", "source_size", (F.pmod(place, F.lit(cycle)) + 1).cast("long").alias("weight")), "sources")
+    # Sources stop in order of limit / weight. The level of the rest is that of the first source which it does not stop.
     limit = F.col("source_size") * cap
-    level = 0.0
-    while True:  # the level of the water only rises; each round fixes one source more at least
-        capped = limit <= F.col("weight") * level
-        held, free = table.agg(F.sum(F.when(capped, limit)), F.sum(F.when(~capped, F.col("weight")))).first()
-        if not free:
-            break
-        new = (total - float(held or 0)) / float(free)
-        if new <= level:
-            break
-        level = new
+    order = Window.orderBy(limit / F.col("weight"), F.col("source").isNull(), "source")
+    every = Window.partitionBy()
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
+    level = (F.sum("source_size").over(every) - F.sum(limit).over(every) + F.sum(limit).over(rest)) / F.sum("weight").over(rest)
+    ranked = table.select((limit / F.col("weight")).alias("stop"), level.alias("level"))
+    level = ranked.filter("level <= stop").agg(F.min_by("level", "stop")).first()[0] or 0.0
     return table.withColumn("target", F.least(limit.cast("double"), F.col("weight") * level))
 
 
@@ -86,7 +82,9 @@ def solve_dual(sizes: DataFrame, sources: DataFrame, cap: int = 3, few: bool = F
     now = sources.filter(F.col("target") < F.col("source_size") * cap * (1 - 1e-12)).select("source", "source_size", "target")
     now = _matched(now, mean, "source", few=few)
     # At `low` a document of one word has a rate of exp(-60), at `high` all have the cap.
-    now = stash(now.withColumns({"multiplier": F.lit(0.0), "low": -60.0 * F.col("mean"), "high": math.log(cap) * F.col("mean")}), "dual")
+    # The first guess is right where all documents are equally long.
+    guess = F.least(F.log(F.col("target") / F.col("source_size")), F.lit(math.log(cap)))
+    now = stash(now.withColumns({"multiplier": guess, "low": -60.0 * F.col("mean"), "high": math.log(cap) * F.col("mean")}), "dual")
     x = F.col("size") / F.col("mean")
     for _ in range(MOST_STEPS):
         rate = _tilted(F.col("multiplier"), x, cap)
@@ -102,9 +100,10 @@ def solve_dual(sizes: DataFrame, sources: DataFrame, cap: int = 3, few: bool = F
         new = _matched(now, sums, "source", few=few).withColumns({"low": low, "high": high})
         new = new.withColumn("miss", F.abs(off) / F.col("source_size"))
         multiplier = F.when(F.col("miss") <= TOLERANCE, F.col("multiplier")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        new = stash(new.withColumn("multiplier", multiplier).drop("got", "slope"), "dual")
+        seen = Observation()
+        new = stash(new.withColumn("multiplier", multiplier).drop("got", "slope").observe(seen, F.max("miss").alias("most")), "dual")
         discard(now)
-        miss = new.agg(F.max("miss")).first()[0]
+        miss = seen.get["most"]
         now = new.drop("miss")
         now._stash_path = new._stash_path
         if miss is None or miss <= TOLERANCE:
@@ -161,7 +160,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     base = stash(base, "sizes")
     sizes = stash(base.groupBy("source", "size").agg(F.count("*").alias("n")), "by-size")
-    sources = stash(source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), cycle, cap), "targets")
+    sources = source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), cycle, cap)
     few = sources.count() <= BROADCAST_ROWS // 10
     some = sizes.filter("size > 0")
     dual = solve_dual(some, sources, cap, few)
@@ -175,7 +174,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         plan = new
     whole = F.floor(F.col("copies") / F.col("n")).cast("long")
     told = plan.withColumns({"whole": whole, "extra": F.col("copies") - whole * F.col("n")}).select("source", "size", "n", "rate", "whole", "extra")
-    told = stash(told, "told")
 
     rows = _matched(base, told, "source", "size", few=told.count() <= BROADCAST_ROWS // 10, how="left")
     rows = _matched(rows, sources.select("source", "source_size", "target"), "source", few=few)
