@@ -96,8 +96,8 @@ def instructions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", got["style"].alias("style"), got["naming_rules"].alias("naming"))
 
 
-@CATALOG.add("open_actions", "SELECT doc_id, ['A' || doc_id, 'C'] AS ids, ['high', ''] AS severities, ['f' || source, ''] AS files FROM documents")
-def open_actions(spark, sf):
+@CATALOG.add("unticked_actions", "SELECT doc_id, ['A' || doc_id, 'C'] AS ids, ['high', ''] AS severities, ['f' || source, ''] AS files FROM documents")
+def unticked_actions(spark, sf):
     got = Z.unchecked_actions(_of("- [ ] <!-- A", c("doc_id"), " --> **[high]** Mend it (`f", c("source"), "`)\n- [x] <!-- B --> done\n- [ ] <!-- C --> plain\n"))
     of = lambda n: F.transform(got, lambda x: x[n])
     return table(spark, sf, "documents").select("doc_id", of("id").alias("ids"), of("severity").alias("severities"), of("file").alias("files"))
