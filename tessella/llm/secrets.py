@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ LEAST_LITERAL = 6
 LEAST_SCORE = 4.0
 
 _TOKEN = re.compile(
-    r"""(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2})?(?:\"{3}(?:\\.|[^\\])*?\"{3}|"(?:\\.|[^"\\\n])*")|(?<![A-Za-z0-9_])[rRbBfFuU]{0,2}(?:'{3}(?:\\.|[^\\])*?'{3}|'(?:\\.|[^'\\\n])*')|`(?:\\.|[^`\\])*`)"""
+    r"""(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2})?(?<!\\)(?:\"{3}(?:\\.|[^\\])*?\"{3}|"(?:\\.|[^"\\\n])*")|(?<![A-Za-z0-9_])[rRbBfFuU]{0,2}(?<!\\)(?:'{3}(?:\\.|[^\\])*?'{3}|'(?:\\.|[^'\\\n])*')|(?<!\\)`(?:\\.|[^`\\])*`)"""
     r"""|(?P<line>\n[\x20\t]*)"""
     r"""|(?P<define>(?<![^\n])[\x20\t]*(?:\#[\x20\t]*define|ENV|setenv)[\x20\t]+[A-Za-z_][A-Za-z0-9_]*(?=[\x20\t]))"""
     r"""|(?P<tag></?[A-Za-z_][A-Za-z0-9_.:-]*)"""
@@ -59,42 +60,92 @@ _LAST_NAME = re.compile(r"[A-Za-z0-9_$.\-]+\Z")
 _WORDS = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _INDEX = re.compile(r"\[[\x20\t]*[0-9]*[\x20\t]*\][\x20\t]*\Z")
 _TYPED = re.compile(r"""[\x20\t]*[&*?A-Za-z_\[(][^\n"'`=:;\#]*?(?:(?<=[\x20\t])=[\x20\t]|=(?=[\x20\t]*[rRbBfFuU]{0,2}["'`]))""")
-_BARE = re.compile(r"""[A-Za-z0-9_$/+@!%^&*~.-][^\s"'`,;<>(){}\[\]]*""")
+_BARE = re.compile(r"""[A-Za-z0-9_$/+@!%^&*~.-]""")
+_RUN = re.compile(r"""[^\s"'`,;<>(){}\[\]]*""")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\Z")
 _SET_IN = re.compile(r"\$?\{[\x20]*([A-Za-z_$][A-Za-z0-9_.$]*)[^{}\n]*\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 _JOINS = re.compile(r"[\x20\t]*(?:\+|\|\||\.\.)[\x20\t]*|[\x20\t]+(?=[\"'])")
 _DEF = re.compile(r"[\x20\t]*(?:async[\x20]+)?(?:def|class)\b[^\n]*:[\x20\t]*(?:\#[^\n]*)?\Z")
 
 
+class Source:
+    """A text, with the counts of the characters of any part of it and the end of any unbroken run.
+
+    Neither costs more for a long part than for a short one: counts are differences of sums kept at every few hundred
+    characters, and all positions of a run share its end.
+    """
+
+    def __init__(self, text: str):
+        self.text, self._run, self._sums = text, (0, 0), None
+
+    def bare(self, at: int) -> int:
+        """End of the value without quotes at a position; the position itself if there is none."""
+        if not _BARE.match(self.text, at):
+            return at
+        if not self._run[0] <= at < self._run[1]:
+            self._run = at, _RUN.match(self.text, at).end()
+        return self._run[1]
+
+    def counts(self, start: int, end: int) -> Counter:
+        if end - start <= 1024:
+            return Counter(self.text[start:end])
+        if self._sums is None:
+            points, self._codes = np.unique(np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+            self._chars, d = [chr(p) for p in points.tolist()], len(points)
+            self._step = max(256, 4 * d)  # the sums take no more room than the text
+            block = np.arange(len(self._codes)) // self._step
+            each = np.bincount(block * d + self._codes, minlength=(int(block[-1]) + 1) * d).reshape(-1, d)
+            self._sums = np.concatenate((np.zeros((1, d), np.int64), np.cumsum(each, axis=0)))
+        one, two = -(-start // self._step), end // self._step
+        if two < one:
+            found = np.bincount(self._codes[start:end], minlength=len(self._chars))
+        else:
+            ends = np.concatenate((self._codes[start : one * self._step], self._codes[two * self._step : end]))
+            found = self._sums[two] - self._sums[one] + np.bincount(ends, minlength=len(self._chars))
+        some = np.flatnonzero(found)
+        return Counter(dict(zip([self._chars[i] for i in some], found[some].tolist(), strict=True)))
+
+
 class Value:
     """A literal with what other constants put into it: terms are spans of the text or other values, never a copy."""
 
-    __slots__ = ("counts", "length", "plain", "terms", "through")
+    __slots__ = ("_counts", "length", "plain", "source", "terms", "through")
 
-    def __init__(self, terms: list, text: str):
-        self.terms, self.counts, self.length, self.through = terms, Counter(), 0, False
+    def __init__(self, terms: list, source: Source):
+        self.terms, self.source, self.length = terms, source, 0
+        self.through = any(isinstance(t, Value) for t in terms)
         pieces: list[str] | None = []
         for t in terms:
-            if isinstance(t, Value):
-                self.counts, self.length, self.through = self.counts + t.counts, self.length + t.length, True
-                piece = t.plain
-            else:
-                piece = text[t[0] : t[1]]
-                self.counts, self.length = self.counts + Counter(piece), self.length + len(piece)
-            pieces = None if pieces is None or piece is None or self.length > 64 else [*pieces, piece]
+            self.length += t.length if isinstance(t, Value) else t[1] - t[0]
+            piece = None if self.length > 64 else t.plain if isinstance(t, Value) else source.text[t[0] : t[1]]
+            pieces = None if pieces is None or piece is None else [*pieces, piece]
         #: The text itself if it is short.
         self.plain = None if pieces is None else "".join(pieces)
+        # Values of values are counted as they come, so that no chain of them has to be followed later.
+        self._counts = self._counted() if self.through else None
+
+    def _counted(self) -> Counter:
+        out: Counter = Counter()
+        for t in self.terms:
+            out.update(t.counts() if isinstance(t, Value) else self.source.counts(*t))
+        return out
 
-    def spans(self) -> set[tuple[int, int]]:
-        out, seen, todo = set(), set(), [self]
+    def counts(self) -> Counter:
+        """How often each character stands in it."""
+        return self._counted() if self._counts is None else self._counts
+
+    def spans(self, seen: dict[int, Value]) -> Iterator[tuple[int, int]]:
+        """Spans of the literal and of what it is made of, but for values that were seen, which are noted there."""
+        todo = [] if id(self) in seen else [self]
         while todo:
-            for t in todo.pop().terms:
+            value = todo.pop()
+            seen[id(value)] = value
+            for t in value.terms:
                 if not isinstance(t, Value):
-                    out.add(t)
+                    yield t
                 elif id(t) not in seen:
-                    seen.add(id(t))
+                    seen[id(t)] = t
                     todo.append(t)
-        return out
 
 
 def name_weight(name: str) -> int:
@@ -109,13 +160,14 @@ def score(name: str, literal: Value | str, quoted: bool = True) -> float:
 
     A literal without quotes must hold a digit or a sign to be more than a word.
     """
-    value = Value([(0, len(literal))], literal) if isinstance(literal, str) else literal
+    value = Value([(0, len(literal))], Source(literal)) if isinstance(literal, str) else literal
     weight, n = name_weight(name), value.length
     if not weight or n < LEAST_LITERAL or (value.plain is not None and value.plain.lower() in PLACEHOLDERS):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in value.counts.values())
-    mixed = any(c.isdigit() or not c.isalnum() and c not in " _." or quoted and c.isupper() for c in value.counts)
-    phrase = any(c.isspace() for c in value.counts) and "phrase" not in name.lower()
+    counts = value.counts()
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n > 0)
+    mixed = any(c.isdigit() or not c.isalnum() and c not in " _." or quoted and c.isupper() for c in counts)
+    phrase = any(c.isspace() for c in counts) and "phrase" not in name.lower()
     return weight + min(2.0, entropy / 2) + min(n, 32) / 16 - (0.0 if mixed else 2.0) - (3.0 if phrase else 0.0)
 
 
@@ -128,13 +180,15 @@ def _string(text: str, start: int, end: int) -> tuple[int, int, bool]:
     return i + width, end - width, "f" in text[start:i].lower() or text[i] in '"`'
 
 
-def _terms(text: str, at: int) -> tuple[list, int, bool]:
-    """Terms of the expression at a position (spans, or names as strings), its end, and whether it is quoted.
+def _terms(source: Source, at: int) -> tuple[list, int, bool, int]:
+    """Terms of the expression at a position (spans, or names as strings), its end, whether it is quoted, and where its
+    last part begins.
 
     A call, or a name that is indexed, has no value that the text tells: no terms.
     """
-    out, quoted = [], False
+    text, out, quoted, last = source.text, [], False, at
     while True:
+        last = at
         m = _TOKEN.match(text, at)
         if m and m.lastgroup == "string":
             start, end, open_ = _string(text, m.start(), m.end())
@@ -149,20 +203,20 @@ def _terms(text: str, at: int) -> tuple[list, int, bool]:
                 out.append((start, end))
         elif m and m.lastgroup not in (None, "other"):
             break
-        elif b := _BARE.match(text, at):
-            if text[b.end() : b.end() + 1] in ("(", "[") or text[b.end() - 1] == ":":
-                return [], b.end(), False
-            if _IDENTIFIER.match(b.group()):
-                out.append(b.group())
-            out.append((b.start(), b.end()))
-            at = b.end()
+        elif (end := source.bare(at)) > at:
+            if text[end : end + 1] in ("(", "[") or text[end - 1] == ":":
+                return [], end, False, last
+            if _IDENTIFIER.match(text, at, end):
+                out.append(text[at:end])
+            out.append((at, end))
+            at = end
         else:
             break
         join = _JOINS.match(text, at)
         if not join or not out:
             break
         at = join.end()
-    return out, at, quoted
+    return out, at, quoted, last
 
 
 def _declared(head: str) -> tuple[str, bool]:
@@ -178,8 +232,9 @@ def _declared(head: str) -> tuple[str, bool]:
     return name, len(words) > 1 and bool(DECLARES.intersection(words[:-1]) or TYPES.intersection(words))
 
 
-def lex(text: str) -> Iterator[tuple]:
+def lex(source: Source) -> Iterator[tuple]:
     """Events in the order of the text: ("set", name, terms, quoted, declares, adds), ("open", kind) and ("close", kind)."""
+    text = source.text
     begin = line = 0  # where the statement and the line begin
     before = [(0, 0, "")] * 3  # the last tokens
     floor, deep, defs, waiting = 0, 0, [], None
@@ -232,7 +287,7 @@ def lex(text: str) -> Iterator[tuple]:
             at = m.end()
             while text[at : at + 1] in (" ", "\t"):
                 at += 1
-            terms, _, quoted = _terms(text, at)
+            terms, _, quoted, _ = _terms(source, at)
             if terms:
                 yield ("set", name, terms, quoted, False, False)
         elif kind == "op" and i >= floor:
@@ -251,7 +306,7 @@ def lex(text: str) -> Iterator[tuple]:
                 declares = True
             while text[at : at + 1] in (" ", "\t"):
                 at += 1
-            terms, end, quoted = _terms(text, at)
+            terms, end, quoted, last = _terms(source, at)
             if name:
                 yield ("set", name, terms, quoted, declares, op == "+=")
                 if tag is not None and terms:
@@ -259,14 +314,13 @@ def lex(text: str) -> Iterator[tuple]:
                     key, value = tag.get("key") or tag.get("name"), tag.get("value")
                     if key and value and name.lower() in ("key", "name", "value"):
                         yield ("set", key[1].strip("\"'"), value[0], True, True, False)
-            # What the value holds is no target, but a bare word may be one (a: b: c).
-            if quoted or op != ":":
-                floor = max(floor, end if quoted else at)
+            # What the value holds is no target, but its last word may be one (a: b: c).
+            floor = max(floor, end if quoted else last)
             begin = max(begin, at)
         before = [before[1], before[2], (i, m.end(), kind)]
 
 
-def propagate(text: str, events: Iterator[tuple]) -> Iterator[tuple[str, Value, bool]]:
+def propagate(source: Source, events: Iterator[tuple]) -> Iterator[tuple[str, Value, bool]]:
     """(name, value, quoted) of each assignment with a value; names stand for what they were set to last in their scope."""
     known: dict[str, list[tuple[int, Value | None]]] = {}
     scopes: list[tuple[str, set[str]]] = [("file", set())]
@@ -304,7 +358,7 @@ def propagate(text: str, events: Iterator[tuple]) -> Iterator[tuple[str, Value,
         old = known.setdefault(name, [])
         if adds and old and old[-1][1] is not None:
             parts.insert(0, old[-1][1])
-        value = Value(parts, text) if parts else None
+        value = Value(parts, source) if parts else None
         at = len(scopes) - 1
         if not declares and not (old and old[-1][0] >= walls[-1]):
             at = walls[-1] if walls[-1] else at
@@ -328,9 +382,10 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         found |= {("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20}
     found |= {("hex", m.start(), m.end()) for m in _HEX.finditer(text)}
     if ":" in text or "=" in text or "define" in text or "ENV" in text or "setenv" in text or "</" in text:
-        for name, value, quoted in propagate(text, lex(text)):
+        source, seen = Source(text), ({}, {})
+        for name, value, quoted in propagate(source, lex(source)):
             if score(name, value, quoted or value.through) >= LEAST_SCORE:
-                found |= {("flow" if value.through else "named", s, e) for s, e in value.spans() if e > s}
+                found |= {("flow" if value.through else "named", s, e) for s, e in value.spans(seen[value.through]) if e > s}
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

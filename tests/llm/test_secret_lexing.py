@@ -93,3 +93,53 @@ def test_sums_of_sums_and_odd_texts_stay_linear():
     for text in ('"' * 200_000, "'a " * 100_000, "`" * 99_999, "{" * 100_000 + "a=b", ": " * 100_000, "a=" * 100_000, "x " * 200_000 + "= 1", '\"\"\"a' * 50_000, "<a>" * 60_000):
         find_secrets(text)
     assert time.perf_counter() - began < 20
+
+
+def _seconds(text):
+    best = []
+    for _ in range(2):
+        began = time.perf_counter()
+        find_secrets(text)
+        best.append(time.perf_counter() - began)
+    return min(best)
+
+
+#: Texts that grow by one unit: unbroken runs of assignments, query strings, escaped quotes, sums, chains, names of names.
+UNITS = [
+    "k=v&", "token=", "pwd:", "pwd=a:", "pwd=Zx9!q&", "a=", "\\\"", "\\\"k\\\":\\\"v\\\",", "x=1 + ", "pwd: a1 + ", "pwd += 'x1y2z3'\n", "pwd = pwd + 'x1'\n", "é=ü", "a: b: ", "k='v' ", "<k>v1v2v3", "def f: # :", "{[(",
+]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_twice_the_text_takes_about_twice_the_time(unit):
+    n = 60_000 // len(unit)
+    one, two = _seconds(unit * n), _seconds(unit * 2 * n)
+    assert two < 2.5 * one + 0.5
+
+
+def test_a_megabyte_without_blanks():
+    began = time.perf_counter()
+    for unit in ("k=v&", "token=", "pwd=Zx9!qwerty:"):
+        find_secrets(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 30
+
+
+def test_values_in_one_run_are_read_whole():
+    text = "url=https://h/?user=me&pwd=Zx9!qwerty&x=1 end"
+    assert ("named", "Zx9!qwerty&x=1") in added(text)
+    long = "db_pwd=" + "Zx9!qwerty&" * 400 + " K=1"
+    assert [x for _, x in added(long)] == ["Zx9!qwerty&" * 400]
+
+
+def test_counts_of_parts_are_those_of_the_text():
+    import random
+    from collections import Counter
+
+    from tessella.llm.secrets import Source
+
+    r = random.Random(5)
+    text = "".join(r.choice("abcé😀\n=") for _ in range(20_000))
+    source = Source(text)
+    for _ in range(200):
+        a, b = sorted(r.randrange(20_001) for _ in range(2))
+        assert source.counts(a, b) == Counter(text[a:b])
