@@ -32,6 +32,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_LENGTH = re.compile(r"[0-9]{1,18}")
 
 
 def digest(payload: bytes) -> str:
@@ -68,6 +69,12 @@ class Found(NamedTuple):
     reason: str
 
 
+def _length(headers: dict[str, str], name: str) -> int | None:
+    """A length as a field gives it: ASCII digits that fit a long, else None."""
+    told = headers.get(name, "")
+    return int(told) if _LENGTH.fullmatch(told) else None
+
+
 def _record_at(data: bytes, at: int) -> Found | str:
     version = _VERSION.match(data, at)
     if not version:
@@ -92,10 +99,11 @@ def _record_at(data: bytes, at: int) -> Found | str:
         headers[last] = v.strip()
     if not all(headers.get(k) for k in ("warc-type", "warc-record-id", "warc-date")):
         return "a required field is missing"
-    if not headers.get("content-length", "").isdigit():
+    length = _length(headers, "content-length")
+    if length is None:
         return "no content length"
     begin = stop + 4
-    end = begin + int(headers["content-length"])
+    end = begin + length
     if end > len(data):
         return "block is cut short"
     if data[end : end + 4] != b"\r\n\r\n":
@@ -231,8 +239,7 @@ def _parse(with_payload: bool):
                 for x in salvage(content.as_py()):
                     h = x.headers or {}
                     revisit = h.get("warc-type") == "revisit"
-                    told = h.get("x-payload-length", "")
-                    length = (int(told) if told.isdigit() else None) if revisit else len(x.payload)
+                    length = _length(h, "x-payload-length") if revisit else len(x.payload)
                     sha = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(x.payload)
                     rows.append((path.as_py(), x.start, x.end, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), sha if x.headers else None, length if x.headers else None, x.reason or None, x.payload if with_payload else None))
                     size += len(x.payload)

@@ -72,3 +72,53 @@ def test_null_ids_and_repeated_smallest_ids(spark, tmp_path):
     assert same == sorted([("", "revisit", "3"), ("3", "response", None), ("3", "response", None), ("7", "revisit", "3")], key=str)
     assert [r.warc_type for r in got if r.payload_digest == warc.digest(b"bare")] == ["response"] * 2
     assert sorted(((name(r.record_id), r.warc_type, name(r.refers_to)) for r in got if r.payload_digest == warc.digest(b"")), key=str) == [("10", "revisit", "9"), ("9", "response", None)]
+
+
+def test_lengths_that_are_no_numbers_are_gaps():
+    for length in ("²", "9" * 5000, "-1", "+5", "1_0", "٣", "", "1e3", " "):
+        head, _, rest = PARTS[1].partition(b"\r\nContent-Length: ")
+        broken = head + f"\r\nContent-Length: {length}".encode() + rest[rest.index(b"\r\n") :]
+        assert broken != PARTS[1]
+        assert good(warc.salvage(PARTS[0] + broken + PARTS[2])) == list("02"), length
+
+
+def test_a_revisit_with_a_length_that_is_no_number_is_read(spark, tmp_path):
+    odd = warc.record(7, "http://h/7", b"payload", 3).replace(b"X-Payload-Length: 7", "X-Payload-Length: ²".encode())
+    Path(tmp_path, "a.warc").write_bytes(PARTS[0] + odd)
+    got = {r.record_id: r.payload_bytes for r in warc.read_warc(spark, f"file://{tmp_path}").filter("warc_type is not null").collect()}
+    assert got == {"<urn:x-page:0>": 350, "<urn:x-page:7>": None}
+
+
+def _damaged(data: bytes, r) -> tuple[bytes, int, int]:
+    """data with one part changed, cut out or put in, and where that part begins and ends in the original."""
+    at = r.randrange(len(data))
+    n = r.choice((1, 1, 2, 7, 60))
+    end = min(len(data), at + n)
+    kind = r.randrange(4)
+    if kind == 0:
+        return data[:at] + bytes(r.randrange(256) for _ in range(end - at)) + data[end:], at, end
+    if kind == 1:
+        return data[:at] + data[end:], at, end
+    if kind == 2:
+        put = r.choice((b"\r\n", b"\r\n\r\n", b"WARC/1.1\r\n", "²".encode(), b"\xff\xfe", b"9" * 30, b"\x1f\x8b\x08", bytes(r.randrange(256) for _ in range(n))))
+        return data[:at] + put + data[at:], at, at
+    return data[:at], at, len(data)
+
+
+def test_any_damage_costs_the_records_that_it_touches_and_nothing_raises():
+    import random
+
+    r = random.Random(11)
+    for packed in (False, True):
+        parts = [warc._member(p) for p in PARTS] if packed else PARTS
+        data, ends, at = b"".join(parts), [], 0
+        for p in parts:
+            ends.append((at, at + len(p)))
+            at += len(p)
+        for _ in range(1000):
+            broken, lo, hi = _damaged(data, r)
+            found = list(warc.salvage(broken))
+            untouched = {str(i) for i, (a, b) in enumerate(ends) if b <= lo or a >= max(hi, lo + (hi == lo))}
+            assert untouched <= set(good(found)), (packed, lo, hi)
+            for x in found:
+                assert 0 <= x.start <= x.end <= len(broken)
