@@ -1,14 +1,15 @@
 """Exact similarity search, fusion, centroids and evaluation over tables of vectors.
 
-Searches take any number of query vectors. Queries travel in blocks of bounded size; each block is broadcast, every
-partition of the corpus keeps its best k per query (a partial aggregation in one matrix product), and only these meet
-in a shuffle. The corpus is never shuffled and no pair is materialised that cannot be among the best of its partition.
+Searches take any number of query vectors. Both sides are packed into blocks of bounded bytes where they are read, and
+blocks of queries meet blocks of the corpus in cells: one matrix product each, of which only the best k per query leave.
+Few queries (by their counted bytes) are broadcast and the corpus stays where it is; more are dealt to lanes, and a lane
+of corpus blocks meets all of them by an equi-join. The plan is the same for any number of queries, the driver sees none,
+and no pair is materialised that cannot be among the best of its cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,55 +18,101 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
 
-#: Query vectors of one block: with 4096 dimensions 64 MB.
-QUERY_BLOCK = 4_096
+#: Bytes of one block of vectors.
+BLOCK_BYTES = 1 << 20
+#: Bytes of query vectors up to which these are broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of corpus vectors that share a lane where queries are too many to broadcast.
+LANE_BYTES = 64 << 20
 DIGITS = 6
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _pack(kind: str, extra: list[str]):
+    """Rows (id, v, *extra) to blocks (ids, dim, m, *extra): rows of a block are equally long and ordered by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column("id").to_numpy(), batch.column("v")
+            size = np.diff(column.offsets.to_numpy())
+            for dim in np.unique(size).tolist():
+                rows = np.flatnonzero(size == dim)
+                rows = rows[np.argsort(ids[rows], kind="stable")]
+                some = column.take(pa.array(rows))
+                m = some.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(rows), dim)
+                step = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    more = [one(batch.column(c).take(pa.array(at))) for c in extra]
+                    yield pa.RecordBatch.from_arrays([one(pa.array(ids[at])), pa.array([dim], pa.int32()), pa.array([m[lo : lo + step].tobytes()], pa.binary()), *more], names=["ids", "dim", "m", *extra])
+
+    return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("id", "v").filter("v is not null").toLocalIterator():
-        ids.append(r.id)
-        rows.append(r.v)
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+def blocks(rows: DataFrame, kind: str = "float64", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(ids, dim, m, *extra): rows (id long, v array, *extra) as matrices of 8-byte numbers, by task and Arrow batch."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ddl = "ids array<long>, dim int, m binary" + "".join(f", {c} array<{types[c]}>" for c in extra)
+    return rows.select("id", "v", *extra).filter("id is not null and v is not null").mapInArrow(_pack(kind, list(extra)), ddl)
 
 
-def _best(block, k: int | None, least: float, triangular: bool):
+def _bytes(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.lit(8).cast("long") * F.size("v")), F.lit(0))).first()[0]
+
+
+def cells(queries: DataFrame, corpus: DataFrame, kind: str = "float64", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Every block of queries beside every block of the corpus: (q_ids, dim, q, *extra of the queries, ids, m).
+
+    Blocks of different dimension do not meet.
+    """
+    n = _bytes(queries)
+    q = blocks(queries, kind, extra).withColumnsRenamed({"ids": "q_ids", "m": "q"})
+    c = blocks(corpus, kind)
+    if n <= BROADCAST_BYTES:
+        return c.join(F.broadcast(q), "dim")
+    lanes = -(-_bytes(corpus) // LANE_BYTES)
+    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(max(0, lanes - 1)))))
+    c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(max(1, lanes))).cast("int"))
+    return c.join(q, ["lane", "dim"]).drop("lane")
+
+
+def matrices(batch: pa.RecordBatch, i: int, kind: str = "float64") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, queries, ids, vectors) of a cell."""
+    dim = batch.column("dim")[i].as_py()
+    of = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+    q_ids, ids = of("q_ids"), of("ids")
+    return q_ids, np.frombuffer(batch.column("q")[i].as_buffer(), kind).reshape(len(q_ids), dim), ids, np.frombuffer(batch.column("m")[i].as_buffer(), kind).reshape(len(ids), dim)
+
+
+def best_of_rows(score: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best kept scores of each row; of equals the first columns."""
+    i, j = np.nonzero(keep)
+    order = np.lexsort((j, -score[i, j], i))
+    i, j = i[order], j[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth < k], j[nth < k]
+
+
+def _cell(k: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = block.value
         for batch in batches:
-            ids, m = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            for lo in range(0, len(ids), 2048):
-                score = np.round(q @ m[lo : lo + 2048].T, DIGITS)
-                some = ids[lo : lo + 2048]
-                keep = score >= least
-                if triangular:
-                    keep &= q_ids[:, None] < some[None, :]
-                if k is not None and len(some) > k:
-                    at_most = np.where(keep, -score, np.inf)
-                    edge = np.partition(at_most, k - 1, axis=1)[:, k - 1 : k]
-                    keep &= at_most <= edge  # ties stay: ids decide later
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(some[j]), pa.array(score[i, j])], names=["query_id", "id", "score"])
+            for n in range(len(batch)):
+                q_ids, q, ids, m = matrices(batch, n)
+                for lo in range(0, len(q), 256):
+                    score = np.round(q[lo : lo + 256] @ m.T, DIGITS)
+                    keep = score >= least
+                    if k is not None and len(ids) > k:  # what is under the k-th best cannot be among these
+                        keep &= score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                        i, j = best_of_rows(score, keep, k)
+                    else:
+                        i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["query_id", "id", "score"])
 
     return run
 
 
-def _scored(queries: DataFrame, corpus: DataFrame, k: int | None, least: float, triangular: bool = False) -> DataFrame:
-    spark = corpus.sparkSession
-    base = corpus.select("id", "v").filter("v is not null")
-    parts = [base.mapInArrow(_best(spark.sparkContext.broadcast(b), k, least, triangular), "query_id long, id long, score double") for b in _blocks(queries)]
-    empty = spark.createDataFrame([], "query_id long, id long, score double")
-    return reduce(DataFrame.unionAll, parts, empty)
+def _scored(queries: DataFrame, corpus: DataFrame, k: int | None, least: float) -> DataFrame:
+    return cells(queries, corpus).mapInArrow(_cell(k, least), "query_id long, id long, score double")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -111,7 +158,7 @@ def hybrid_knn(queries: DataFrame, corpus: DataFrame, k: int = 8, weight: float
 
 def all_pairs(corpus: DataFrame, least: float) -> DataFrame:
     """(a, b, score) of every pair a < b of rows with a score of `least` or more."""
-    return _scored(corpus, corpus, None, least, True).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
+    return _scored(corpus, corpus, None, least).filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 
 def centroid(rows: DataFrame, key: list[str], vector: str) -> DataFrame:
