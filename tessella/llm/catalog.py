@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import q_classify, q_leaks, q_mix, q_near, q_pages, q_scan
+from tessella.llm import q_classify, q_leaks, q_mix, q_near, q_pages, q_scan, q_select
 
-MODULES = [q_pages, q_scan, q_leaks, q_near, q_classify, q_mix]
+MODULES = [q_pages, q_scan, q_leaks, q_near, q_classify, q_mix, q_select]
 
 
 def queries() -> dict:
