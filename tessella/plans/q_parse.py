@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import scanners as Z
@@ -18,27 +20,88 @@ def _files(spark, sf, extension, *parts):
     return table(spark, sf, "documents").select(_of("d", c("doc_id"), extension).alias("file"), _of(*parts).alias("content"))
 
 
-def _rows(extension, language, method, rows):
-    """SQL of parsed symbols: (name, kind, exported, line_start, line_end), names as SQL."""
-    return " UNION ALL ".join(f"SELECT 'd' || doc_id || '{extension}' AS file, '{language}' AS language, '{method}' AS parse_method, {n} AS name, '{k}' AS kind, {str(e).lower()} AS exported, {a} AS line_start, {b} AS line_end FROM documents" for n, k, e, a, b in rows)
-
-
-#: Per extension: language, method, the parts of a file and its symbols.
+#: Per extension: language, parse method, and the lines of a file. A line is a text, or a text with the symbols that begin
+#: (name, kind, exported) and the number of open symbols that end on it; a line in a list is there doc_id % 4 times.
+#: "@lang" and "@doc_id" stand for the document's own.
 _PARSED = {
-    ".py": ("python", "ast", ["def f_", "@lang", "(x):\n    def inner():\n        pass\n    return x\n\nclass C", "@doc_id", ":\n    y = 1\n"], [("'f_' || lang", "function", True, 1, 4), ("'C' || doc_id", "class", True, 6, 7)]),
-    ".ts": ("typescript", "pattern", ["export function use", "@lang", "() {\n  return 1;\n}\nfunction plain", "@doc_id", "() {\n}\nexport class K {\n  a = 1;\n}\nexport const MAX = 1;\nexport const f = () => 2;\ninterface I {\n}\n"], [("'use' || lang", "function", True, 1, 3), ("'plain' || doc_id", "function", False, 4, 5), ("'K'", "class", True, 6, 8), ("'MAX'", "constant", True, 9, 9), ("'f'", "function", True, 10, 10), ("'I'", "type", False, 11, 12)]),
-    ".go": ("go", "pattern", ["package p\nfunc Big", "@doc_id", "() {\n}\nfunc (t T) small() {\n}\ntype T struct {\n}\n"], [("'Big' || doc_id", "function", True, 2, 3), ("'small'", "method", False, 4, 5), ("'T'", "class", True, 6, 7)]),
-    ".json": ("json", "ast", ['{"a_', "@lang", '": 1, "b": {"c": 2}}'], [("'a_' || lang", "variable", True, 1, 1), ("'b'", "variable", True, 1, 1)]),
-}
+    ".py": ("python", "ast", [
+        "__all__ = ['f_@lang', 'C@doc_id']", ("def f_@lang(", [("f_@lang", "function", True)], 0), "        x,", "):", ["    # def no(): }"], "    def inner():", "        pass", ("    return x", [], 1), "",
+        ("class C@doc_id:", [("C@doc_id", "class", True)], 0), ("    async def m(self):", [("m", "method", True)], 0), ["        self.y = 'class N:'"], ("        return 1", [], 2), ("LIMIT = 3", [("LIMIT", "constant", False)], 1),
+    ]),
+    ".ts": ("typescript", "scopes", [
+        "// class No {", ("export async function use_@lang<T = {}>(", [("use_@lang", "function", True)], 0),
+        "  a: string,", "  b: { c: number },", "  d = `x ${ a + `in ${b} {` } }`,", "  e = /[/}]{/g,", "): Promise<{ ok: boolean }>", "{", ["  const s = '} \\' {' // }"], "  function inner() { return 1 / 2 / 3; }", ("}", [], 1),
+        ("export abstract class K@doc_id<T> extends B", [("K@doc_id", "class", True)], 0), "{", "  field = { a: 1 };", "  arrow = () => {", ["    /* } */"], "  }",
+        ("  constructor(private readonly z: string) { super(); }", [("constructor", "method", True)], 1), ("  public async run_@lang<T>(", [("run_@lang", "method", True)], 0), "    a: T,", "  ): Promise<void> {", ["    if (a) { }"], ("  }", [], 1),
+        ("  private static get value(): number { return 1 }", [("value", "method", False)], 1), "  abstract nobody(): void;", ("}", [], 1),
+        ("export const MAX = 1, pick = async (x) => {", [("MAX", "constant", True), ("pick", "function", True)], 0), ["  x += `${x}`"], ("}", [], 2), ("const useIt = 3", [("useIt", "hook", False)], 1),
+        ("type U =", [("U", "type", False)], 0), "  | 'a'", ("  | { b: 1 };", [], 1), ("interface I@doc_id { a: string }", [("I@doc_id", "type", False)], 1), "declare function nope(): void;", ("export const enum E { A, B }", [("E", "enum", True)], 1),
+    ]),
+    ".java": ("java", "scopes", [
+        "package p;", ('@Ann(x = "{")', [("A@doc_id", "class", True)], 0), "public final class A@doc_id<T extends B<T>> implements C {",
+        ("  private static final Map<String, List<Integer>> MAP = new HashMap<>();", [("MAP", "constant", False)], 1), ("  int[] a_@lang = {1, 2}, b;", [("a_@lang", "variable", False)], 1), ("  public A@doc_id(int x) { this.x = x; }", [("A@doc_id", "method", True)], 1),
+        ("  public <R> R call(", [("call", "method", True)], 0), "      String a,", "      int... b) throws X,", "      Y {", ['    String s = "}";  // }'], "    class Local { void no() {} }", ("  }", [], 1),
+        ("  abstract void none();", [("none", "method", False)], 1), "  class Inner { void hid() {} }", ('  String t = """', [("t", "variable", False)], 0), "    text } block", ('    """;', [], 1), ("}", [], 1),
+        ("interface I_@lang { void f(); }", [("I_@lang", "type", False), ("f", "method", False)], 2), ("enum E { X, Y; void no() {} }", [("E", "enum", False)], 1),
+    ]),
+    ".cs": ("csharp", "scopes", [
+        "#region {", "namespace N.M {", ("  [Attr(1)]", [("A@doc_id", "class", True)], 0), "  public class A@doc_id : B, I<int> where T : new()", "  {", "    public int X { get; set; } = 5;", '    private readonly string s = @"a ""}"" ";', "    public A@doc_id() : base() { }",
+        ("    public async Task<List<int>> Run_@lang<T>(", [("Run_@lang", "method", True)], 0), "        int a,", '        string b = $"{a}}}")', "        where T : class", "    {", ["      var x = new { A = '}' };"], ("    }", [], 1),
+        ("    int Expr(int x) => x + 1;", [("Expr", "method", False)], 1), ("    public (int a, int b) Pair() { return (1, 2); }", [("Pair", "method", True)], 1), ("  }", [], 1), ("  internal struct S { void M() {} }", [("S", "class", False), ("M", "method", False)], 2), "}", "#endregion",
+    ]),
+    ".go": ("go", "scopes", [
+        "package p", ("func Big@doc_id(", [("Big@doc_id", "function", True)], 0), "  a int,", "  b interface{},", ") (interface{}, error) {", ["  s := `raw { `"], "  return func() { }, nil", ("}", [], 1), ("func (t *T) small_@lang() {", [("small_@lang", "method", False)], 0), ("}", [], 1),
+        "const (", ("  First = iota", [("First", "constant", True)], 1), ("  second", [("second", "constant", False)], 1), ")", ("type T struct {", [("T", "class", True)], 0), "  m map[string]struct{}", ("}", [], 1), "type (", ("  U interface { F() }", [("U", "type", True)], 1), ("  W struct {", [("W", "class", True)], 0), ["    x int // }"], ("  }", [], 1), ")",
+    ]),
+    ".rs": ("rust", "scopes", [
+        "use a::{b, c};", "#[derive(Debug)]", ("pub struct P@doc_id { a: i32 }", [("P@doc_id", "class", True)], 1), ("pub(crate) const X: [u8; 3] = [1, 2, 3];", [("X", "constant", True)], 1), ("pub async fn run_@lang<'a, I>(x: &'a str) -> Result<(), E>", [("run_@lang", "function", True)], 0), "where", "    I: Iterator<Item = u8>,", "{",
+        ['    let c = \'{\'; let r = r#"}"{"#;'], "    fn inner() {}", ("}", [], 1), "impl<T> P@doc_id {", ("    pub fn m(&self) -> i32 {", [("m", "method", True)], 0), ["        /* } */"], ("    }", [], 1), "}", ("enum E_@lang { A { x: i32 }, B }", [("E_@lang", "enum", False)], 1), "mod t { fn hidden() {} }",
+    ]),
+    ".sh": ("bash", "scopes", [
+        "#!/bin/bash", "# no() {", ('NAME="a } b"', [("NAME", "constant", True)], 1), ("low_@lang=$(cmd {a,b})", [("low_@lang", "variable", True)], 1), "X=1 cmd run", ("function alpha {", [("alpha", "function", True)], 0), ["  local y=2"], ("}", [], 1),
+        ("_beta@doc_id()", [("_beta@doc_id", "function", False)], 0), "{", "  cat <<EOF", "} not { here", "EOF", ["  Z=3 # }"], ("}", [], 1), "if true; then", "  IN=1", "fi", ("END=1", [("END", "constant", True)], 1),
+    ]),
+    ".json": ("json", "ast", [('{"a_@lang": 1, "b": {"c": 2}}', [("a_@lang", "variable", True), ("b", "variable", True)], 2)]),
+}
+
+
+def _sql(text):
+    """SQL of a text with the document's own parts."""
+    return "concat('" + text.replace("@lang", "', lang, '").replace("@doc_id", "', doc_id, '") + "', '')"
+
+
+def _symbols(lines):
+    """SQL rows (name, kind, exported, first line, last line) of a file's symbols: lines follow from those before."""
+    rows, open_, fixed, repeated = [], [], 0, 0
+    for entry in lines:
+        if isinstance(entry, list):
+            repeated += 1
+            continue
+        _, begins, ends = entry if isinstance(entry, tuple) else (entry, [], 0)
+        fixed += 1
+        at = f"CAST({fixed} + {repeated} * (doc_id % 4) AS INTEGER)"
+        open_ += [(*x, at) for x in begins]
+        rows += [(*open_.pop(), at) for _ in range(ends)]
+    return rows
+
+
+def _content(lines):
+    own = {"@lang": c("lang"), "@doc_id": c("doc_id").cast("string")}
+    text = lambda line: F.concat(*[own[x] if x in own else F.lit(x) for x in re.split("(@lang|@doc_id)", line + "\n")])
+    return F.concat(*[F.repeat(text(x[0]), F.pmod(c("doc_id"), F.lit(4)).cast("int")) if isinstance(x, list) else text(x[0] if isinstance(x, tuple) else x) for x in lines])
 
 
 def _parsed(extension):
-    language, method, parts, rows = _PARSED[extension]
+    language, method, lines = _PARSED[extension]
+    sql = " UNION ALL ".join(
+        f"SELECT 'd' || doc_id || '{extension}' AS file, '{language}' AS language, '{method}' AS parse_method, {_sql(name)} AS name, '{kind}' AS kind, {str(e).lower()} AS exported, {a} AS line_start, {b} AS line_end FROM documents"
+        for name, kind, e, a, b in _symbols(lines)
+    )
 
     def query(spark, sf):
-        return parse.parse_files(_files(spark, sf, extension, *parts)).withColumns({"line_start": c("line_start").cast("int"), "line_end": c("line_end").cast("int")})
+        return parse.parse_files(table(spark, sf, "documents").select(_of("d", c("doc_id"), extension).alias("file"), _content(lines).alias("content")))
 
-    CATALOG.add(f"parsed_{language}", _rows(extension, language, method, rows))(query)
+    CATALOG.add(f"parsed_{language}", sql)(query)
 
 
 for _extension in _PARSED:

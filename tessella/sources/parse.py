@@ -10,96 +10,39 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-Symbol = tuple[str, str, bool, int, int]
+from tessella.sources.scopes import Symbol, symbols
 
 _CONSTANT = re.compile(r"[A-Z_][A-Z0-9_]*\Z")
-_HOOK = re.compile(r"use[A-Z]")
-_OPENERS = {"{": 1, "}": -1}
-
-
-def _block_end(lines: list[str], at: int) -> int:
-    """Last line (from 1) of the braces that open at or after a line; the line itself without any."""
-    depth, seen = 0, False
-    for i in range(at, len(lines)):
-        for ch in re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "", lines[i]):
-            depth += _OPENERS.get(ch, 0)
-            seen = seen or ch == "{"
-        if seen and depth <= 0:
-            return i + 1
-        if not seen and (lines[i].rstrip().endswith(";") or i - at >= 2):
-            return i + 1
-    return len(lines)
-
-
-def _by_patterns(*rules: tuple[str, str]) -> Callable[[str], list[Symbol]]:
-    """Declarations by (kind, pattern with groups `name` and optionally `export`); line ranges by their braces."""
-    compiled = [(kind, re.compile(p)) for kind, p in rules]
-
-    def parse(text: str) -> list[Symbol]:
-        lines, out = text.split("\n"), []
-        for i, line in enumerate(lines):
-            for kind, pattern in compiled:
-                if m := pattern.match(line):
-                    out.append(_symbol(m, kind, i, lines))
-                    break
-        return out
-
-    return parse
-
-
-def _symbol(m: re.Match, kind: str, i: int, lines: list[str]) -> Symbol:
-    name, groups = m.group("name"), m.groupdict()
-    if kind == "value":
-        arrow = re.search(r"=>|=\s*(?:async\s+)?function\b", m.string[m.end("name") :]) is not None
-        kind = "function" if arrow else "constant" if _CONSTANT.match(name) else "variable"
-    if kind == "function" and _HOOK.match(name):
-        kind = "hook"
-    exported = bool(groups["export"]) if "export" in groups else name[:1].isupper() if groups.get("go") is not None else not name.startswith("_")
-    return name, kind, exported, i + 1, _block_end(lines, i)
-
-
-_EXPORT = r"(?P<export>export\s+)?(?:default\s+)?"
-_TS = _by_patterns(
-    ("function", _EXPORT + r"(?:async\s+)?function\*?\s+(?P<name>[\w$]+)"), ("class", _EXPORT + r"(?:abstract\s+)?class\s+(?P<name>[\w$]+)"),
-    ("type", _EXPORT + r"(?:interface|type)\s+(?P<name>[\w$]+)"), ("enum", _EXPORT + r"(?:const\s+)?enum\s+(?P<name>[\w$]+)"), ("value", _EXPORT + r"(?:const|let|var)\s+(?P<name>[\w$]+)"),
-)
-_BASH = _by_patterns(("function", r"(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\)"), ("value", r"(?:readonly\s+|declare\s+(?:-\w+\s+)?)?(?P<name>[A-Za-z_]\w*)="))
-_RUST = _by_patterns(
-    ("function", r"\s*(?P<export>pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)"), ("class", r"(?P<export>pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)"),
-    ("enum", r"(?P<export>pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"), ("type", r"(?P<export>pub(?:\([^)]*\))?\s+)?(?:trait|type)\s+(?P<name>\w+)"), ("constant", r"(?P<export>pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?P<name>\w+)"),
-)
-_GO = _by_patterns(
-    ("method", r"(?P<go>)func\s+\([^)]*\)\s*(?P<name>\w+)"), ("function", r"(?P<go>)func\s+(?P<name>\w+)"), ("class", r"(?P<go>)type\s+(?P<name>\w+)\s+struct"),
-    ("type", r"(?P<go>)type\s+(?P<name>\w+)"), ("constant", r"(?P<go>)const\s+(?P<name>\w+)"), ("variable", r"(?P<go>)var\s+(?P<name>\w+)"),
-)
-_JAVA = _by_patterns(
-    ("class", r"\s*(?P<export>public\s+)?(?:(?:protected|private|internal|static|final|abstract|sealed|partial)\s+)*(?:class|record|struct)\s+(?P<name>\w+)"),
-    ("type", r"\s*(?P<export>public\s+)?(?:(?:protected|private|internal|static)\s+)*interface\s+(?P<name>\w+)"), ("enum", r"\s*(?P<export>public\s+)?(?:(?:protected|private|internal|static)\s+)*enum\s+(?P<name>\w+)"),
-    ("method", r"\s+(?P<export>public\s+)?(?:(?:protected|private|internal|static|final|abstract|override|virtual|async|synchronized)\s+)*[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^;]*\)\s*(?:throws\s+[\w.,\s]+)?\{?\s*$"),
-)
-
-
-def _python(text: str) -> list[Symbol]:
+
+
+def _python(text: str, members: bool = True) -> list[Symbol]:
+    """Top-level definitions and assignments, with the methods of classes; `__all__` says what is exported where it is set."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[Symbol] = []
+    listed = None
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
+            listed = {x.value for x in ast.walk(node.value) if isinstance(x, ast.Constant) and isinstance(x.value, str)}
 
-    def put(name, kind, node):
-        out.append((name, kind, not name.startswith("_"), node.lineno, node.end_lineno))
+    def put(name, kind, node, exported=None):
+        known = name in listed if listed is not None else not name.startswith("_")
+        out.append((name, kind, known if exported is None else exported, node.lineno, node.end_lineno))
 
     for node in tree.body:
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             put(node.name, "function", node)
         elif isinstance(node, ast.ClassDef):
             put(node.name, "class", node)
-            for sub in node.body:
+            outside = listed is None or out[-1][2]
+            for sub in node.body if members else ():
                 if isinstance(sub, ast.FunctionDef | ast.AsyncFunctionDef):
-                    put(sub.name, "method", sub)
+                    put(sub.name, "method", sub, outside and not sub.name.startswith("_"))
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                if isinstance(t, ast.Name):
+                if isinstance(t, ast.Name) and t.id != "__all__":
                     put(t.id, "constant" if _CONSTANT.match(t.id) else "variable", node)
     return out
 
@@ -137,31 +80,40 @@ def _fallback(text: str) -> list[Symbol]:
     return _OTHER(text) if significant_lines(text) >= 5 else []
 
 
-#: Language adapters by extension; a new language is a new entry.
-ADAPTERS: dict[str, tuple[str, str, Callable[[str], list[Symbol]]]] = {
-    **{e: ("typescript", "pattern", _TS) for e in (".ts", ".mts", ".cts")}, ".tsx": ("tsx", "pattern", _TS), **{e: ("bash", "pattern", _BASH) for e in (".sh", ".bash")},
-    ".py": ("python", "ast", _python), ".rs": ("rust", "pattern", _RUST), ".go": ("go", "pattern", _GO), ".java": ("java", "pattern", _JAVA), ".cs": ("csharp", "pattern", _JAVA),
-    ".sql": ("sql", "pattern", _sql), ".yml": ("yaml", "pattern", _YAML), ".yaml": ("yaml", "pattern", _YAML), ".json": ("json", "ast", _json),
-}
+def _adapters(members: bool) -> dict[str, tuple[str, str, Callable[[str], list[Symbol]]]]:
+    """(language, parse method, reader) by extension; a new language is a new entry."""
+    scoped = lambda language, name=None: (name or language, "scopes", symbols(language, members))
+    return {
+        **{e: scoped("typescript") for e in (".ts", ".mts", ".cts")}, ".tsx": scoped("typescript", "tsx"), **{e: scoped("bash") for e in (".sh", ".bash")},
+        ".py": ("python", "ast", lambda text: _python(text, members)), ".rs": scoped("rust"), ".go": scoped("go"), ".java": scoped("java"), ".cs": scoped("csharp"),
+        ".sql": ("sql", "pattern", _sql), ".yml": ("yaml", "pattern", _YAML), ".yaml": ("yaml", "pattern", _YAML), ".json": ("json", "ast", _json),
+    }
 
 
-def parse_text(file: str, text: str) -> tuple[str, str, list[Symbol]]:
+ADAPTERS, TOP_LEVEL = _adapters(True), _adapters(False)
+
+
+def parse_text(file: str, text: str, members: bool = True) -> tuple[str, str, list[Symbol]]:
     """(language, parse method, symbols) of one file."""
     dot = file.rfind(".")
-    language, method, parse = ADAPTERS.get(file[dot:].lower() if dot >= 0 else "", ("unknown", "heuristic", _fallback))
+    adapters = ADAPTERS if members else TOP_LEVEL
+    language, method, parse = adapters.get(file[dot:].lower() if dot >= 0 else "", ("unknown", "heuristic", _fallback))
     return language, method, parse(text)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """files (file, content) to (file, language, parse_method, name, kind, exported, line_start, line_end); one row a symbol."""
+def parse_files(files: DataFrame, members: bool = True) -> DataFrame:
+    """files (file, content) to (file, language, parse_method, name, kind, exported, line_start, line_end); one row a symbol.
+
+    members: methods of Python and TypeScript classes and of Rust impls count too, not only what stands at the top.
+    """
     columns = ["file", "language", "parse_method", "name", "kind", "exported", "line_start", "line_end"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for file, text in zip(pdf["file"], pdf["content"], strict=True):
-                language, method, symbols = parse_text(file, text or "")
-                rows += [(file, language, method, *s) for s in symbols]
+                language, method, found = parse_text(file, text or "", members)
+                rows += [(file, language, method, *s) for s in found]
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("file", "content").mapInPandas(run, "file string, language string, parse_method string, name string, kind string, exported boolean, line_start int, line_end int")
