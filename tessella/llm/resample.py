@@ -6,7 +6,7 @@ in. Distinct tuples are counted over all pieces; the bytes of each are put toget
 and buckets, counts and gains are joined back to the pieces, where a document's weight is a sum of whole numbers.
 
 What is shuffled are the distinct words and tuples of pieces, not words of documents: a word that every document holds
-is one row a piece. Gumbel keys from a hash of the id turn weights into a draw without replacement that reruns repeat.
+is one row a piece. A tuple of one id is its word's own entry in the dictionary. Gumbel keys from a hash of the id turn weights into a draw without replacement that reruns repeat.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import kernel as K
-from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
+from tessella.llm.store import BROADCAST_ROWS, scoped, stash
 
-#: Text of one piece; a longer document is a piece of its own.
-PIECE_BYTES = 8 << 20
+#: Text of one piece; a longer document is a piece of its own. An Arrow batch ends a piece as well.
+PIECE_BYTES = 32 << 20
+#: Words or tuples up to which their table is broadcast.
+FEW = BROADCAST_ROWS // 10
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A gain beside its place in a piece, as one long: the place in the upper half, the gain and _SHIFT in the lower.
+_LOW, _SHIFT = (1 << 32) - 1, 1 << 31
 #: Numbers of the pieces of the target texts begin here.
 _TARGET = 1 << 62
 
@@ -43,24 +47,25 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(start, offs))
 
 
-def _features(word: np.ndarray, count: np.ndarray, n_words: int, most: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Distinct runs of 1 to `most` words of a piece.
+def _features(word: np.ndarray, count: np.ndarray, n_words: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct runs of 2 to `most` words of a piece, in numbers of its words.
 
-    Returns the words of each distinct run (one matrix a length), the features of all documents as numbers of runs in
-    the order of documents, and the number of features of each document by length.
+    Returns their words (one matrix a length), the features of all documents in the order of documents (words, then
+    runs), and the number of features of each document.
     """
+    if most == 1:
+        return [], word, count
     of_doc = np.repeat(np.arange(len(count)), count)
-    runs, found, sizes = [], [], []
-    code, at, base = word, np.arange(len(word)), 0
-    for n in range(1, most + 1):
-        if n > 1:  # a run is the run before it and one word more
-            inside = at + n - 1 < len(word)
-            inside[inside] = of_doc[at[inside]] == of_doc[at[inside] + n - 1]
-            at, code = at[inside], code[inside] * n_words + word[at[inside] + n - 1]
+    runs, found, sizes = [], [(of_doc, word)], count
+    code, at, base = word, np.arange(len(word)), n_words
+    for n in range(2, most + 1):  # a run is the run before it and one word more
+        inside = at + n - 1 < len(word)
+        inside[inside] = of_doc[at[inside]] == of_doc[at[inside] + n - 1]
+        at, code = at[inside], code[inside] * n_words + word[at[inside] + n - 1]
         distinct, first, code = np.unique(code, return_index=True, return_inverse=True)
         runs.append(word[at[first][:, None] + np.arange(n)] if len(at) else np.zeros((0, n), np.int64))
         found.append((of_doc[at], code + base))
-        sizes.append(np.bincount(of_doc[at], minlength=len(count)))
+        sizes = sizes + np.bincount(of_doc[at], minlength=len(count))
         base += len(distinct)
     doc, feature = (np.concatenate(x) for x in zip(*found, strict=True))
     return runs, feature[np.argsort(doc, kind="stable")], sizes
@@ -77,15 +82,13 @@ def _pack(most: int, first_piece: int, schema: pa.Schema):
                 words, count = _words(part, own)
                 coded = words.dictionary_encode()
                 number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                runs, feature, sizes = _features(number, count, max(1, len(coded.dictionary)), most)
-                base = np.cumsum([0, *(len(r) for r in runs)])
-                offsets = np.concatenate([np.zeros(1, np.int64), *(np.arange(1, len(r) + 1) * r.shape[1] + prior for r, prior in zip(runs, np.cumsum([0, *(r.size for r in runs)]), strict=False))])
-                tuples = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([r.ravel() for r in runs]), pa.int32()))
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece]), one(batch.column("doc_id").slice(lo, hi - lo), None), one(count, pa.int32()), one(sum(sizes), pa.int32()), one(feature, pa.int32()),
-                     one(coded.dictionary.cast(pa.string()), None), one(tuples, None), one(np.bincount(feature, minlength=int(base[-1])), pa.int32())], schema=schema,
-                )
+                runs, feature, sizes = _features(number, count, len(coded.dictionary), most)
+                ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.full(len(r), r.shape[1]) for r in runs)]))
+                tuples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(r.ravel() for r in runs)]), pa.int32()))
+                n = np.bincount(feature, minlength=len(coded.dictionary) + len(tuples))
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int32()) if isinstance(values, np.ndarray) else values)
+                columns = [one(batch.column("doc_id").slice(lo, hi - lo)), one(count), one(sizes), one(feature), one(coded.dictionary.cast(pa.string())), one(n[: len(coded.dictionary)]), one(tuples), one(n[len(coded.dictionary) :])]
+                yield pa.RecordBatch.from_arrays([pa.array([piece]), *columns], schema=schema)
                 piece += 1
 
     return run
@@ -96,13 +99,13 @@ def _pieces(texts: DataFrame, most: int, first_piece: int, name: str) -> DataFra
 
     kind = texts.schema["doc_id"].dataType
     many = lambda t: pa.list_(pa.field("element", t))
-    schema = pa.schema([("piece", pa.int64()), ("doc_ids", many(to_arrow_type(kind))), ("n_words", many(pa.int32())), ("n_features", many(pa.int32())), ("features", many(pa.int32())), ("dict", many(pa.string())), ("tuples", many(many(pa.int32()))), ("counts", many(pa.int32()))])
-    ddl = f"piece long, doc_ids array<{kind.simpleString()}>, n_words array<int>, n_features array<int>, features array<int>, dict array<string>, tuples array<array<int>>, counts array<int>"
+    schema = pa.schema([("piece", pa.int64()), ("doc_ids", many(to_arrow_type(kind))), ("n_words", many(pa.int32())), ("n_features", many(pa.int32())), ("features", many(pa.int32())), ("dict", many(pa.string())), ("counts", many(pa.int32())), ("tuples", many(many(pa.int32()))), ("tuple_counts", many(pa.int32()))])
+    ddl = f"piece long, doc_ids array<{kind.simpleString()}>, n_words array<int>, n_features array<int>, features array<int>, dict array<string>, counts array<int>, tuples array<array<int>>, tuple_counts array<int>"
     return stash(texts.mapInArrow(_pack(most, first_piece, schema), ddl), name)
 
 
 def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _in_order(place: str, value: str) -> Column:
@@ -115,7 +118,8 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(batch)):
             of = lambda c: batch.column(c).slice(i, 1).flatten()  # noqa: B023, E731
             n = of("n_features").to_numpy()
-            gains = of("gains").to_numpy()[of("features").to_numpy()] if n.sum() else np.zeros(0, np.int64)
+            gains = (of("gains").to_numpy() & _LOW) - _SHIFT  # in the order of places, which stand above
+            gains = gains[of("features").to_numpy()] if n.sum() else np.zeros(0, np.int64)
             sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(gains)))[np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))]
             yield pa.RecordBatch.from_arrays([of("doc_ids"), of("n_words").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.diff(sums))], names=["doc_id", "n_words", "n_features", "weight"])
 
@@ -129,33 +133,39 @@ def log_ratio_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id"
     """
     mine = _pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), most, 0, "pieces")
     theirs = _pieces(target.select(F.lit(0).alias("doc_id"), F.col(target_col).alias("text")), most, _TARGET, "target-pieces")
-    columns = ["piece", "dict", "tuples", "counts"]
+    columns = ["piece", "dict", "counts", *(["tuples", "tuple_counts"] if most > 1 else [])]
     both = mine.select(*columns).unionAll(theirs.select(*columns))
-
-    words = both.select("piece", F.posexplode("dict").alias("place", "word"))
-    dictionary = stash(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    ids = words.join(_side(dictionary), "word").groupBy("piece").agg(_in_order("place", "id").alias("ids"))
-    # Tuples become ids in the piece's own row: only what is exploded leaves it.
-    coded = F.transform("tuples", lambda gram: F.transform(gram, lambda i: F.get("ids", i)))
-    grams = both.join(ids, "piece").select("piece", F.arrays_zip(coded.alias("gram"), F.col("counts").alias("n")).alias("grams"))
-    grams = grams.select("piece", F.posexplode("grams").alias("place", "x"))
-    grams = stash(grams.select("piece", "place", F.col("x.gram").alias("gram"), F.col("x.n").cast("long").alias("n")), "grams")
-
-    # Each distinct tuple once: counts on both sides, its bytes, their hash.
     ours = F.col("piece") < _TARGET
-    counted = grams.groupBy("gram").agg(F.sum(F.when(ours, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(ours, 0).otherwise(F.col("n"))).alias("t"))
-    parts = counted.select("gram", "s", "t", F.posexplode("gram").alias("place", "id")).join(_side(dictionary), "id")
-    spelt = parts.groupBy("gram").agg(F.first("s").alias("s"), F.first("t").alias("t"), F.array_join(_in_order("place", "word"), " ").alias("bytes"))
-    hashed = stash(spelt.select("gram", "s", "t", F.pmod(F.crc32(F.col("bytes").cast("binary")), F.lit(buckets)).alias("bucket")), "hashed")
-    discard(dictionary)
-
-    filled = hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))  # `buckets` rows at most
+    n = F.col("n").cast("long")
+    counts = [F.sum(F.when(ours, n).otherwise(0)).alias("s"), F.sum(F.when(ours, 0).otherwise(n)).alias("t")]
+    bucket = lambda text: F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+
+    words = both.select("piece", F.posexplode(F.arrays_zip(F.col("dict").alias("word"), F.col("counts").alias("n"))).alias("place", "x")).select("piece", "place", "x.word", "x.n")
+    dictionary = words.groupBy("word").agg(*counts).select(F.monotonically_increasing_id().alias("id"), "word", "s", "t", bucket(F.col("word")))
+    dictionary = stash(dictionary, "dictionary")
+    side = _side(dictionary)
+    placed = words.filter(ours).select("piece", "place", "word").join(side.select("word", "bucket"), "word").select("piece", "place", "bucket")
+    filled = dictionary.select("bucket", "s", "t")
+    if most > 1:
+        ids = words.join(side.select("word", "id"), "word").groupBy("piece").agg(_in_order("place", "id").alias("ids"))
+        # Tuples become ids in the piece's own row: only what is exploded leaves it.
+        coded = F.transform("tuples", lambda gram: F.transform(gram, lambda i: F.get("ids", i)))
+        grams = both.join(ids, "piece").select("piece", F.size("dict").alias("base"), F.arrays_zip(coded.alias("gram"), F.col("tuple_counts").alias("n")).alias("grams"))
+        grams = grams.select("piece", "base", F.posexplode("grams").alias("place", "x"))
+        grams = stash(grams.select("piece", (F.col("base") + F.col("place")).alias("place"), "x.gram", "x.n"), "grams")
+        # Each distinct tuple once: counts on both sides, its bytes, their hash.
+        parts = grams.groupBy("gram").agg(*counts).select("gram", "s", "t", F.posexplode("gram").alias("nth", "id")).join(side.select("id", "word"), "id")
+        spelt = parts.groupBy("gram").agg(F.first("s").alias("s"), F.first("t").alias("t"), F.array_join(_in_order("nth", "word"), " ").alias("text"))
+        hashed = stash(spelt.select("gram", "s", "t", bucket(F.col("text"))), "hashed")
+        placed = placed.unionAll(grams.filter(ours).join(_side(hashed.select("gram", "bucket")), "gram").select("piece", "place", "bucket"))
+        filled = filled.unionAll(hashed.select("bucket", "s", "t"))
+
+    filled = filled.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))  # `buckets` rows at most
     total = filled.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     ratio = (F.col("t") + 1).cast("double") * (total[0] + buckets) / ((F.col("s") + 1).cast("double") * (total[1] + buckets))
     gain = stash(filled.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")), "gains")
-    of_gram = hashed.join(F.broadcast(gain), "bucket").select("gram", "gain")
-    side = F.broadcast(of_gram) if hashed.count() <= BROADCAST_ROWS else of_gram
-    gains = grams.filter(ours).join(side, "gram").groupBy("piece").agg(_in_order("place", "gain").alias("gains"))
+    packed = F.shiftleft(F.col("place").cast("long"), 32) + F.col("gain") + _SHIFT
+    gains = placed.join(F.broadcast(gain), "bucket").groupBy("piece").agg(F.sort_array(F.collect_list(packed)).alias("gains"))
     rows = mine.select("piece", "doc_ids", "n_words", "n_features", "features").join(gains, "piece", "left")  # a piece without words has no gains
     return rows.drop("piece").mapInArrow(_weigh, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_features long, weight long")
 
