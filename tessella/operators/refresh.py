@@ -1,7 +1,8 @@
 """The index brought up to date in one operation: what is gone is dropped, what changed is embedded again and upserted.
 
-Everything is decided by content hashes against a cache; the new cache is written after the new index, so that a run
-that stops between the two embeds some rows again and loses none.
+Everything is decided by content hashes against a cache. What is written are the rows that change and the keys that go,
+as versions of two tables; the cache follows the index, so that a run that stops between the two embeds some rows again
+and loses none.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from pyspark.sql import functions as F
 from tessella.operators import docs as D
 from tessella.operators import incremental as I
 from tessella.operators import index as X
-from tessella.sources.files import read_snapshot, write_snapshot
+from tessella.sources.versions import Lease, Table
 
 c = F.col
 
 
 class Refreshed(NamedTuple):
+    """The index and the cache as they are to be, what was embedded, and (puts, drops) that lead there."""
+
     index: DataFrame
     cache: DataFrame
     changed: DataFrame
+    key: str
+    index_change: tuple[DataFrame, DataFrame | None]
+    cache_change: tuple[DataFrame, DataFrame | None]
 
 
 def project(index: DataFrame | None, cache: DataFrame | None, symbols: DataFrame, sources: DataFrame, embed: Callable[[DataFrame], DataFrame], dims: tuple[int, int]) -> Refreshed:
@@ -38,11 +44,13 @@ def project(index: DataFrame | None, cache: DataFrame | None, symbols: DataFrame
     rows = X.rows_of_cards(embed(changed), dims)
     entries = changed.select("id", "body_hash")
     if index is None:
-        return Refreshed(rows, entries, changed)
+        return Refreshed(rows, entries, changed, "id", (rows, None), (entries, None))
     ids = now.select("id").withColumn("type", F.lit("function"))
     kept = index.filter("type <> 'function'").unionByName(index.filter("type = 'function'").join(ids, ["id", "type"], "left_semi").select(index.columns))
     old = entries.limit(0) if cache is None else I.keep_valid(cache, now, "id")
-    return Refreshed(X.upsert(kept, rows), I.upsert(old, entries, ["id"]), changed)
+    gone = I.orphans(index.filter("type = 'function'").select("id"), now, "id")
+    stale = None if cache is None else I.orphans(cache, now, "id")
+    return Refreshed(X.upsert(kept, rows), I.upsert(old, entries, ["id"]), changed, "id", (rows.filter(X.valid_id(c("id"))), gone), (entries, stale))
 
 
 def sections(index: DataFrame, cache: DataFrame | None, docs: DataFrame, source: str, embed: Callable[[DataFrame], DataFrame], dims: tuple[int, int], smart: bool = True) -> Refreshed:
@@ -58,10 +66,14 @@ def sections(index: DataFrame, cache: DataFrame | None, docs: DataFrame, source:
     ids = parts.groupBy("file").agg(F.array_sort(F.collect_list("id")).alias("section_ids"))
     entries = changed.select("file", "hash").join(ids, "file", "left").withColumn("section_ids", F.coalesce("section_ids", F.array().cast("array<string>")))
     if cache is None:
-        return Refreshed(X.upsert_sections(index, rows), entries, changed)
+        touched = rows.select("file").distinct()
+        gone = index.filter("type = 'doc_section'").join(touched, "file", "left_semi").select("id")
+        return Refreshed(X.upsert_sections(index, rows), entries, changed, "file", (rows, gone), (entries, None))
     kept = now.join(changed.select("file"), "file", "left_anti")
     gone = I.stale_sections(cache, kept).select(c("section_id").alias("id"))
-    return Refreshed(X.delete_sections(index, gone).unionByName(rows, allowMissingColumns=True), I.upsert(I.keep_valid(cache, kept, "file"), entries, ["file"]), changed)
+    after = X.delete_sections(index, gone).unionByName(rows, allowMissingColumns=True)
+    entries_after = I.upsert(I.keep_valid(cache, kept, "file"), entries, ["file"])
+    return Refreshed(after, entries_after, changed, "file", (rows, gone), (entries, I.orphans(cache, now, "file")))
 
 
 def chunked(docs: DataFrame, cache: DataFrame | None, smart: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -76,12 +88,15 @@ def chunked(docs: DataFrame, cache: DataFrame | None, smart: bool = True) -> tup
     return every.select("file", F.inline("value")), every
 
 
-def commit(done: Refreshed, root: str) -> None:
-    """Write the index, then the cache."""
-    write_snapshot(done.index, f"{root}/index")
-    write_snapshot(done.cache, f"{root}/cache")
+def commit(done: Refreshed, root: str, lease: Lease | None = None, share: float = 0.2) -> None:
+    """Write the changes of the index, then those of the cache; tables whose changes exceed a share of them are compacted."""
+    spark = done.index.sparkSession
+    for name, key, change in (("index", "id", done.index_change), ("cache", done.key, done.cache_change)):
+        table = Table(spark, f"{root}/{name}", key)
+        table.write(*change, lease=lease)
+        table.compact(share, lease)
 
 
-def committed(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """(index, cache) as they were committed last; None for what is not there."""
-    return read_snapshot(spark, f"{root}/index"), read_snapshot(spark, f"{root}/cache")
+def committed(spark: SparkSession, root: str, key: str = "id") -> tuple[DataFrame | None, DataFrame | None]:
+    """(index, cache) as they were committed last; None for what is not there. key is that of the cache (id, or file for sections)."""
+    return Table(spark, f"{root}/index", "id").read(), Table(spark, f"{root}/cache", key).read()

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from tessella.plans.base import Catalog, table
+from tessella.plans.base import Catalog, folder, table
 from tessella.streaming import watch as W
 
 CATALOG = Catalog()
 c = F.col
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf):
     static = table(spark, sf, "events")
     at = static.schema
@@ -29,7 +23,7 @@ def _stream(spark, sf):
 @CATALOG.add("stream_upsert_state", """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS t, max(ts) AS at FROM events GROUP BY user_id)
 SELECT CAST(user_id AS VARCHAR) AS file, t AS hash, 'PENDING' AS status FROM l WHERE t <> 'logout'""")
 def stream_upsert_state(spark, sf):
-    root = _folder(spark)
+    root = folder(spark, "stream")
     action = F.when(c("event_type") == "logout", "unlink").otherwise(c("event_type"))
     changes = _stream(spark, sf).select(c("user_id").cast("string").alias("file"), c("event_type").alias("hash"), action.alias("action"), c("ts").alias("at"))
     W.watch(changes, root, root + "/checkpoint").awaitTermination()
@@ -49,7 +43,7 @@ def stream_late_changes(spark, sf):
 
 @CATALOG.add("stream_windows", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT time_bucket(INTERVAL 1 HOUR, ts)) AS windows FROM events GROUP BY event_type")
 def stream_windows(spark, sf):
-    root = _folder(spark)
+    root = folder(spark, "stream")
     out = W.windowed(_stream(spark, sf), "ts", ["event_type"], "value", "1 hour", "10 minutes")
     # Complete mode keeps every window, so the result does not depend on how the stream is cut into batches.
     name = f"w_{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import subprocess
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,24 +133,6 @@ def coverage(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new version of a table, then point to it: readers see the old or the new one, never a part."""
-    spark = df.sparkSession
-    version = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    # The pointer is a table of one row whose files appear by rename.
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/pointer")
-    return version
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version last pointed to; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer/_SUCCESS")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/pointer").first().path)
-
-
 def output_name(path: Column) -> Column:
     """A flat name for a path that no other path has: slashes become dashes, a hash of the whole path follows."""
     return F.concat(F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), "/", "-"), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
@@ -182,26 +163,3 @@ def write_transcripts(lines: DataFrame, root: str) -> None:
     """Log lines (file, at, line) in order, one folder a file."""
     rows = lines.repartition("file").sortWithinPartitions("file", "at").select(c("file"), c("line").alias("value"))
     rows.write.mode("append").partitionBy("file").text(root)
-
-
-def acquire_lock(path: str) -> bool:
-    """A lock file of this process on the driver; that of a process which is gone is taken over. False if another runs."""
-    import os
-
-    for _ in range(2):
-        try:
-            with open(path, "x") as f:
-                f.write(str(os.getpid()))
-            return True
-        except FileExistsError:
-            with open(path) as f:
-                owner = f.read().strip()
-            try:
-                if int(owner) > 0:
-                    os.kill(int(owner), 0)
-                return False
-            except (ValueError, ProcessLookupError):
-                os.unlink(path)
-            except PermissionError:
-                return False
-    return False

@@ -51,10 +51,3 @@ def test_small_ones(spark, tmp_path):
     lines = spark.createDataFrame([("f", 2, "two"), ("f", 1, "one"), ("g", 1, "x")], "file string, at int, line string")
     S.write_transcripts(lines, f"file://{tmp_path}/t")
     assert [r.value for r in spark.read.text(f"{tmp_path}/t/file=f").collect()] == ["one", "two"]
-    lock = str(tmp_path / "lock")
-    assert S.acquire_lock(lock) and not S.acquire_lock(lock)
-    with open(lock, "w") as f:
-        f.write("999999999")
-    assert S.acquire_lock(lock)
-    with open(lock) as f:
-        assert int(f.read()) == os.getpid()

@@ -9,6 +9,7 @@ from tessella.operators import project as J
 from tessella.operators import providers as V
 from tessella.operators import refresh
 from tessella.sources import files as S
+from tessella.sources.versions import Table
 
 CODE = "function {0}() {{\n  return {1}\n}}"
 
@@ -37,16 +38,45 @@ def test_runs_embed_what_changed_and_drop_what_is_gone(spark, tmp_path):
     assert {r.id for r in cache.collect()} == {r.id for r in index.collect()}
 
 
+def test_a_run_writes_what_changed_and_no_more(spark, tmp_path):
+    root, seen = f"file://{tmp_path}/i", []
+    many = {f"f{i}": str(i) for i in range(40)}
+    refresh.commit(refresh.project(None, None, *sources(spark, **many), embedder("one", seen), (2, 2)), root)
+    before = {p for p in tmp_path.rglob("*.parquet")}
+    changed = {k: v for k, v in many.items() if k != "f7"} | {"f1": "other", "g": "9"}
+    refresh.commit(refresh.project(*refresh.committed(spark, root), *sources(spark, **changed), embedder("two", seen), (2, 2)), root)
+    new = [p for p in tmp_path.rglob("*.parquet") if p not in before]
+    written = sum(spark.read.parquet(f"file://{p}").count() for p in new if "/index/" in str(p))
+    index, cache = refresh.committed(spark, root)
+    assert before <= set(tmp_path.rglob("*.parquet")) and written <= 5 and seen[1] == ["f1", "g"]
+    assert {(r.name, r.summary) for r in index.collect()} == {(k, "two" if k in ("f1", "g") else "one") for k in changed}
+    assert {r.id for r in cache.collect()} == {r.id for r in index.collect()}
+
+
+def test_sections_of_changed_and_missing_documents_are_replaced(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    page = lambda **xs: spark.createDataFrame([(f"{f}.md", f"## One\n\n{t * 30}\n\n## Two\n\n{t * 30}") for f, t in xs.items()], "file string, content string")
+    embed = lambda parts: parts.withColumn("nlp_vector", F.array(F.lit(1.0).cast("float")))
+    index = refresh.X.rows_of_sections(spark.createDataFrame([], "id string, file string, heading string, embed_text string, nlp_vector array<float>"), (1, 1), "docs")
+    refresh.commit(refresh.sections(index, None, page(a="some words ", b="more words ", z="last words "), "docs", embed, (1, 1)), root)
+    index, cache = refresh.committed(spark, root, "file")
+    refresh.commit(refresh.sections(index, cache, page(a="some words ", b="other words ", n="new words "), "docs", embed, (1, 1)), root)
+    index, cache = refresh.committed(spark, root, "file")
+    assert sorted((r.file, r.name, "other" in r.summary) for r in index.collect()) == [("a.md", "One", False), ("a.md", "Two", False), ("b.md", "One", True), ("b.md", "Two", True), ("n.md", "One", False), ("n.md", "Two", False)]
+    assert {r.file for r in cache.collect()} == {"a.md", "b.md", "n.md"}
+    assert {i for r in cache.collect() for i in r.section_ids} == {r.id for r in index.collect()}
+
+
 def test_a_run_that_stops_before_the_cache_embeds_again_and_loses_nothing(spark, tmp_path, monkeypatch):
     root, seen = f"file://{tmp_path}/i", []
-    write = S.write_snapshot
+    write = Table.write
 
-    def stops(df, path):
-        if path.endswith("/cache"):
+    def stops(table, *change, **more):
+        if table.root.endswith("/cache"):
             raise RuntimeError("stopped")
-        return write(df, path)
+        return write(table, *change, **more)
 
-    monkeypatch.setattr(refresh, "write_snapshot", stops)
+    monkeypatch.setattr(Table, "write", stops)
     with pytest.raises(RuntimeError):
         refresh.commit(refresh.project(None, None, *sources(spark, a="1"), embedder("one", seen), (2, 2)), root)
     monkeypatch.undo()

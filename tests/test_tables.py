@@ -15,6 +15,7 @@ from tessella.operators import project as P
 from tessella.operators import providers as V
 from tessella.operators import rules as R
 from tessella.sources import files as S
+from tessella.sources import versions
 from tessella.streaming import watch as W
 
 
@@ -57,10 +58,10 @@ def test_coverage(spark):
 
 def test_snapshots_switch_as_a_whole(spark, tmp_path):
     root = f"file://{tmp_path}/s"
-    assert S.read_snapshot(spark, root) is None
-    S.write_snapshot(spark.range(3), root)
-    S.write_snapshot(S.read_snapshot(spark, root).filter("id > 0"), root)
-    assert S.read_snapshot(spark, root).count() == 2
+    assert versions.read_snapshot(spark, root) is None
+    versions.write_snapshot(spark.range(3), root)
+    versions.write_snapshot(versions.read_snapshot(spark, root).filter("id > 0"), root)
+    assert versions.read_snapshot(spark, root).count() == 2
 
 
 def test_inject_block_twice(spark):
