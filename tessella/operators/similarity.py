@@ -25,6 +25,10 @@ BROADCAST_BYTES = 16 << 20
 #: Bytes of corpus vectors that share a lane where queries are too many to broadcast.
 LANE_BYTES = 64 << 20
 DIGITS = 6
+#: Bytes of the sample of vectors that principal axes are taken from.
+AXES_BYTES = 4 << 20
+#: What rounding to DIGITS may add to a score, and more.
+SLACK = 1e-6
 
 
 def _pack(kind: str, extra: list[str]):
@@ -60,20 +64,21 @@ def _bytes(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(F.lit(8).cast("long") * F.size("v")), F.lit(0))).first()[0]
 
 
-def cells(queries: DataFrame, corpus: DataFrame, kind: str = "float64", extra: tuple[str, ...] = ()) -> DataFrame:
+def cells(queries: DataFrame, corpus: DataFrame, kind: str = "float64", extra: tuple[str, ...] = (), half: bool = False) -> DataFrame:
     """Every block of queries beside every block of the corpus: (q_ids, dim, q, *extra of the queries, ids, m).
 
-    Blocks of different dimension do not meet.
+    Blocks of different dimension do not meet. half: of a table against itself, two blocks meet once.
     """
     n = _bytes(queries)
     q = blocks(queries, kind, extra).withColumnsRenamed({"ids": "q_ids", "m": "q"})
     c = blocks(corpus, kind)
+    once = F.xxhash64("q_ids") <= F.xxhash64("ids") if half else F.lit(True)
     if n <= BROADCAST_BYTES:
-        return c.join(F.broadcast(q), "dim")
+        return c.join(F.broadcast(q), "dim").filter(once)
     lanes = -(-_bytes(corpus) // LANE_BYTES)
     q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(max(0, lanes - 1)))))
     c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(max(1, lanes))).cast("int"))
-    return c.join(q, ["lane", "dim"]).drop("lane")
+    return c.join(q, ["lane", "dim"]).drop("lane").filter(once)
 
 
 def matrices(batch: pa.RecordBatch, i: int, kind: str = "float64") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,18 +161,142 @@ def hybrid_knn(queries: DataFrame, corpus: DataFrame, k: int = 8, weight: float
     return ranked(fused.unionByName(alone), k)
 
 
+def principal_axes(corpus: DataFrame) -> dict[int, np.ndarray]:
+    """By dimension, an orthogonal basis that puts first what varies most, from a sample of AXES_BYTES at most.
+
+    It decides how early pairs are ruled out, not which.
+    """
+    rows = corpus.select("v").filter("v is not null")
+    first = rows.select(F.size("v")).first()
+    if first is None:
+        return {}
+    some = rows.orderBy(F.xxhash64("v")).limit(max(16, AXES_BYTES // (8 * max(1, first[0])))).collect()
+    out = {}
+    for dim in {len(r.v) for r in some}:
+        m = np.array([r.v for r in some if len(r.v) == dim], np.float64)
+        out[dim] = np.linalg.eigh(m.T @ m)[1][:, ::-1] if dim else np.zeros((0, 0))
+    return out
+
+
+def _open_pairs(q: np.ndarray, m: np.ndarray, axes: np.ndarray | None, least: float, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose scores may reach `least`.
+
+    Along the axes, what the first components give and the product of the lengths of the rest bound a score from above.
+    """
+    if axes is None or least <= -1:
+        return np.nonzero(valid)
+    x, y, part, last, keep = q @ axes, m @ axes, np.zeros((len(q), len(m))), 0, valid
+    for cut in sorted({-(-q.shape[1] * k // 8) for k in (2, 4, 5, 6, 7)}):
+        part += x[:, last:cut] @ y[:, last:cut].T
+        last = cut
+        bound = part + np.linalg.norm(x[:, cut:], axis=1)[:, None] * np.linalg.norm(y[:, cut:], axis=1)[None, :]
+        keep = keep & (bound >= least - SLACK)
+        if np.count_nonzero(keep) < 0.02 * keep.size:
+            break
+    return np.nonzero(keep)
+
+
+def _pairs(axes: dict[int, np.ndarray], least: float, k: int | None, counted: bool):
+    """Pairs of a task's cells that reach `least`, or the k best of these; or how many there are and how many are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor, best = least, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            for n in range(len(batch)):
+                q_ids, q, ids, m = matrices(batch, n)
+                same = np.array_equal(q_ids, ids)
+                for lo in range(0, len(q), 256):
+                    mine = q_ids[lo : lo + 256]
+                    valid = mine[:, None] < ids[None, :] if same else mine[:, None] != ids[None, :]
+                    i, j = _open_pairs(q[lo : lo + 256], m, axes.get(q.shape[1]), floor, valid)
+                    if counted:
+                        yield pa.RecordBatch.from_arrays([pa.array([np.count_nonzero(valid)]), pa.array([len(i)])], names=["n_pairs", "n_scored"])
+                        continue
+                    for at in range(0, len(i), 1 << 17):
+                        a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                        score = np.round(np.einsum("ij,ij->i", q[lo + a], m[b]), DIGITS)
+                        some = score >= floor
+                        one, two, score = mine[a[some]], ids[b[some]], score[some]
+                        found = np.minimum(one, two), np.maximum(one, two), score
+                        if k is None:
+                            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["a", "b", "score"])
+                            continue
+                        found = tuple(np.concatenate(f) for f in zip(best, found, strict=True))
+                        order = np.lexsort((found[1], found[0], -found[2]))[:k]
+                        best = tuple(f[order] for f in found)
+                        floor = max(floor, best[2][-1]) if len(order) == k else floor
+        if k is not None and not counted:
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in best], names=["a", "b", "score"])
+
+    return run
+
+
 def all_pairs(corpus: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of every pair a < b of rows with a score of `least` or more."""
-    return _scored(corpus, corpus, None, least).filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
+    """(a, b, score) of every pair a < b of rows with a score of `least` or more.
+
+    Pairs that a bound rules out are not scored; no pair that reaches `least` is lost. corpus: (id, v of unit length).
+    """
+    axes = principal_axes(corpus) if least > -1 else {}
+    return cells(corpus, corpus, half=True).mapInArrow(_pairs(axes, least, None, False), "a long, b long, score double")
+
+
+def top_pairs(corpus: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """The k best pairs (a, b, score) with a score of `least` or more: score, then smaller ids. Each task keeps its k best,
+    and the worst of them rules out what follows."""
+    found = cells(corpus, corpus, half=True).mapInArrow(_pairs(principal_axes(corpus), least, k, False), "a long, b long, score double")
+    return found.orderBy(F.desc("score"), "a", "b").limit(k)
+
+
+def pairs_scored(corpus: DataFrame, least: float) -> DataFrame:
+    """One row (n_pairs, n_scored): how many pairs there are, and of how many `all_pairs` takes the whole score."""
+    found = cells(corpus, corpus, half=True).mapInArrow(_pairs(principal_axes(corpus), least, None, True), "n_pairs long, n_scored long")
+    return found.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_scored"), F.lit(0)).alias("n_scored"))
+
+
+def _sums(keys: list[str]):
+    """Sums of the vectors of each group, a task at a time: (keys..., sums, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, int]] = {}
+        schema = None
+
+        def packed():
+            columns = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(len(keys))]
+            out = [*columns, pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(out, names=[*keys, "sums", "n"])
+
+        for batch in batches:
+            schema, size = batch.schema, np.diff(batch.column("v").offsets.to_numpy())
+            code, names = size.astype(np.int64), [None] * len(keys)
+            for i in range(len(keys)):
+                coded = batch.column(i).dictionary_encode(null_encoding="encode")
+                names[i] = coded.dictionary
+                code = np.unique(code * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            for rows in np.split(order, cuts) if len(order) else ():
+                total = batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).sum(axis=0)
+                key = (*(batch.column(i)[int(rows[0])].as_py() for i in range(len(keys))), len(total))
+                old = held.get(key)
+                held[key] = (total, len(rows)) if old is None else (old[0] + total, old[1] + len(rows))
+            if len(held) > 20_000:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
+
+    return run
 
 
 def centroid(rows: DataFrame, key: list[str], vector: str) -> DataFrame:
     """(key..., centroid, n): element-wise mean of the non-zero vectors of a group, brought to unit length.
 
-    Groups without a non-zero vector are left out. Sums are taken per element before the shuffle.
+    Groups without a non-zero vector are left out. Vectors are summed a task at a time; what is shuffled are these sums.
     """
-    some = rows.filter(F.col(vector).isNotNull() & ~V.is_zero(vector))
-    means = some.select(*key, F.posexplode(vector).alias("pos", "x")).groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    some = rows.filter(F.col(vector).isNotNull() & ~V.is_zero(vector)).select(*key, F.col(vector).cast("array<double>").alias("v"))
+    kinds = ", ".join(f"`{k}` {some.schema[k].dataType.simpleString()}" for k in key)
+    parts = some.mapInArrow(_sums(key), f"{kinds}, sums array<double>, n long")
+    means = parts.select(*key, "n", F.posexplode("sums").alias("pos", "x")).groupBy(*key, "pos").agg((F.sum("x") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
     lists = means.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("by_pos"), F.max("n").alias("n"))
     return lists.select(*key, V.l2_normalize(F.transform("by_pos", lambda t: t["m"])).alias("centroid"), "n")
 

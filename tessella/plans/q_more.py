@@ -14,8 +14,9 @@ from tessella.operators import pages as P
 from tessella.operators import project as J
 from tessella.operators import refresh
 from tessella.operators import rules as R
-from tessella.plans.base import Catalog, table
+from tessella.plans.base import Catalog, folder, table
 from tessella.sources import files as S
+from tessella.sources.versions import Table
 
 CATALOG = Catalog()
 c = F.col
@@ -327,3 +328,18 @@ def summarised_cards(spark, sf):
     found = p.filter("p_partkey % 2 = 0").select(key, F.repeat("p_type", 60).alias("summary"), F.lit("").alias("doc_summary"), F.array(F.lit("k")).alias("key_concepts"), F.when(c("p_partkey") % 4 == 0, "async").otherwise("odd").alias("behavioral_profile"))
     done, missing = X.with_summaries(p.select(key), found)
     return done.select("id", "summary", "behavioral_profile")
+
+
+@CATALOG.add("index_deltas", """WITH s AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 14 = 0 THEN 'two' WHEN label % 5 = 1 THEN NULL WHEN label % 3 = 0 THEN 'one' WHEN vec_id % 7 = 0 THEN NULL ELSE 'base' END AS state
+FROM embeddings WHERE vec_id % 11 <> 3) SELECT * FROM s WHERE state IS NOT NULL""")
+def index_deltas(spark, sf):
+    """A table of vectors changed three times and compacted between, as it is read in the end."""
+    e = table(spark, sf, "embeddings").select(c("vec_id").alias("id"), "label")
+    of = lambda condition, state: e.filter(condition).withColumn("state", F.lit(state))
+    t = Table(spark, folder(spark, "index"), "id")
+    t.write(of("true", "base"))
+    t.write(of("label % 3 = 0", "one"), e.filter("id % 7 = 0"))
+    t.write(of("id % 14 = 0", "two"), e.filter("label % 5 = 1"))
+    t.compact(0.0)
+    t.write(None, e.filter("id % 11 = 3"))
+    return t.read()

@@ -101,7 +101,7 @@ def all_pairs_floor(spark, sf):
 
 @CATALOG.add("top_pairs", f"WITH {_PAIRS} SELECT a, b, score FROM p ORDER BY score DESC, a, b LIMIT 20")
 def top_pairs(spark, sf):
-    return S.all_pairs(_corpus(spark, sf), 0.0).orderBy(F.desc("score"), "a", "b").limit(20)
+    return S.top_pairs(_corpus(spark, sf), 20)
 
 
 @CATALOG.add("score_histogram", f"WITH {_PAIRS} SELECT round(floor(score / 0.05) * 0.05, 2) AS bucket, is_dup, count(*) AS n FROM p GROUP BY ALL")
