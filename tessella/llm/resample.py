@@ -22,7 +22,9 @@ from tessella.llm import kernel as K
 from tessella.llm.store import BROADCAST_ROWS, scoped, stash
 
 #: Text of one piece; a longer document is a piece of its own. An Arrow batch ends a piece as well.
-PIECE_BYTES = 32 << 20
+PIECE_BYTES = 16 << 20
+#: Text that is cut into words at a time.
+CUT_BYTES = 2 << 20
 #: Words or tuples up to which their table is broadcast.
 FEW = BROADCAST_ROWS // 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,10 +79,15 @@ def _pack(most: int, first_piece: int, schema: pa.Schema):
 
         piece = first_piece + (TaskContext.get().partitionId() << 33)
         for batch in batches:
+            if not len(batch):
+                continue
             data, offs = K.buffers(batch.column("text"))
-            for lo, hi, part, own in K.slices(data, offs, PIECE_BYTES):
-                words, count = _words(part, own)
-                coded = words.dictionary_encode()
+            even = len(data) // max(1, -(-len(data) // PIECE_BYTES)) + 1
+            for lo, hi, part, own in K.slices(data, offs, even):
+                cut = [_words(x, y) for _, _, x, y in K.slices(part, own, CUT_BYTES)]
+                count = np.concatenate([n for _, n in cut])
+                coded = pa.chunked_array([w for w, _ in cut], pa.large_string()).dictionary_encode().combine_chunks()
+                coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
                 number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 runs, feature, sizes = _features(number, count, len(coded.dictionary), most)
                 ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.full(len(r), r.shape[1]) for r in runs)]))
