@@ -86,15 +86,15 @@ def _pack(most: int, first_piece: int, schema: pa.Schema):
             for lo, hi, part, own in K.slices(data, offs, even):
                 cut = [_words(x, y) for _, _, x, y in K.slices(part, own, CUT_BYTES)]
                 count = np.concatenate([n for _, n in cut])
-                coded = pa.chunked_array([w for w, _ in cut], pa.large_string()).dictionary_encode().combine_chunks()
-                coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-                number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                runs, feature, sizes = _features(number, count, len(coded.dictionary), most)
+                coded = pa.chunked_array([w for w, _ in cut], pa.large_string()).dictionary_encode().chunks  # of one dictionary
+                words = coded[0].dictionary if coded else pa.array([], pa.large_string())
+                number = np.concatenate([np.zeros(0, np.int64), *(x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in coded)])
+                runs, feature, sizes = _features(number, count, len(words), most)
                 ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.full(len(r), r.shape[1]) for r in runs)]))
                 tuples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(r.ravel() for r in runs)]), pa.int32()))
-                n = np.bincount(feature, minlength=len(coded.dictionary) + len(tuples))
+                n = np.bincount(feature, minlength=len(words) + len(tuples))
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int32()) if isinstance(values, np.ndarray) else values)
-                columns = [one(batch.column("doc_id").slice(lo, hi - lo)), one(count), one(sizes), one(feature), one(coded.dictionary.cast(pa.string())), one(n[: len(coded.dictionary)]), one(tuples), one(n[len(coded.dictionary) :])]
+                columns = [one(batch.column("doc_id").slice(lo, hi - lo)), one(count), one(sizes), one(feature), one(words.cast(pa.string())), one(n[: len(words)]), one(tuples), one(n[len(words) :])]
                 yield pa.RecordBatch.from_arrays([pa.array([piece]), *columns], schema=schema)
                 piece += 1
 
