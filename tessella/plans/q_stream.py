@@ -49,3 +49,14 @@ def stream_windows(spark, sf):
     name = f"w_{uuid.uuid4().hex}"
     out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.count_distinct("start").alias("windows"))
+
+
+@CATALOG.add("stream_settled", """WITH l AS (SELECT user_id, ts, max(event_type) AS hash FROM events GROUP BY user_id, ts), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM l)
+SELECT CAST(user_id AS VARCHAR) AS file, hash, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM n WHERE next - ts > INTERVAL 6 HOUR OR next IS NULL AND ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_settled(spark, sf):
+    """Events of a user that none followed within six hours, each passed on when its quiet time is over."""
+    root = folder(spark, "settled")
+    changes = _stream(spark, sf).select(c("user_id").cast("string").alias("file"), c("event_type").alias("hash"), F.lit("change").alias("action"), c("ts").alias("at"))
+    q = W.settled(changes, 6 * 3600).writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/checkpoint").outputMode("append")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file string, hash string, action string, at timestamp").parquet(root + "/out").select("file", "hash", F.unix_seconds("at").alias("at_s"))

@@ -1,19 +1,24 @@
-"""Streams: file changes folded into keyed state, event windows and de-duplication."""
+"""Streams: file changes settled and folded into keyed state, event windows and de-duplication."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tessella.operators.incremental import latest
+from tessella.sources.versions import Lease, Table, vacuum
 
 c = F.col
 
-#: Parts of a watched state, each a snapshot of its own.
-BUCKETS = 8
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches after which versions that nobody reads any more are deleted.
+VACUUM_EVERY = 50
 
 
 def fold_changes(state: DataFrame | None, changes: DataFrame) -> DataFrame:
@@ -41,22 +46,9 @@ def present(state: DataFrame) -> DataFrame:
     return state.filter("status <> 'REMOVED'")
 
 
-def bucket(file) -> Column:
-    return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
-
-
-def manifest(spark: SparkSession, root: str) -> dict[int, str]:
-    """Where each part of the state is; empty if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/_SUCCESS")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return {}
-    return {r.bucket: r.path for r in spark.read.schema("bucket int, path string").json(f"{root}/manifest").collect()}  # BUCKETS rows
-
-
 def read_state(spark: SparkSession, root: str) -> DataFrame | None:
     """The whole state; None if there is none."""
-    parts = manifest(spark, root)
-    return spark.read.parquet(*parts.values()) if parts else None
+    return Table(spark, root, "file").read()
 
 
 def advance(state: DataFrame, done: DataFrame) -> DataFrame:
@@ -66,31 +58,107 @@ def advance(state: DataFrame, done: DataFrame) -> DataFrame:
     return state.join(d, "file", "left").withColumn("status", status).drop("through", "error")
 
 
-def watch(changes: DataFrame, root: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, available_now: bool = True):
+class _Settle(StatefulProcessor):
+    """Holds the last change of a file until it has been quiet for some time.
+
+    State is one row a file, and a timer at the end of its quiet time; both go when the change is passed on. A row that
+    is older than what is held, or was passed on within the time to live, changes nothing.
+    """
+
+    def __init__(self, quiet_ms: int, ttl_ms: int):
+        self.quiet_ms, self.ttl_ms = quiet_ms, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "hash string, action string, at timestamp")
+        self.passed = handle.getValueState("passed", "hash string, action string, at timestamp")
+
+    def _row(self, key, change) -> pd.DataFrame:
+        return pd.DataFrame({"file": [key[0]], "hash": [change[0]], "action": [change[1]], "at": [pd.Timestamp(change[2])]})
+
+    def _until(self, change) -> int:
+        return _ms(change[2]) + self.quiet_ms
+
+    def _pass(self, change) -> None:
+        """Remember a change that goes out, for the time to live."""
+        self.passed.update(tuple(change))
+        self.handle.registerTimer(self._until(change) + self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        news = pd.concat(list(rows)).sort_values(["at", "hash"], na_position="first")
+        held, passed = self.held.get() if self.held.exists() else None, self.passed.get() if self.passed.exists() else None
+        timer = held is not None
+        if timer:
+            self.handle.deleteTimer(self._until(held))
+        for hash_, action, at in zip(news["hash"], news["action"], news["at"], strict=True):
+            change = (None if pd.isna(hash_) else hash_, action, at.to_pydatetime())
+            before = held or passed
+            if before is not None and _ms(change[2]) < _ms(before[2]) or passed is not None and tuple(change[:2]) == tuple(passed[:2]) and _ms(change[2]) == _ms(passed[2]):
+                continue
+            if held is not None and _ms(change[2]) > self._until(held):  # it was quiet for long enough
+                yield self._row(key, held)
+                passed = held
+                self._pass(passed)
+            held = change
+        if held is not None:
+            self.held.update(held)
+            self.handle.registerTimer(self._until(held))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.held.exists() and self._until(held := self.held.get()) <= now:
+            yield self._row(key, held)
+            self.held.clear()
+            self._pass(held)
+        if self.passed.exists() and self._until(self.passed.get()) + self.ttl_ms <= now:
+            self.passed.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(at: datetime.datetime) -> int:
+    at = at if at.tzinfo else at.replace(tzinfo=datetime.UTC)
+    return int(at.timestamp() * 1000)
+
+
+def settled(changes: DataFrame, quiet: float, lateness: str = "10 minutes", ttl: float = 24 * 3600) -> DataFrame:
+    """Of a stream of changes (file, hash, action, at) those that no other change of the file followed within `quiet` seconds.
+
+    A change is passed on once the watermark (the newest time less the lateness) is past its quiet time, however the
+    stream is cut into batches; of changes at the same time the one of the largest hash counts. ttl: seconds for which a
+    change that was passed on is remembered, so that it is not passed on again. The session's time zone must be UTC.
+    """
+    spark = changes.sparkSession
+    if spark.conf.get(_PROVIDER, "") != _ROCKS:  # timers need it
+        spark.conf.set(_PROVIDER, _ROCKS)
+    keyed = changes.select("file", "hash", "action", "at").withWatermark("at", lateness).groupBy("file")
+    return keyed.transformWithStateInPandas(_Settle(int(quiet * 1000), int(ttl * 1000)), "file string, hash string, action string, at timestamp", "Append", "EventTime")
+
+
+def watch(changes: DataFrame, root: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, lease: Lease | None = None):
     """Start a query that folds a stream of changes into the state below root, one micro-batch at a time.
 
-    The state lies in BUCKETS parts by hash of the file; only those that a batch touches are read and written, and one
-    manifest says where each part is. A batch that is run again after a failure folds the same changes again, which gives
-    the same state.
+    The state is a table of versions: a batch reads the rows of the files that it touches and writes their new rows, and
+    every now and then the table is compacted and old versions go. A batch that is run again after a failure folds the
+    same changes again, which gives the same state. With a lease, a query whose lease was taken over stops.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        dealt = batch.withColumn("bucket", bucket(c("file"))).persist()
+        table = Table(spark, root, "file")
+        state = table.read()
+        mine = batch.persist()
         try:
-            touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
-            at = manifest(spark, root)
-            known = [at[n] for n in touched if n in at]
-            new = fold_changes(spark.read.parquet(*known) if known else None, dealt.drop("bucket"))
-            version = f"{root}/v-{uuid.uuid4().hex}"
-            new.withColumn("bucket", bucket(c("file"))).repartition("bucket").write.partitionBy("bucket").parquet(version)
-            at |= {n: f"{version}/bucket={n}" for n in touched}
-            if touched:
-                spark.createDataFrame(list(at.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+            known = None if state is None else state.join(F.broadcast(mine.select("file").distinct()) if mine.count() <= 1_000_000 else mine.select("file").distinct(), "file", "left_semi")
+            table.write(fold_changes(known, mine), lease=lease)
         finally:
-            dealt.unpersist()
+            mine.unpersist()
+        table.compact(lease=lease)
+        if number % VACUUM_EVERY == VACUUM_EVERY - 1:
+            vacuum(spark, root)
         if after is not None:
-            after(read_state(spark, root), number)
+            after(table.read(), number)
 
     q = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if available_now else q).start()
