@@ -6,6 +6,8 @@ an aggregate, so nothing is looked up row by row.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,7 @@ REFERENCES = {
     "typescript": [("import", r"import\s+(?:[\s\S]*?\s+from\s+)?['\"]([^'\"]+)['\"]"), ("require", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")],
     "bash": [("source", r"(?m)^(?:source|\.) +[\"']?([^\"'\s]+)[\"']?")],
     "python": [("import", r"(?m)^from\s+(\S+)\s+import"), ("import", r"(?m)^import\s+(\S+)")],
-    "rust": [("import", r"(?m)^(?:pub\s+)?use\s+(\S+)\s*;")],
+    "rust": [("import", r"(?m)^(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+?)\s*;")],
     "go": [("import", r"(?m)^import\s+\"([^\"]+)\"")],
     "java": [("import", r"(?m)^import\s+(?:static\s+)?(\S+)\s*;")],
     "csharp": [("import", r"(?m)^using\s+(?:static\s+)?(\S+)\s*;")],
@@ -41,6 +43,9 @@ CANDIDATES = [".ts", ".tsx", "/index.ts", "/index.tsx"]
 def references(files: DataFrame, language: str) -> DataFrame:
     """(file, source, type): import references of files (file, content) of one language, in order of appearance."""
     parts = []
+    if language == "rust":  # each statement is a tree of paths
+        specs = files.select("file", F.explode(F.regexp_extract_all("content", F.lit(REFERENCES["rust"][0][1]), 1)).alias("spec"))
+        return specs.lateralJoin(UseTree(c("spec").outer())).select("file", c("path").alias("source"), F.lit("import").alias("type"))
     for kind, pattern in REFERENCES[language]:
         parts.append(files.select("file", F.explode(F.regexp_extract_all("content", F.lit(pattern), 1)).alias("source"), F.lit(kind).alias("type")))
     if language == "go":  # grouped imports
@@ -138,20 +143,30 @@ def rust_modules(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def rust_use_tree(spec: str) -> list[str]:
-    """Paths of a nested `use` tree: a::{b, c::{d, e}} to a::b, a::c::d, a::c::e."""
+    """Paths of a nested `use` tree: a::{b, c::{d as x, e::*}} to a::b, a::c::d, a::c::e; `self` is the path before it."""
     head, brace, rest = spec.partition("{")
     if not brace:
-        return [head.strip().split(" as ")[0].strip()] if head.strip() else []
-    out, depth, start = [], 0, 0
+        path = head.strip().split(" as ")[0].strip().removesuffix("::*")
+        return [path] if path else []
+    out, depth, start, before = [], 0, 0, head.strip()
     inner = rest[: rest.rindex("}")] if "}" in rest else rest
     for i, ch in enumerate(inner + ","):
         depth += (ch == "{") - (ch == "}")
         if ch == "," and not depth:
-            out += [head.strip() + p if p != "self" else head.strip().removesuffix("::") for p in rust_use_tree(inner[start:i])]
+            out += [before.removesuffix("::") if p in ("self", "*") else before + p for p in rust_use_tree(inner[start:i])]
             start = i + 1
     return out
 
 
+@F.udtf(returnType="path string")
+class UseTree:
+    """The paths of a `use` statement's tree, comments left out."""
+
+    def eval(self, spec: str) -> Iterator[tuple[str]]:
+        for path in rust_use_tree(re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", " ", spec or "")):
+            yield (path,)
+
+
 def test_files(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """(file, test): tests (test, imports) named after a file or importing a path part equal to its base name."""
     base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "")

@@ -109,7 +109,7 @@ _CODE = {
     "typescript": (["import { a, b as c } from './", "@source", "';\nimport '", "@lang", "/side';\nconst x = require('", "@source", "/r');\n"], [("import", "'./' || source"), ("import", "lang || '/side'"), ("require", "source || '/r'")]),
     "bash": (["#!/bin/sh\nsource ./", "@source", ".sh\n. \"lib/", "@lang", ".sh\"\necho source x\n"], [("source", "'./' || source || '.sh'"), ("source", "'lib/' || lang || '.sh'")]),
     "python": (["import ", "@source", "\nfrom .", "@lang", " import x\n    import inner\n"], [("import", "source"), ("import", "'.' || lang")]),
-    "rust": (["use crate::", "@source", "::x;\npub use ", "@lang", ";\nfn f() { use inner; }\n"], [("import", "'crate::' || source || '::x'"), ("import", "lang")]),
+    "rust": (["use crate::", "@source", "::x;\npub use ", "@lang", ";\npub(crate) use a::{self, // no\n    b::{c, ", "@source", " as e}, f::*};\nfn f() { use inner; }\n"], [("import", "'crate::' || source || '::x'"), ("import", "lang"), ("import", "'a'"), ("import", "'a::b::c'"), ("import", "'a::b::' || source"), ("import", "'a::f'")]),
     "go": (["package p\nimport \"", "@source", "\"\nimport (\n  \"fmt\"\n  x \"", "@lang", "/y\"\n)\n"], [("import", "source"), ("import", "'fmt'"), ("import", "lang || '/y'")]),
     "java": (["package p;\nimport a.", "@source", ";\nimport static b.", "@lang", ".*;\nclass X {}\n"], [("import", "'a.' || source"), ("import", "'b.' || lang || '.*'")]),
     "csharp": (["using A.", "@source", ";\nusing static B.", "@lang", ";\nclass X {}\n"], [("import", "'A.' || source"), ("import", "'B.' || lang")]),

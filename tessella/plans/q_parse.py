@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from tessella.functions import scanners as Z
+from tessella.operators import intervals as I
 from tessella.operators import providers as V
-from tessella.plans.base import Catalog, table
+from tessella.plans.base import Catalog, folder, table
 from tessella.plans.q_more import _of
 from tessella.sources import parse
 
@@ -209,3 +211,47 @@ def cached_summaries(spark, sf):
 def unique_without_asking(spark, sf):
     d = table(spark, sf, "documents").select(F.lit("f").alias("file"), _of("d", c("doc_id")).alias("name"), (c("doc_id") % 5).alias("lines"), "doc_id")
     return V.auto_unique(d, d.filter("doc_id % 3 <> 0").select("file", "name")).select("name", "auto")
+
+
+class _Fails:
+    """A provider that does not answer for multiples of a number."""
+
+    def __init__(self, by):
+        self.by = by
+
+    def evaluate(self, row):
+        if row["id"] % self.by == 0:
+            raise ValueError("no answer")
+        return [{"id": row["id"], "value": f"by {self.by}"}]
+
+
+def _routed(spark, sf):
+    """Every fourth row's model begins with a provider that is down; all end with a fallback."""
+    d = table(spark, sf, "documents").select(c("doc_id").alias("id"), F.when(c("doc_id") % 4 == 0, "x-1").otherwise("m-1").alias("model"))
+    router = V.Router({"x-": ["down", "third"], "m-": ["third"]}, ["backup"])
+    return V.evaluate_routed(d, router, {name: partial(_Fails, by) for name, by in (("down", 1), ("third", 3), ("backup", 15))}, "id long, value string", folder(spark, "routed"), attempts=1)
+
+
+@CATALOG.add("provider_routes", """SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN 'by 3' WHEN doc_id % 15 <> 0 THEN 'by 15' END AS value, CASE WHEN doc_id % 3 <> 0 THEN 'third' ELSE 'backup' END AS provider,
+CASE WHEN doc_id % 15 = 0 THEN 'ValueError: no answer' END AS error FROM documents""")
+def provider_routes(spark, sf):
+    return _routed(spark, sf).answers
+
+
+@CATALOG.add("provider_circuits", """WITH d AS (SELECT doc_id % 4 = 0 AS x, doc_id % 3 = 0 AS t, doc_id % 15 = 0 AS b FROM documents)
+SELECT CAST(0 AS INTEGER) AS pass, 'down' AS provider, count(*) AS n_calls, count(*) AS n_failed, true AS open FROM d WHERE x UNION ALL
+SELECT 0, 'third', count(*), count(*) FILTER (t), false FROM d WHERE NOT x UNION ALL SELECT 1, 'third', count(*), count(*) FILTER (t), false FROM d WHERE x UNION ALL
+SELECT 1, 'backup', count(*), count(*) FILTER (b), false FROM d WHERE NOT x AND t UNION ALL SELECT 2, 'backup', count(*), count(*) FILTER (b), false FROM d WHERE x AND t""")
+def provider_circuits(spark, sf):
+    """Calls and failures of each provider by pass, and whose circuit is open."""
+    return _routed(spark, sf).circuits
+
+
+@CATALOG.add("covered_days", """WITH s AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS a, greatest(CAST(l_shipdate AS DATE), CAST(l_receiptdate AS DATE)) AS b FROM lineitem),
+days AS (SELECT DISTINCT l_suppkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+runs AS (SELECT l_suppkey, count(*) AS length, count(*) FILTER (first) AS n_runs FROM (SELECT l_suppkey, lag(day) OVER (PARTITION BY l_suppkey ORDER BY day) IS DISTINCT FROM CAST(day - INTERVAL 1 DAY AS DATE) AS first FROM days) GROUP BY l_suppkey)
+SELECT l_suppkey, n_intervals, length, n_runs FROM runs JOIN (SELECT l_suppkey, count(*) AS n_intervals FROM s GROUP BY l_suppkey) USING (l_suppkey)""")
+def covered_days(spark, sf):
+    """Days on which a supplier has something on its way: the union of intervals of its line items."""
+    day = lambda x: F.unix_date(c(x).cast("date")).alias(x)
+    return I.union_lengths(table(spark, sf, "lineitem").select("l_suppkey", day("l_shipdate"), day("l_receiptdate")), ["l_suppkey"], "l_shipdate", "l_receiptdate")

@@ -7,6 +7,7 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.intervals import union_length
 from tessella.sources import schemas
 
 c = F.col
@@ -118,18 +119,15 @@ def read_markdown(spark: SparkSession, root: str, head_lines: int = 5) -> DataFr
 def coverage(raw: DataFrame) -> DataFrame:
     """Coverage map rows (file, statements array<(start, end, hits)>, functions array<int>, branches array<array<int>>) to totals.
 
-    A line is total if any statement spans it, covered if one of these was hit.
+    A line is total if any statement spans it, covered if one of these was hit. Spans are united, not listed line by line.
     """
-    span = lambda s: F.transform(F.sequence(s["start"], F.greatest(s["start"], s["end"])), lambda n: F.struct(n.alias("n"), (s["hits"] > 0).alias("hit")))
-    lines = F.flatten(F.transform("statements", span))
-    hit = F.array_distinct(F.transform(F.filter(lines, lambda x: x["hit"]), lambda x: x["n"]))
     flat = F.flatten("branches")
     return raw.select(
         "file",
         F.size("statements").alias("statements_total"), F.size(F.filter("statements", lambda s: s["hits"] > 0)).alias("statements_covered"),
         F.size("functions").alias("functions_total"), F.size(F.filter("functions", lambda n: n > 0)).alias("functions_covered"),
         F.size(flat).alias("branches_total"), F.size(F.filter(flat, lambda n: n > 0)).alias("branches_covered"),
-        F.size(F.array_distinct(F.transform(lines, lambda x: x["n"]))).alias("lines_total"), F.size(hit).alias("lines_covered"),
+        union_length(c("statements")).cast("int").alias("lines_total"), union_length(F.filter("statements", lambda s: s["hits"] > 0)).cast("int").alias("lines_covered"),
     )
 
 

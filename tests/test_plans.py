@@ -158,8 +158,59 @@ def test_breaker_and_retry():
     assert V.retried(call, 3, 5, 6, pauses.append) == "ok" and pauses == [5, 6]
     with pytest.raises(OSError):
         V.retried(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=lambda s: None)
-    r = V.Router({"a-": object, "a-b": object}, fallback="z")
-    assert r.pick("a-bc") == "a-b" and r.pick("q") == "z"
-    for _ in range(3):
-        r.breakers["a-b"].record(False)
-    assert r.pick("a-bc") == "z"
+
+
+class _Fails:
+    """A provider that fails on multiples of a number and counts its calls in a folder."""
+
+    def __init__(self, by, folder):
+        self.by, self.folder = by, folder
+
+    def evaluate(self, row):
+        import uuid
+        from pathlib import Path
+
+        Path(self.folder, f"{row['id']}-{uuid.uuid4().hex}").touch()
+        if row["id"] % self.by == 0:
+            raise ValueError("down")
+        return [{"id": row["id"], "value": f"by {self.by}"}]
+
+
+def _providers(tmp_path, **by):
+    from functools import partial
+
+    for name in by:
+        (tmp_path / name).mkdir()
+    return {name: partial(_Fails, n, str(tmp_path / name)) for name, n in by.items()}
+
+
+def test_failed_rows_go_to_the_next_provider(spark, tmp_path):
+    rows = spark.range(60).withColumn("model", F.when(F.col("id") % 4 == 0, "x-1").otherwise("m-1"))
+    router = V.Router({"x": ["dead", "third"], "x-none": [], "m-": ["third"]}, ["backup"])
+    done = V.evaluate_routed(rows, router, _providers(tmp_path, dead=1, third=3, backup=15), "id long, value string", f"file://{tmp_path}/r", attempts=1)
+    got = {r.id: (r.value, r.provider, r.error) for r in done.answers.collect()}
+    assert len(got) == done.answers.count() == 60
+    for i, (value, provider, error) in got.items():
+        want = ("by 3", "third", None) if i % 3 else ("by 15", "backup", None) if i % 15 else (None, "backup", "ValueError: down")
+        assert (value, provider, error) == want
+    circuits = {(r["pass"], r.provider): (r.n_calls, r.n_failed, r.open) for r in done.circuits.collect()}
+    assert circuits == {(0, "dead"): (15, 15, True), (0, "third"): (45, 15, False), (1, "third"): (15, 5, False), (1, "backup"): (15, 3, False), (2, "backup"): (5, 1, False)}
+    assert len(list((tmp_path / "dead").iterdir())) == 15 and len(list((tmp_path / "third").iterdir())) == 60  # each call once
+
+
+def test_an_open_circuit_is_not_asked_again(spark, tmp_path):
+    rows = spark.range(20).withColumn("model", F.when(F.col("id") < 10, "a").otherwise("b"))
+    router = V.Router({"a": ["dead"], "b": ["half", "dead", "last"]})
+    done = V.evaluate_routed(rows, router, _providers(tmp_path, dead=1, half=2, last=100), "id long, value string", f"file://{tmp_path}/r", attempts=1, share=0.9)
+    got = {r.id: (r.provider, r.error is None) for r in done.answers.collect()}
+    assert {got[i] for i in range(10)} == {("dead", False)} and {got[i] for i in range(11, 20, 2)} == {("half", True)} and {got[i] for i in range(10, 20, 2)} == {("last", True)}
+    assert len(list((tmp_path / "dead").iterdir())) == 10
+
+
+def test_a_row_without_a_provider_fails_and_a_task_stops_calling(spark, tmp_path):
+    rows = spark.range(12).withColumn("model", F.lit("q")).coalesce(1)
+    none = V.evaluate_routed(rows, V.Router({"a": ["dead"]}), _providers(tmp_path, dead=1), "id long, value string", f"file://{tmp_path}/r", attempts=1)
+    assert {r.error for r in none.answers.collect()} == {"NoProvider: none is left"} and none.answers.count() == 12
+    router = V.Router({"q": ["broken"]})
+    done = V.evaluate_routed(rows, router, _providers(tmp_path, broken=1), "id long, value string", f"file://{tmp_path}/s", attempts=1, breaker=V.Breaker)
+    assert len(list((tmp_path / "broken").iterdir())) == 3 and done.answers.filter("error like 'CircuitOpen%'").count() == 9

@@ -132,3 +132,29 @@ def test_globs_of_languages(spark):
 def test_reviews_are_written_side_by_side(spark, tmp_path):
     S.write_reviews(spark.createDataFrame([("f", 1)], "file string, n int"), spark.createDataFrame([("f", "# x")], "file string, markdown string"), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r/json").count() == 1 and spark.read.parquet(f"{tmp_path}/r/markdown").first().markdown == "# x"
+
+
+def test_a_batch_of_calls_that_comes_twice_counts_once(spark, tmp_path, monkeypatch):
+    from tessella.sources.versions import Log
+    from tessella.streaming import calls as K
+
+    names = [f.name for f in spark.createDataFrame([], S.schemas.LLM_CALL).schema]
+    call = lambda n: tuple({"costUsd": 0.5, "inputTokens": 10, "outputTokens": n, "success": n % 2 == 0}.get(x) for x in names)
+    for n in range(3):
+        spark.createDataFrame([call(n)] * (n + 1), S.schemas.LLM_CALL).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{n}")
+    read = lambda: spark.readStream.schema(S.schemas.LLM_CALL).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"{tmp_path}/in")
+    root, put, stopped = f"file://{tmp_path}/log", Log.put, []
+
+    def dies(log, entry, after):  # once after the data and before its entry, once after the entry
+        if entry.get("batch") == 1 and len(stopped) < 2:
+            stopped.append(put(log, entry, after) if stopped else 0)
+            raise RuntimeError("killed")
+        return put(log, entry, after)
+
+    monkeypatch.setattr(Log, "put", dies)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            K.record_calls(read(), root, f"{tmp_path}/cp").awaitTermination()
+    K.record_calls(read(), root, f"{tmp_path}/cp").awaitTermination()
+    assert K.recorded_calls(spark, root).count() == 6
+    assert K.call_totals(spark, root) == {"calls": 6, "cost": 3.0, "tokens": 60 + 0 + 2 * 1 + 3 * 2, "failures": 2}
