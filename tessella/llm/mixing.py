@@ -23,7 +23,10 @@ from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 
 #: Newton stops when every source's expected tokens are so near its target (relative), or after so many steps: each
 #: halves the bracket of the multiplier at least.
-TOLERANCE, MOST_STEPS = 1e-10, 100
+TOLERANCE, MOST_STEPS = 1e-8, 100
+#: Sources up to which the multipliers (a row each) stay in the plan as literals and one small job makes a step; with more
+#: of them a step is a job that writes their table. Both take the same steps.
+FEW_SOURCES = 500
 #: Documents of one source and size are laid out along [0, 1) by hash, in cells of about so many rows.
 CELL_ROWS = 500
 #: Exchanges look at one size per 1/PER_OCTAVE of an octave; three documents at a time up to FEW sizes, else two.
@@ -84,6 +87,8 @@ def solve_dual(sizes: DataFrame, sources: DataFrame, cap: int = 3, few: bool = F
     # At `low` a document of one word has a rate of exp(-60), at `high` all have the cap.
     # The first guess is right where all documents are equally long.
     guess = F.least(F.log(F.col("target") / F.col("source_size")), F.lit(math.log(cap)))
+    if few and sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        return _solved_in_plan(sizes, now.withColumn("multiplier", guess), cap)
     now = stash(now.withColumns({"multiplier": guess, "low": -60.0 * F.col("mean"), "high": math.log(cap) * F.col("mean")}), "dual")
     x = F.col("size") / F.col("mean")
     for _ in range(MOST_STEPS):
@@ -111,6 +116,39 @@ def solve_dual(sizes: DataFrame, sources: DataFrame, cap: int = 3, few: bool = F
     return now.select("source", "multiplier", "mean")
 
 
+def _solved_in_plan(sizes: DataFrame, start: DataFrame, cap: int) -> DataFrame:
+    """solve_dual for few sources: each step sends their multipliers out as literals and brings two sums a source back."""
+    kind = start.schema["source"].dataType
+    rows = {r.source: dict(r.asDict(), low=-60.0 * r.mean, high=math.log(cap) * r.mean) for r in start.collect()}  # FEW_SOURCES at most
+
+    def table() -> DataFrame:
+        each = [F.struct(F.lit(s).cast(kind).alias("source"), F.lit(r["multiplier"]).alias("multiplier"), F.lit(r["mean"]).alias("mean")) for s, r in rows.items()]
+        none = F.array().cast(f"array<struct<source:{kind.simpleString()},multiplier:double,mean:double>>")
+        return sizes.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*each) if each else none))
+
+    x = F.col("size") / F.col("mean")
+    rate = _tilted(F.col("multiplier"), x, cap)
+    tokens = F.col("size") * F.col("n") * rate
+    for _ in range(MOST_STEPS if rows else 0):
+        sums = _matched(sizes, table(), "source", few=True).groupBy("source").agg(
+            F.sum(tokens.cast(_EXACT)).cast("double").alias("got"),
+            F.sum(F.when(rate < cap, tokens * x).otherwise(0.0).cast(_EXACT)).cast("double").alias("slope"),
+        )
+        most = 0.0
+        for got in sums.collect():
+            r = rows[got.source]
+            off = got.got - r["target"]
+            r["low"], r["high"] = r["multiplier"] if off < 0 else r["low"], r["multiplier"] if off > 0 else r["high"]
+            miss = abs(off) / r["source_size"]
+            most = max(most, miss)
+            if miss > TOLERANCE:
+                step = r["multiplier"] - off / got.slope if got.slope > 0 else math.nan
+                r["multiplier"] = step if r["low"] <= step <= r["high"] else (r["low"] + r["high"]) / 2
+        if most <= TOLERANCE:
+            break
+    return table()
+
+
 def _rounded(plan: DataFrame) -> DataFrame:
     """plan with `copies`, those that all documents of a source and size get together: systematic along the sizes.
 

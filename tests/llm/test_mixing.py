@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from tessella.llm import mixing
 from tessella.llm.mixing import mix_sources
 
 
@@ -24,7 +25,9 @@ def brute_rates(sizes, target, cap=3.0):
     return [rate(low, s) for s in sizes]
 
 
-def test_rates_are_those_of_the_dual(spark):
+@pytest.mark.parametrize("few", [0, 500])
+def test_rates_are_those_of_the_dual(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     sizes = {"a": [1, 5, 30, 400], "b": [10] * 6, "c": [3, 3, 50, 900, 2], None: [7, 8]}
     rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, every in sizes.items() for n in every)]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
