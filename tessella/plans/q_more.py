@@ -314,11 +314,16 @@ def file_packages(spark, sf):
     return G.file_dependencies(refs, manifest)
 
 
-@CATALOG.add("language_globs", "SELECT unnest(['src/**/*.ts', 'src/**/*.tsx', 'src/**/*.py']) AS glob")
+@CATALOG.add("language_globs", """WITH f AS (SELECT CASE WHEN doc_id % 20 < 9 THEN 'TypeScript' WHEN doc_id % 20 < 16 THEN 'Python' WHEN doc_id % 20 < 18 AND source = 's1' THEN 'Rust' WHEN doc_id % 20 < 18 THEN 'SQL' WHEN doc_id % 400 < 398 THEN 'Go' END AS lang FROM documents),
+n AS (SELECT lang, count(*) AS n FROM f WHERE lang IS NOT NULL GROUP BY lang), k AS (SELECT * FROM n WHERE n >= 0.01 * (SELECT sum(n) FROM n)), s AS (SELECT lang FROM k WHERE round(100 * n / (SELECT sum(n) FROM k)) >= 5),
+x AS (SELECT unnest(['.ts', '.tsx', '.py', '.rs', '.sql', '.go']) AS ext, unnest(['TypeScript', 'TypeScript', 'Python', 'Rust', 'SQL', 'Go']) AS lang)
+SELECT 'src/**/*' || ext AS glob FROM s JOIN x USING (lang)""")
 def language_globs(spark, sf):
-    """Globs of languages with a share of 5 % at least."""
-    shares = table(spark, sf, "region").limit(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("lang"), F.lit(p).alias("pct")) for n, p in (("TypeScript", 60), ("Python", 35), ("Rust", 4))])).alias("s")).select("s.*")
-    return J.scan_globs(shares).filter("glob rlike '[.](ts|tsx|py|rs)$'")
+    """Globs of the languages of a tree whose files are the documents, named by id and source."""
+    twentieth = c("doc_id") % 20
+    ext = F.when(twentieth < 9, ".ts").when(twentieth < 16, ".py").when((twentieth < 18) & (c("source") == "s1"), ".rs").when(twentieth < 18, ".sql").when(c("doc_id") % 400 < 398, ".go").otherwise(".unknown")
+    files = table(spark, sf, "documents").select(J.classify_file(_of("src/d", c("doc_id"), ext)).alias("lang"))
+    return J.scan_globs(J.language_shares(files, "lang"))
 
 
 @CATALOG.add("summarised_cards", "SELECT 'c' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN left(repeat(p_type, 60), 400) END AS summary, CASE WHEN p_partkey % 4 = 0 THEN 'async' ELSE 'utility' END AS behavioral_profile FROM part")

@@ -247,11 +247,11 @@ def provider_circuits(spark, sf):
     return _routed(spark, sf).circuits
 
 
-@CATALOG.add("covered_days", """WITH s AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS a, greatest(CAST(l_shipdate AS DATE), CAST(l_receiptdate AS DATE)) AS b FROM lineitem),
+@CATALOG.add("covered_days", """WITH s AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS a, CAST(CAST(l_shipdate AS DATE) + to_days(CAST(2 * l_linenumber AS INTEGER)) AS DATE) AS b FROM lineitem),
 days AS (SELECT DISTINCT l_suppkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
 runs AS (SELECT l_suppkey, count(*) AS length, count(*) FILTER (first) AS n_runs FROM (SELECT l_suppkey, lag(day) OVER (PARTITION BY l_suppkey ORDER BY day) IS DISTINCT FROM CAST(day - INTERVAL 1 DAY AS DATE) AS first FROM days) GROUP BY l_suppkey)
 SELECT l_suppkey, n_intervals, length, n_runs FROM runs JOIN (SELECT l_suppkey, count(*) AS n_intervals FROM s GROUP BY l_suppkey) USING (l_suppkey)""")
 def covered_days(spark, sf):
-    """Days on which a supplier has something on its way: the union of intervals of its line items."""
-    day = lambda x: F.unix_date(c(x).cast("date")).alias(x)
-    return I.union_lengths(table(spark, sf, "lineitem").select("l_suppkey", day("l_shipdate"), day("l_receiptdate")), ["l_suppkey"], "l_shipdate", "l_receiptdate")
+    """Days on which a supplier has something on its way: a line item is two days on its way per line number."""
+    day = F.unix_date(c("l_shipdate").cast("date"))
+    return I.union_lengths(table(spark, sf, "lineitem").select("l_suppkey", day.alias("a"), (day + 2 * c("l_linenumber")).alias("b")), ["l_suppkey"], "a", "b")

@@ -12,7 +12,7 @@ from tessella.operators import render as D
 from tessella.operators import report, rules
 from tessella.operators import scan as S
 from tessella.plans.base import Catalog, table
-from tessella.plans.q_review import _ANY, _MERGED, _R, reviews
+from tessella.plans.q_review import _ANY, _FINDING, _MERGED, _R, reviews
 
 CATALOG = Catalog()
 c = F.col
@@ -169,12 +169,27 @@ def _gaps(spark, sf):
     return P.domain_gaps(fn, sec, 0.3, 0.6)
 
 
-@CATALOG.add("domain_gaps")
+_GAPS = """WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+m AS (SELECT *, 'm' || label AS module, count(*) OVER (PARTITION BY label) AS n FROM e WHERE label < 5),
+fn AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY domain) AS size FROM (SELECT id, v, CASE WHEN n > 50 THEN module || '/f' || (id % 3) ELSE module END AS domain FROM m)) WHERE size >= 2),
+x AS (SELECT domain, pos, avg(x) AS m FROM (SELECT domain, unnest(v) AS x, unnest(range(len(v))) AS pos FROM fn) GROUP BY ALL),
+centre AS (SELECT domain, list(m ORDER BY pos) AS c FROM x GROUP BY domain),
+near AS (SELECT domain, 'p' || e.label AS page, round(list_cosine_similarity(c, v), 6) AS score, row_number() OVER (PARTITION BY domain ORDER BY round(list_cosine_similarity(c, v), 6) DESC, id) AS n FROM centre JOIN e ON round(list_cosine_similarity(c, v), 6) >= 0),
+mean AS (SELECT domain, page, avg(score) AS mean FROM near WHERE n <= 5 GROUP BY ALL),
+best AS (SELECT domain, arg_max(page, (mean, page)) AS page, max(mean) AS similarity FROM mean GROUP BY domain),
+domains AS (SELECT domain, count(*) AS n_functions, any_value(page) AS page, coalesce(any_value(similarity), 0) AS similarity FROM fn LEFT JOIN best USING (domain) GROUP BY domain),
+classed AS (SELECT *, CASE WHEN similarity > 0.6 THEN 'COVERED' WHEN similarity > 0.3 THEN 'LOW_RELEVANCE' ELSE 'NOT_FOUND' END AS class FROM domains)"""
+
+
+@CATALOG.add("domain_gaps", _GAPS + "SELECT domain, n_functions, page, round(similarity, 6) AS similarity, class FROM classed")
 def domain_gaps(spark, sf):
     return _gaps(spark, sf)["domains"].withColumn("similarity", F.round("similarity", 6))
 
 
-@CATALOG.add("function_gaps")
+@CATALOG.add("function_gaps", _GAPS + """, hits AS (SELECT f.id, 'p' || e.label AS page, round(list_inner_product(f.v, e.v), 6) AS score, row_number() OVER (PARTITION BY f.id ORDER BY round(list_inner_product(f.v, e.v), 6) DESC, e.id) AS n FROM fn f JOIN e ON list_inner_product(f.v, e.v) >= 0),
+mine AS (SELECT fn.id, fn.domain, k.page FROM fn LEFT JOIN classed k ON k.domain = fn.domain AND class <> 'NOT_FOUND')
+SELECT mine.id, domain, mine.page, CASE WHEN coalesce(max(score), 0) < 0.5 THEN 'missing' WHEN max(score) < 0.75 THEN 'low_relevance' ELSE 'covered' END AS state
+FROM mine LEFT JOIN hits ON hits.id = mine.id AND hits.page = mine.page AND n <= 3 GROUP BY ALL""")
 def function_gaps(spark, sf):
     return _gaps(spark, sf)["functions"].select("id", "domain", "page", "state")
 
@@ -195,9 +210,13 @@ def report_index(spark, sf):
     return text.select(F.sha2("t", 256).alias("files_hash"))
 
 
-@CATALOG.add("report_shards", "SELECT 1 AS n WHERE false UNION ALL SELECT 6")
+@CATALOG.add("report_shards", f"WITH {_R}, h AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{a}' AS axis, file FROM r WHERE {cond}" for a, cond in (_FINDING | {"utility": "utility IN ('DEAD','LOW_VALUE')"}).items()) + """)
+SELECT axis, CAST(count(*) AS BIGINT) AS n_parts, CAST(ceil(count(*) / 10.0) AS BIGINT) AS n_shards, sha256(string_agg(file, ',' ORDER BY file)) AS files_hash FROM h GROUP BY axis""")
 def report_shards(spark, sf):
-    return D.axis_shards(reviews(spark, sf)).select(F.substring_index("path", "/", 1).alias("axis")).distinct().agg(F.count("*").cast("int").alias("n"))
+    """Pages of the report by axis: how many there are, and the files that have a part in them."""
+    part = F.explode(F.regexp_extract_all("markdown", F.lit("(?m)^## `([^`]+)`$"), 1)).alias("file")
+    pages = D.axis_shards(reviews(spark, sf)).select(F.substring_index("path", "/", 1).alias("axis"), "path", part)
+    return pages.groupBy("axis").agg(F.count("*").alias("n_parts"), F.count_distinct("path").alias("n_shards"), F.sha2(F.array_join(F.array_sort(F.collect_list("file")), ","), 256).alias("files_hash"))
 
 
 @CATALOG.add("report_message", f"WITH {_R}, {_F}, o AS (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'CRITICAL' THEN 0 WHEN 'NEEDS_REFACTOR' THEN 1 ELSE 2 END, n_findings DESC, max_confidence DESC, file) AS i FROM f) SELECT string_agg(file, ', ' ORDER BY i) AS worst FROM o WHERE i <= 3")
