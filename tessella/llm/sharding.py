@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessella.llm.store import BROADCAST_ROWS, discard, scoped, stash
 
 CELL_ROWS = 20_000
+#: Rounds of propagation at most; each writes the rows with links that are not settled. Results keep the law whenever they end.
+MOST_ROUNDS = 40
 
 
 def _unit(*of) -> Column:
@@ -38,7 +40,7 @@ def _propagate(state: DataFrame, shards: int, cap: int, turn: int, base: list[in
     """One round over rows with links, and how many of them wanted to move; base is what rows of higher rank fill of each shard."""
     load = [a + b for a, b in zip(base, _loads(state, shards), strict=True)]
     votes = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
-    ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by"))  # one entry a shard at most
+    ranked = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.xxhash64("g", "shard").alias("tie"), "shard"))).alias("by"))  # one entry a shard at most; ties fall evenly
     elected = ranked.select(F.col("g").alias("g_"), F.transform("by", lambda x: x["shard"]).alias("by"), (-F.get("by", F.lit(0))["n"]).alias("top"))
     wanted = F.greatest(F.ceil(F.col("rows") / cap), F.lit(1)).cast("int")
     asked = state.join(F.broadcast(elected) if few else elected, F.col("g") == F.col("g_")).withColumn("to", F.slice("by", 1, wanted)).drop("by")
@@ -103,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     turn = 0
     for part in (state.filter(F.col("rows") * 2 > cap), state.filter(F.col("rows") * 2 <= cap)):
         before = part.count() + 1
-        while before > 1:
+        while before > 1 and turn < MOST_ROUNDS:
             moved, wanted = _propagate(part, shards, cap, turn, base, few)
             turn += 1
             if not 0 < wanted < before:  # settled: none wants to move, or no fewer than before
