@@ -108,7 +108,7 @@ def _pieces(texts: DataFrame, most: int, first_piece: int, name: str) -> DataFra
     many = lambda t: pa.list_(pa.field("element", t))
     schema = pa.schema([("piece", pa.int64()), ("doc_ids", many(to_arrow_type(kind))), ("n_words", many(pa.int32())), ("n_features", many(pa.int32())), ("features", many(pa.int32())), ("dict", many(pa.string())), ("counts", many(pa.int32())), ("tuples", many(many(pa.int32()))), ("tuple_counts", many(pa.int32()))])
     ddl = f"piece long, doc_ids array<{kind.simpleString()}>, n_words array<int>, n_features array<int>, features array<int>, dict array<string>, counts array<int>, tuples array<array<int>>, tuple_counts array<int>"
-    return stash(texts.mapInArrow(_pack(most, first_piece, schema), ddl), name)
+    return stash(texts.mapInArrow(_pack(most, first_piece, schema), ddl), name, "zstd")  # numbers of words have many zero bytes
 
 
 def _side(df: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once and read it back, so that later steps survive lost executors without recomputing it.
 
     The shuffle files behind it are removed once it is written.
@@ -80,7 +80,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
