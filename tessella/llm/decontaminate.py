@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import kernel as K
+from tessella.llm.flags import flag
 from tessella.llm.store import BROADCAST_ROWS, scope, stash
 
 GRAM, WINDOW = 5, 6
@@ -247,6 +249,28 @@ def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("key", n.alias("n_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """Items (i, t) with a text, and their bytes."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
+    return items, items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of docs in which find_leaks finds no window of an item, whole and as they are."""
+    spark = docs.sparkSession
+    items, size = _items(benchmark, item_col, item_text_col)
+    text = F.col(text_col)
+    if size > most:
+        with scope(spark) as tables:
+            found = find_leaks(docs.select(F.xxhash64(text).alias("uid"), text.alias("text")), benchmark, "uid", "text", item_col, item_text_col, most)
+            leaks = tables.result(found.filter("size(spans) > 0").select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+        side = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+        return docs.join(side, F.xxhash64(text) == F.col("_leak"), "left_anti")
+    got = items.collect()  # `most` bytes at most
+    index = spark.sparkContext.broadcast(Index([r.i for r in got], [r.t for r in got]))
+    return docs.filter(~flag(_scan(index), lambda found: pc.greater(pc.list_value_length(found.column("spans")), 0), text, "key"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, spans, items): merged hit spans in words, and ids of items found.
 
@@ -258,8 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
+    items, size = _items(benchmark, item_col, item_text_col)
     if size > most:
         found = _shuffled(out.withColumn("uid", F.xxhash64("text")), items)
     else:

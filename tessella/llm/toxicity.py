@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import kernel as K
+from tessella.llm.flags import flag
 
 BITS = 18
 FOLDS = 3
@@ -206,5 +207,10 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     return out.select("doc_id", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(chain.names)], "toxic")
 
 
+def is_toxic(spark: SparkSession, chain: Chain, text: Column) -> Column:
+    """The last category's decision about a text, as score_toxicity takes it."""
+    return flag(_score(spark.sparkContext.broadcast(chain)), lambda found: found.column("toxic"), text, "doc_id")
+
+
 #: Chain order over the columns of `labels`: junk first, as its words explain part of what looks odd.
 CATEGORIES = {"junk": "quality = 0", "toxic": "toxic = 1"}

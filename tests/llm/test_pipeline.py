@@ -124,7 +124,7 @@ def test_queries_match_their_sql(spark):
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     queries, oracles = catalog.queries(), catalog.oracle_sql()
-    assert {n.split("_")[0] for n in queries if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 11)} and set(oracles) <= set(queries)
+    assert {n.split("_")[0] for n in queries if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)} and set(oracles) <= set(queries)
     for name, f in queries.items():
         df = f(spark, DATA)
         columns = sorted(df.columns)
