@@ -12,23 +12,18 @@ from pyspark.sql import functions as F
 
 from tessella.llm.attach import attach
 from tessella.llm.common import table
-from tessella.llm.decontaminate import find_leaks
+from tessella.llm.decontaminate import drop_leaks
 from tessella.llm.jaccard import jaccard_classes
 from tessella.llm.mixing import mix_sources
 from tessella.llm.sharding import shard_documents
 from tessella.llm.store import BROADCAST_ROWS, scope
-from tessella.llm.toxicity import CATEGORIES, fit_toxicity, score_toxicity
-
-
-def _carried(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column beside their text, for operators that pass an id through."""
-    return docs.select(F.struct("*").alias("row"), F.col("text"))
+from tessella.llm.toxicity import CATEGORIES, fit_toxicity, is_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on labelled documents, drop every document that the chain rejects. Null and empty texts stay."""
     chain = fit_toxicity(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return score_toxicity(_carried(docs), chain, id_col="row").filter("not toxic").select("doc_id.*")
+    return docs.filter(~is_toxic(spark, chain, F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop every document in which a window of a benchmark item occurs."""
-    found = find_leaks(_carried(docs), table(spark, sf_dir, "benchmark"), id_col="row")
-    return found.filter("size(spans) = 0").select("doc_id.*")
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
