@@ -213,7 +213,7 @@ def _terms(source: Source, at: int) -> tuple[list, int, bool, int]:
         else:
             break
         join = _JOINS.match(text, at)
-        if not join or not out:
+        if not join or not (out or quoted):  # an empty string is a part like any other
             break
         at = join.end()
     return out, at, quoted, last
