@@ -144,6 +144,7 @@ def train_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str]
         order = np.argsort(-held, kind="stable")
         hit = np.cumsum(y[order])
         f1 = 2 * hit / (np.arange(1, n + 1) + y.sum())
+        f1[:-1][held[order[1:]] == held[order[:-1]]] = 0.0  # rows with equal predictions fall on one side together
         best = int(np.argmax(f1))
         below = held[order[best + 1]] if best + 1 < n else 0.0
         chain.cuts.append(float((held[order[best]] + below) / 2))
