@@ -303,11 +303,15 @@ def centroid(rows: DataFrame, key: list[str], vector: str) -> DataFrame:
 
 def confusion(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, tp, fp, fn, tn, precision, recall, f1) of pairs (score, is_dup); undefined ratios are 0."""
-    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    said = F.col("score") >= F.col("threshold")
-    # One pass: every pair is compared with each threshold, counted before the shuffle.
-    out = pairs.select("score", "is_dup", grid).groupBy("threshold").agg(
-        F.count_if(said & F.col("is_dup")).alias("tp"), F.count_if(said & ~F.col("is_dup")).alias("fp"), F.count_if(~said & F.col("is_dup")).alias("fn"), F.count_if(~said & ~F.col("is_dup")).alias("tn")
+    # One pass: a pair is counted by how many thresholds it reaches, and only these counts meet each threshold.
+    steps = sorted(set(thresholds))
+    reached = sum(((F.col("score") >= t).cast("int") for t in steps), F.lit(0))
+    counts = pairs.groupBy(reached.alias("reached"), "is_dup").agg(F.count("*").alias("n"))
+    grid = F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(i).alias("i")) for i, t in enumerate(steps)]))
+    said = F.col("reached") > F.col("i")
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("long"))
+    out = counts.select("reached", "is_dup", "n", grid).groupBy("threshold").agg(
+        of(said & F.col("is_dup")).alias("tp"), of(said & ~F.col("is_dup")).alias("fp"), of(~said & F.col("is_dup")).alias("fn"), of(~said & ~F.col("is_dup")).alias("tn")
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
