@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessella.llm import kernel as K
-from tessella.llm.decontaminate import Index, find_leaks
+from tessella.llm.decontaminate import Index, drop_leaks, find_leaks
 from tests.llm.test_operators import leak_words, order, prose
 
 
@@ -70,3 +70,12 @@ def test_equal_words_take_linear_time_and_memory():
     tracemalloc.stop()
     assert found[0][1] == {0, 1} and np.sum([e - s for s, e in found[0][0]]) >= 59_990
     assert took < 2 and peak < 100 << 20
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_without_leaks_stay_whole(spark, most):
+    docs, bench, table, items = tables(spark)
+    hits = {t: plain([(0, t)], bench)[0][2] for _, t in docs}
+    want = order((d, t, "x") for d, t in docs if not hits[t])
+    assert order(tuple(r) for r in drop_leaks(table, items, most=most).collect()) == want
+    assert drop_leaks(table.limit(0), items, most=most).count() == 0
