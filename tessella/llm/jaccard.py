@@ -357,7 +357,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty texts, or texts without words, have n_shingles 0, link with nothing and are their own component (class
     and component are null).
-    Null ids take part with their text but are never a component_id; a component of null ids alone has null. Repeated
+    Ids are longs (other types must be mapped to longs before). Null ids take part with their text but are never a
+    component_id; a component of null ids alone has null. Repeated
     rows stay repeated. Only the two named columns are read, so other columns may have any name. Empty in, empty out.
     """
     spark = docs.sparkSession

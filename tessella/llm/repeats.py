@@ -241,7 +241,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that stand in another document.
 
     Rows equal in id and text count as one document, so they do not repeat each other. Null or empty texts and texts of
-    fewer than LEAST words have no spans. Null ids are compared like others but are not listed as partners. Only the two
+    fewer than LEAST words have no spans. Ids are longs (other types are cast). Null ids are compared like others but are not listed as partners. Only the two
     named columns are read. No rows in, no rows out.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
