@@ -173,7 +173,7 @@ def test_queries_start_in_an_ordinary_session_and_leave_no_table(tmp_path):
     names = [q for q in e.queries() if re.match(r"op\d", q) or q == "pipeline"]
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
     got = subprocess.run([sys.executable, "-c", ORDINARY.format(repo=repo, names=names, data=DATA)], env=env, capture_output=True, text=True, timeout=900)
-    assert got.stdout.count("ROWS") == len(names) == 11, got.stderr[-3000:]
+    assert got.stdout.count("ROWS") == len(names) == 14, got.stderr[-3000:]
     left = next(x for x in got.stdout.splitlines() if x.startswith("LEFT")).split()
     assert int(left[1]) <= len(names)  # one result each, while the session lives
     assert not os.path.exists(left[2])
