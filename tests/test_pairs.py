@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import similarity as S
 
@@ -85,3 +86,27 @@ def test_empty_tables(spark):
     one = corpus(spark, unit(3))
     assert S.all_pairs(none, 0.1).count() == 0 and S.knn(none, one).count() == 0 and S.knn(one, none).count() == 0
     assert S.centroid(none, ["id"], "v").count() == 0 and S.pairs_scored(none, 0.5).first().n_pairs == 0
+
+
+@pytest.mark.parametrize("unknown", [False, True])
+def test_pairs_are_counted_where_they_are_scored(spark, small, unknown):
+    m = unit(120, groups=9)
+    m[3] = m[8]
+    m[50] *= 3  # its scores leave [-1, 1]
+    label = [None if unknown and i % 11 == 0 else f"k{i % 4}" for i in range(120)]
+    rows = spark.createDataFrame([(i, [float(x) for x in m[i]], label[i]) for i in range(120)], "id long, v array<double>, label string").repartition(3)
+    s = np.round(m @ m.T, 6)
+    want = [(s[i, j], None if label[i] is None or label[j] is None else label[i] == label[j]) for i in range(120) for j in range(i + 1, 120)]
+    for r in S.confusion_of_all(rows, [-0.2, 0.1, 0.5]).collect():
+        n = lambda said, dup, t=r.threshold: sum((x >= t) == said and d is dup for x, d in want)
+        assert (r.tp, r.fp, r.fn, r.tn) == (n(True, True), n(True, False), n(False, True), n(False, False))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_meet_in_many_tasks(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 24 * 8 * 10)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 16 << 20 if few else 0)
+    monkeypatch.setattr(S, "LANE_BYTES", 24 * 8 * 50)
+    rows = corpus(spark, unit(200))
+    assert S.cells(rows, rows, half=True).rdd.getNumPartitions() == (3 if few else 16)
+    assert S.pair_counts(rows.withColumn("label", F.lit(1)), thresholds=[0.5]).agg(F.sum("n")).first()[0] == 19900
