@@ -409,6 +409,12 @@ def score_histogram(pairs: DataFrame, width: float = 0.05) -> DataFrame:
     return pairs.groupBy(F.round(F.floor(F.col("score") / width) * width, 2).alias("bucket"), "is_dup").agg(F.count("*").alias("n"))
 
 
+def score_histogram_of_all(corpus: DataFrame, width: float = 0.05, label: str = "label") -> DataFrame:
+    """`score_histogram` of all pairs of rows (id, v, label)."""
+    counts = pair_counts(corpus, label, width=width)
+    return counts.groupBy(F.round(F.col("step") * width, 2).alias("bucket"), "is_dup").agg(F.sum("n").alias("n"))
+
+
 def separation(pairs: DataFrame) -> DataFrame:
     """One row of minima, means and maxima for duplicates and others, and how many others reach the least duplicate."""
     of = lambda f, flag: f(F.when(F.col("is_dup") == flag, F.col("score")))

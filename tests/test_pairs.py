@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,8 @@ def test_pairs_are_counted_where_they_are_scored(spark, small, unknown):
     for r in S.confusion_of_all(rows, [-0.2, 0.1, 0.5]).collect():
         n = lambda said, dup, t=r.threshold: sum((x >= t) == said and d is dup for x, d in want)
         assert (r.tp, r.fp, r.fn, r.tn) == (n(True, True), n(True, False), n(False, True), n(False, False))
+    got = {(r.bucket, r.is_dup): r.n for r in S.score_histogram_of_all(rows).collect()}
+    assert got == Counter((round(np.floor(x / 0.05) * 0.05, 2), dup) for x, dup in want)
 
 
 @pytest.mark.parametrize("few", [True, False])
