@@ -421,3 +421,13 @@ def separation(pairs: DataFrame) -> DataFrame:
     stats = pairs.agg(*[F.round(of(f, flag), 5).alias(f"{n}_{'dup' if flag else 'other'}") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max)) for flag in (True, False)])
     over = pairs.filter("not is_dup").join(F.broadcast(pairs.filter("is_dup").agg(F.min("score").alias("least"))), F.col("score") >= F.col("least")).agg(F.count("*").alias("n_overlap"))
     return stats.join(F.broadcast(over))
+
+
+def separation_of_all(corpus: DataFrame, label: str = "label") -> DataFrame:
+    """`separation` of all pairs of rows (id, v, label): scores are made twice, as the least duplicate must be known first."""
+    found = pair_counts(corpus, label, stats=True).filter("is_dup is not null")
+    all_ = {r.is_dup: r for r in found.collect()}  # two rows
+    of = lambda flag, f: f(all_[flag]) if flag in all_ else None
+    values = {f"{n}_{'dup' if flag else 'other'}": of(flag, f) for n, f in (("min", lambda r: r.least), ("avg", lambda r: r.total / r.n), ("max", lambda r: r.most)) for flag in (True, False)}
+    over = pair_counts(corpus, label, thresholds=[values["min_dup"]]).filter("not is_dup and step = 1") if True in all_ else found.filter("false")
+    return over.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_overlap")).select(*[F.round(F.lit(v).cast("double"), 5).alias(k) for k, v in values.items()], "n_overlap")

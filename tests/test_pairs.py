@@ -104,6 +104,11 @@ def test_pairs_are_counted_where_they_are_scored(spark, small, unknown):
         assert (r.tp, r.fp, r.fn, r.tn) == (n(True, True), n(True, False), n(False, True), n(False, False))
     got = {(r.bucket, r.is_dup): r.n for r in S.score_histogram_of_all(rows).collect()}
     assert got == Counter((round(np.floor(x / 0.05) * 0.05, 2), dup) for x, dup in want)
+    dups, others = ([x for x, d in want if d is flag] for flag in (True, False))
+    r = S.separation_of_all(rows).first()
+    assert (r.min_dup, r.max_dup, r.min_other, r.max_other) == pytest.approx((min(dups), max(dups), min(others), max(others)), abs=1e-5)
+    assert (r.avg_dup, r.avg_other) == pytest.approx((np.mean(dups), np.mean(others)), abs=1e-5) and r.n_overlap == sum(x >= min(dups) for x in others)
+    assert S.separation_of_all(rows.filter("id = 1")).first().n_overlap == 0
 
 
 @pytest.mark.parametrize("few", [True, False])
