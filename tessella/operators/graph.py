@@ -17,6 +17,10 @@ from tessella.functions.text import strip_code
 
 c = F.col
 
+UTILITY = ["file", "name", "value", "confidence", "detail"]
+#: Files up to which they are broadcast, rows of a product that a task makes, and its tasks at most.
+BROADCAST_ROWS, ROWS_A_TASK, TASKS = 1_000_000, 5_000_000, 4096
+
 # Statement patterns per language and languages without imports.
 IMPORT_FORMS = [  # kind, type only, pattern with (names, specifier) or (specifier)
     ("named", False, r"import\s+(?:\w+\s*,\s*)?\{([^}]*)\}\s*from\s*['\"]([^'\"]+)['\"]"),
@@ -122,16 +126,40 @@ def orphans(exports: DataFrame, edge: DataFrame) -> DataFrame:
     return exports.join(edge.select(c("source_file").alias("file"), c("symbol").alias("name")), ["file", "name"], "left_anti")
 
 
-def utility(exports: DataFrame, used: DataFrame, hops: DataFrame) -> DataFrame:
-    """(file, name, value, confidence, detail): runtime, then type-only, then transitive use, else DEAD."""
-    u = used.select(c("source_file").alias("file"), c("symbol").alias("name"), "importers", "type_importers")
-    t = hops.groupBy("file", c("symbol").alias("name")).agg(F.array_sort(F.collect_set("referencer")).alias("via"))
-    out = exports.join(u, ["file", "name"], "left").join(t, ["file", "name"], "left")
+def _verdict(out: DataFrame) -> DataFrame:
     by = lambda p, a: F.concat(F.lit(p), F.size(a), F.when(F.size(a) > 1, " files: ").otherwise(" file: "), F.array_join(a, ", "))
     some = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
     detail = F.when(some("importers"), by("Runtime-imported by ", "importers")).when(some("type_importers"), by("Type-only imported by ", "type_importers")).when(some("via"), F.concat(F.lit("Transitively used by "), F.array_join("via", ", "))).otherwise("Exported but imported by 0 files")
     dead = ~some("importers") & ~some("type_importers") & ~some("via")
-    return out.select("file", "name", F.when(dead, "DEAD").otherwise("USED").alias("value"), F.lit(95).alias("confidence"), detail.alias("detail"))
+    return out.withColumns({"value": F.when(dead, "DEAD").otherwise("USED"), "confidence": F.lit(95), "detail": detail})
+
+
+def utility(exports: DataFrame, used: DataFrame, hops: DataFrame) -> DataFrame:
+    """(file, name, value, confidence, detail): runtime, then type-only, then transitive use, else DEAD."""
+    u = used.select(c("source_file").alias("file"), c("symbol").alias("name"), "importers", "type_importers")
+    t = hops.groupBy("file", c("symbol").alias("name")).agg(F.array_sort(F.collect_set("referencer")).alias("via"))
+    return _verdict(exports.join(u, ["file", "name"], "left").join(t, ["file", "name"], "left")).select(*UTILITY)
+
+
+def utility_of_groups(names: DataFrame, files: DataFrame, used: DataFrame, hops: DataFrame) -> DataFrame:
+    """`utility` where every file (file, module) of a module exports all of its names (name, module); hops: (symbol, referencer).
+
+    The product of names and files is what comes out, but it is not shuffled: names meet their uses, a name with the files
+    that use it goes to the files of its module, and only the exports that no one imports are made there.
+    """
+    u = used.select(c("source_file").alias("file"), c("symbol").alias("name"), "importers", "type_importers")
+    via = hops.groupBy(c("symbol").alias("name")).agg(F.array_sort(F.collect_set("referencer")).alias("via"))
+    each = names.join(via, "name", "left")
+    count = lambda rows, n: rows.groupBy("module").agg(F.count("*").alias(n))
+    total = count(names, "n").join(count(files, "f"), "module").agg(F.coalesce(F.sum(c("n") * c("f")), F.lit(0)), F.coalesce(F.sum("f"), F.lit(0))).first()
+    near = F.broadcast(files) if total[1] <= BROADCAST_ROWS else files
+    hit = _verdict(each.join(u, "name").join(near, ["module", "file"]))
+    taken = u.groupBy("name").agg(F.collect_list("file").alias("taken"))
+    none = F.lit(None).cast("array<string>")
+    rest = _verdict(each.join(taken, "name", "left").withColumns({"importers": none, "type_importers": none}))
+    rest = rest.select("name", "module", "taken", "value", "confidence", "detail").repartition(min(TASKS, 1 + total[0] // ROWS_A_TASK), "name")
+    rest = rest.join(near, "module").filter(~F.coalesce(F.array_contains("taken", c("file")), F.lit(False)))
+    return hit.select(*UTILITY).unionAll(rest.select(*UTILITY))
 
 
 def rust_modules(paths: DataFrame, files: DataFrame) -> DataFrame:

@@ -52,6 +52,20 @@ def test_utility_cascade(files, edges):
     assert {(r.file, r.name) for r in G.orphans(exports, edges).collect()} == {("src/a.ts", "main"), ("src/b.ts", "helper"), ("src/b.ts", "lonely")}
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_utility_of_groups_is_that_of_the_product(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(G, "ROWS_A_TASK", 10)
+    names = spark.createDataFrame([(f"n{i}", i % 3) for i in range(12)] + [("n4", 1), (None, 2), ("lost", 9)], "name string, module int")
+    files = spark.createDataFrame([(f"f{i}", i % 3) for i in range(9)] + [("f2", 2)], "file string, module int")
+    used = G.usage(spark.createDataFrame([(f"n{i % 12}", f"f{i % 7}", f"o{i}", i % 2 == 0) for i in range(60)], "symbol string, source_file string, importer string, type_only boolean"))
+    hops = spark.createDataFrame([("n3", "b"), ("n3", "a"), ("n4", "b")], "symbol string, referencer string")
+    exports = names.join(files, "module")
+    want = G.utility(exports.select("file", "name"), used, exports.distinct().join(hops, F.col("name") == F.col("symbol")).select("file", "symbol", "referencer"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, G.utility_of_groups(names, files, used, hops).collect())) == sorted(map(key, want.collect())) != []
+
+
 def test_a_runtime_import_is_not_type_only_as_well(spark):
     e = spark.createDataFrame([("s", "f", "i", True), ("s", "f", "i", False), ("s", "f", "j", True)], "symbol string, source_file string, importer string, type_only boolean")
     r = G.usage(e).first()
