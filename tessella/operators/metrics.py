@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 c = F.col
 
+#: Prices up to which they are broadcast.
+PRICE_ROWS = 100_000
+
 # Fixed values of the estimates.
 SYSTEM_TOKENS, FILE_TOKENS, OUT_BASE, OUT_PER_SYMBOL = 600, 50, 1500, 400
 EFFICIENCY = 0.75
@@ -51,17 +54,25 @@ def calibrate(runs: DataFrame, last: int = 20) -> DataFrame:
 def price(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with `cost` in USD: the price of the model, else of its id without provider or date; unpriced is 0.
 
-    prices: (model, input, output, cache_read, cache_creation) per million tokens; cache rates default to input. The
-    three ranked candidates of a model are joined once per distinct model.
+    prices: (model, input, output, cache_read, cache_creation) per million tokens; cache rates default to input. Up to
+    PRICE_ROWS prices are broadcast and calls stay where they are, as all calls may name a few models; of more, the three
+    ranked candidates of a model are joined once per distinct model.
     """
     bare = F.regexp_replace("model", r"^.*/", "")
     tries = F.array(c("model"), bare, F.regexp_replace(bare, r"-\d{8}$", ""))
-    ranked = calls.select("model").distinct().select("model", F.posexplode(tries).alias("rank", "candidate"))
     rate = F.struct("input", "output", F.coalesce("cache_read", "input").alias("cache_read"), F.coalesce("cache_creation", "input").alias("cache_creation"))
-    p = prices.select(c("model").alias("candidate"), rate.alias("rate"))
-    best = ranked.join(p, "candidate").groupBy("model").agg(F.min_by("rate", "rank").alias("rate"))
+    p = prices.groupBy(c("model").alias("candidate")).agg(F.min(rate).alias("rate"))
+    if prices.count() <= PRICE_ROWS:
+        out = calls
+        for i in range(3):
+            out = out.join(F.broadcast(p.select(c("candidate").alias(f"candidate{i}"), c("rate").alias(f"rate{i}"))), tries[i] == c(f"candidate{i}"), "left")
+        out = out.withColumn("rate", F.coalesce("rate0", "rate1", "rate2")).drop(*[f"{x}{i}" for x in ("candidate", "rate") for i in range(3)])
+    else:
+        ranked = calls.select("model").distinct().select("model", F.posexplode(tries).alias("rank", "candidate"))
+        best = ranked.join(p, "candidate").groupBy("model").agg(F.min_by("rate", "rank").alias("rate"))
+        out = calls.join(best, "model", "left")
     cost = sum((F.coalesce(c(n), F.lit(0)) * c(f"rate.{r}") for n, r in (("in_tokens", "input"), ("out_tokens", "output"), ("read_tokens", "cache_read"), ("creation_tokens", "cache_creation"))), F.lit(0.0)) / 1e6
-    return calls.join(best, "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("rate")
+    return out.withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("rate")
 
 
 def estimate_tokens(files: DataFrame) -> DataFrame:

@@ -51,3 +51,14 @@ def test_small_ones(spark, tmp_path):
     lines = spark.createDataFrame([("f", 2, "two"), ("f", 1, "one"), ("g", 1, "x")], "file string, at int, line string")
     S.write_transcripts(lines, f"file://{tmp_path}/t")
     assert [r.value for r in spark.read.text(f"{tmp_path}/t/file=f").collect()] == ["one", "two"]
+
+
+def test_prices_come_to_calls(spark, monkeypatch):
+    prices = spark.createDataFrame([("m", 3.0, 15.0, 0.3, None), ("p/n", 1.0, 5.0, None, None), ("n", 2.0, 5.0, None, None)], "model string, input double, output double, cache_read double, cache_creation double")
+    calls = spark.createDataFrame([(x, 1_000_000, 0, 1_000_000, 0) for x in ["m", "q/m-20250101", "p/n", "n", "z", None]], "model string, in_tokens long, out_tokens long, read_tokens long, creation_tokens long").repartition(7)
+    want = {"m": 3.3, "q/m-20250101": 3.3, "p/n": 2.0, "n": 4.0, "z": 0.0, None: 0.0}
+    few = M.price(calls, prices)
+    assert {r.model: round(r.cost, 6) for r in few.collect()} == want and few.count() == 6
+    assert few.columns == [*calls.columns, "cost"] and few.rdd.getNumPartitions() == 7
+    monkeypatch.setattr(M, "PRICE_ROWS", 0)
+    assert {r.model: round(r.cost, 6) for r in M.price(calls, prices).collect()} == want
