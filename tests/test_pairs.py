@@ -119,3 +119,12 @@ def test_blocks_meet_in_many_tasks(spark, monkeypatch, few):
     rows = corpus(spark, unit(200))
     assert S.cells(rows, rows, half=True).rdd.getNumPartitions() == (3 if few else 16)
     assert S.pair_counts(rows.withColumn("label", F.lit(1)), thresholds=[0.5]).agg(F.sum("n")).first()[0] == 19900
+
+
+def test_pairs_of_a_label_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "LANE_ROWS", 10)
+    rows = spark.createDataFrame([(i, str(i), None if i % 9 == 0 else 1) for i in range(90)], "id long, i string, label int")
+    got = S.labelled_pairs(rows)
+    ids = [i for i in range(90) if i % 9]
+    assert sorted((r.id, r.jd) for r in got.collect()) == [(a, b) for a in ids for b in ids if a < b]
+    assert len(set(got.select(F.spark_partition_id()).toPandas().iloc[:, 0])) > 4
