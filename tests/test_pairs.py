@@ -128,3 +128,8 @@ def test_pairs_of_a_label_are_made_in_many_tasks(spark, monkeypatch):
     ids = [i for i in range(90) if i % 9]
     assert sorted((r.id, r.jd) for r in got.collect()) == [(a, b) for a in ids for b in ids if a < b]
     assert len(set(got.select(F.spark_partition_id()).toPandas().iloc[:, 0])) > 4
+
+
+def test_few_queries_travel_in_full_blocks(spark):
+    rows = corpus(spark, unit(160)).repartition(8)
+    assert S.cells(rows.filter("id % 2 = 0"), rows).select("q_ids").distinct().count() == 1
