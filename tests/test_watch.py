@@ -55,6 +55,20 @@ def test_one_batch_gives_the_same_as_many(spark, tmp_path):
     assert got == passed_on(spark, one, [rows, END]) and len(got) > 6
 
 
+def test_changes_out_of_order_within_the_lateness(spark, tmp_path):
+    """A change that comes after a much newer one of its file still settled; nothing runs a row at a time in Python."""
+    rows = [(f"f{i % 2}", str(i), "change", i * 7919 % 2000) for i in range(40)]
+    changes = stream(spark, f"{tmp_path}/in", [rows[i : i + 8] for i in range(0, 40, 8)] + [END])
+    settled = W.settled(changes, 60, "1 hour")
+    assert "Python" not in settled._jdf.queryExecution().analyzed().toString()
+    q = settled.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append")
+    q.trigger(availableNow=True).start().awaitTermination()
+    times = {f: sorted(s for g, _, _, s in rows if g == f) for f in ("f0", "f1")}
+    want = {(f, s) for f, ts in times.items() for s, after in zip(ts, [*ts[1:], 10**6], strict=True) if after - s > 60 and s + 60 <= 10_000 - 3600}
+    got = [(r.file, int((r.at - T0).total_seconds())) for r in spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_a_batch_writes_the_rows_it_touches(spark, tmp_path):
     root = f"file://{tmp_path}/state"
     many = [(f"f{i}", "0", "add", i) for i in range(200)]
