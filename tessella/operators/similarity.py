@@ -97,6 +97,36 @@ def matrices(batch: pa.RecordBatch, i: int, kind: str = "float64") -> tuple[np.n
     return q_ids, np.frombuffer(batch.column("q")[i].as_buffer(), kind).reshape(len(q_ids), dim), ids, np.frombuffer(batch.column("m")[i].as_buffer(), kind).reshape(len(ids), dim)
 
 
+def _single(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(q, m, scale, error): both in single precision, no product beyond `scale`, none wrong by more than `error`.
+
+    Vectors that single precision may not hold stay as they are, with an infinite scale and without an error.
+    """
+    norms = [float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0))) for x in (q, m)]
+    if not all(n < 1e18 for n in norms):
+        return q, m, np.inf, 0.0
+    scale = norms[0] * norms[1]
+    return q.astype(np.float32), m.astype(np.float32), scale, (q.shape[1] + 8) * 2.0**-22 * scale
+
+
+def _found(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix with few hits: eight at a time are looked at."""
+    flat = hit.reshape(-1)
+    if len(flat) % 8:
+        at = np.flatnonzero(flat)
+    else:
+        some = np.flatnonzero(flat.view(np.uint64))
+        k, n = np.nonzero(flat.reshape(-1, 8)[some])
+        at = some[k] * 8 + n
+    return np.divmod(at, hit.shape[1])
+
+
+def _exact(q: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rounded scores of the pairs (i, j), each summed in its own order."""
+    parts = [np.round(np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], m[j[at : at + (1 << 17)]]), DIGITS) for at in range(0, len(i), 1 << 17)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def best_of_rows(score: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best kept scores of each row; of equals the first columns."""
     i, j = np.nonzero(keep)
@@ -274,6 +304,43 @@ def _steps(v: np.ndarray, width: float | None, thresholds: list[float]) -> Itera
         yield from ((float(low + i), int(n[i])) for i in np.flatnonzero(n).tolist())
 
 
+def _buckets(q: np.ndarray, m: np.ndarray, width: float, same: np.ndarray, unknown: np.ndarray | None, valid: np.ndarray | None) -> list[tuple[float, bool | None, int]] | None:
+    """(bucket, kind, count) of a cell's scores; None if single precision cannot tell them.
+
+    A product in single precision tells the bucket unless it is near an edge; those near one are summed as pairs are.
+    """
+    q1, m1, scale, error = _single(q, m)
+    far = scale / width + 2
+    near = (2 * error + SLACK) / width + far * 2.0**-20
+    if not far < 2000 or near > 0.05:
+        return None
+    half = int(far) + 1
+    span = 2 * half + 1
+    counts = np.zeros(3 * span, np.int64)
+    room, off = (np.empty((min(128, len(q)), len(m)), np.float32) for _ in range(2))
+    for lo in range(0, len(q), 128):
+        x = np.matmul(q1[lo : lo + 128], m1.T, out=room[: len(q[lo : lo + 128])])
+        x *= np.float32(1 / width)
+        gap = np.rint(x, out=off[: len(x)])
+        close = np.abs(np.subtract(x, gap, out=gap), out=gap) <= np.float32(near)
+        np.floor(x, out=x)
+        x += np.float32(half)
+        x += np.multiply(same[lo : lo + 128], np.float32(span), out=gap)
+        if unknown is not None:
+            x += np.multiply(unknown[lo : lo + 128], np.float32(2 * span), out=gap)
+        i, j = _found(close)
+        kind = x[i, j] // span
+        x[i, j] = 0  # no score is in the first bucket
+        if valid is not None:
+            x[~valid[lo : lo + 128]] = 0
+            some = valid[lo + i, j]
+            i, j, kind = i[some], j[some], kind[some]
+        v = np.floor(_exact(q[lo : lo + 128], m, i, j) / width) + half + span * kind
+        counts += np.bincount(x.astype(np.intp).reshape(-1), minlength=len(counts)) + np.bincount(v.astype(np.intp), minlength=len(counts))
+    counts[0] = 0
+    return [(float(n % span - half), (False, True, None)[n // span], int(counts[n])) for n in np.flatnonzero(counts).tolist()]
+
+
 def _tally(label: str, width: float | None, thresholds: list[float], stats: bool):
     """Counts of the pairs of a task's cells by step and by whether their labels are equal."""
 
@@ -287,6 +354,13 @@ def _tally(label: str, width: float | None, thresholds: list[float], stats: bool
                 code = names.indices.fill_null(-1).to_numpy()
                 mine, theirs = code[: len(q)], code[len(q) :]
                 unknown = (mine < 0)[:, None] | (theirs < 0)[None, :] if names.null_count else None
+                if width is not None and not stats:
+                    same = mine[:, None] == theirs[None, :]
+                    told = _buckets(q, m, width, same if unknown is None else same & ~unknown, unknown, valid)
+                    if told is not None:
+                        for step, kind, count in told:
+                            held.setdefault((str(step), kind), [step, kind, 0, np.inf, -np.inf, 0.0])[2] += count
+                        continue
                 for lo in range(0, len(q), 128):
                     score = q[lo : lo + 128] @ m.T
                     np.round(score, DIGITS, out=score)

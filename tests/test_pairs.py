@@ -133,3 +133,23 @@ def test_pairs_of_a_label_are_made_in_many_tasks(spark, monkeypatch):
 def test_few_queries_travel_in_full_blocks(spark):
     rows = corpus(spark, unit(160)).repartition(8)
     assert S.cells(rows.filter("id % 2 = 0"), rows).select("q_ids").distinct().count() == 1
+
+
+def test_single_precision_only_rules_out(spark):
+    """Scores at edges of buckets, floors and ranks come out as in double precision; what it cannot hold is left to that."""
+    m = np.zeros((64, 4))
+    m[:, 0], m[:, 1] = 1.0, [0.05 * (i % 8) + (i // 8 - 4) * 6e-7 for i in range(64)]
+    m[::8, 2] = [1e-9 * i for i in range(8)]
+    q, one = np.array([[0.0, 1.0, 0.0, 0.0]]), np.ones((1, 64), bool)
+    want = Counter(np.floor(np.round(q @ m.T, 6) / 0.05)[0].tolist())
+    assert Counter({b: n for b, _, n in S._buckets(q, m, 0.05, one, None, None)}) == want
+    single, _, scale, error = S._single(q, m)
+    assert single.dtype == np.float32 and 0 < error < 1e-5 * scale
+    for odd in (np.nan, np.inf, 1e30):
+        m[3, 3] = odd
+        assert S._single(q, m)[0].dtype == S._single(m, q)[0].dtype == np.float64 and S._buckets(q, m, 0.05, one, None, None) is None
+    r = np.random.default_rng(7).normal(size=(300, 8)) * 1e3
+    got = {(x.a, x.b) for x in S.all_pairs(corpus(spark, r), 5e6).collect()}
+    assert got == set(plain(r, 5e6)) and got
+    hit = np.random.default_rng(8).random((6, 40)) > 0.9
+    assert all(np.array_equal(a, b) for h in (hit, hit[:, :37].copy()) for a, b in zip(S._found(h), np.nonzero(h), strict=True))
