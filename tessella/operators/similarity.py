@@ -227,7 +227,8 @@ def _valid(q_ids: np.ndarray, ids: np.ndarray) -> np.ndarray | None:
 def _pairs(least: float, k: int | None, counted: bool):
     """Pairs of a task's cells that reach `least`, or the k best of these; or how many there are and how many are scored.
 
-    One matrix product rules out all others; those that remain are summed in their own order.
+    One matrix product in single precision rules out all others by more than its error; those that remain are summed in
+    double precision in their own order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,20 +237,22 @@ def _pairs(least: float, k: int | None, counted: bool):
             for n in range(len(batch)):
                 q_ids, q, ids, m = matrices(batch, n)
                 valid = _valid(q_ids, ids)
+                q1, m1, _, error = _single(q, m)
+                room = np.empty((min(256, len(q)), len(m)), q1.dtype)
                 for lo in range(0, len(q), 256):
                     mine = q_ids[lo : lo + 256]
-                    part = q[lo : lo + 256] @ m.T
-                    keep = part >= floor - SLACK
+                    part = np.matmul(q1[lo : lo + 256], m1.T, out=room[: len(mine)])
+                    keep = part >= floor - SLACK - 2 * error
                     if valid is not None:
                         keep &= valid[lo : lo + 256]
-                    i, j = np.nonzero(keep)
+                    i, j = _found(keep)
                     if counted:
                         all_ = keep.size if valid is None else np.count_nonzero(valid[lo : lo + 256])
                         yield pa.RecordBatch.from_arrays([pa.array([all_]), pa.array([len(i)])], names=["n_pairs", "n_scored"])
                         continue
                     for at in range(0, len(i), 1 << 17):
                         a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                        score = np.round(np.einsum("ij,ij->i", q[lo + a], m[b]), DIGITS)
+                        score = _exact(q, m, lo + a, b)
                         some = score >= floor
                         one, two, score = mine[a[some]], ids[b[some]], score[some]
                         found = np.minimum(one, two), np.maximum(one, two), score
