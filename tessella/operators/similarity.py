@@ -148,16 +148,23 @@ def _cell(k: int, least: float):
                 if key not in held:
                     held[key] = q_ids.copy(), np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
                 _, best, reached = held[key]
+                q1, m1, _, error = _single(q, m)
+                slack = SLACK + 2 * error
+                room = np.empty((min(256, len(q)), len(m)), q1.dtype)
                 for lo in range(0, len(q), 256):
-                    part = q[lo : lo + 256] @ m.T
-                    floor = np.maximum(reached[lo : lo + 256, -1], least)
-                    if len(ids) > k and np.isneginf(reached[lo : lo + 256, -1]).any():  # what is under the k-th best cannot be among these
-                        floor = np.maximum(floor, np.partition(part, len(ids) - k, axis=1)[:, len(ids) - k])
-                    i, j = np.nonzero(part >= floor[:, None] - SLACK)
-                    score = np.round(part[i, j], DIGITS)
+                    part = np.matmul(q1[lo : lo + 256], m1.T, out=room[: len(q[lo : lo + 256])])
+                    kth = reached[lo : lo + 256, -1]
+                    floor = np.maximum(kth, least)
+                    hit = part >= (floor - slack).astype(part.dtype)[:, None]
+                    new = np.flatnonzero(np.isneginf(kth))
+                    if len(new) and len(ids) > k and np.count_nonzero(hit) > 16 * k * len(part):  # what is under the k-th best cannot be among these
+                        floor[new] = np.maximum(floor[new], np.partition(part[new], len(ids) - k, axis=1)[:, len(ids) - k])
+                        hit = part >= (floor - slack).astype(part.dtype)[:, None]
+                    i, j = _found(hit)
+                    score = _exact(q[lo : lo + 256], m, i, j)
                     some = score >= least
                     rows = np.unique(i := i[some])
-                    i, j, score = i, ids[j[some]], score[some]
+                    j, score = ids[j[some]], score[some]
                     old, nth = np.nonzero(reached[lo + rows] > -np.inf)
                     i, j, score = np.concatenate([rows[old], i]), np.concatenate([best[lo + rows][old, nth], j]), np.concatenate([reached[lo + rows][old, nth], score])
                     order = np.lexsort((j, -score, i))
