@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -153,3 +157,50 @@ def test_single_precision_only_rules_out(spark):
     assert got == set(plain(r, 5e6)) and got
     hit = np.random.default_rng(8).random((6, 40)) > 0.9
     assert all(np.array_equal(a, b) for h in (hit, hit[:, :37].copy()) for a, b in zip(S._found(h), np.nonzero(h), strict=True))
+
+
+def test_rows_that_repeat_ids_meet_in_both_orders(spark):
+    """Two blocks of the same ids and other vectors meet once, with all pairs of different ids."""
+    m = unit(24)
+    side = lambda n: corpus(spark, m[12 * n : 12 * n + 12]).select("*", F.lit(n).alias("side"), (F.col("id") % 2).alias("label"))
+    rows = side(0).unionByName(side(1)).repartitionByRange(2, "side")
+    assert [list(b.ids) for b in S.blocks(rows).collect()] == [[*range(12)]] * 2
+    ids, s = [i % 12 for i in range(24)], np.round(m @ m.T, 6)
+    pairs = [(i, j) for i in range(24) for j in range(24) if ids[i] < ids[j]]
+    want = Counter((round(np.floor(s[i, j] / 0.05) * 0.05, 2), ids[i] % 2 == ids[j] % 2) for i, j in pairs)
+    assert {(r.bucket, r.is_dup): r.n for r in S.score_histogram_of_all(rows).collect()} == want
+    assert S.all_pairs(rows, -1.0).count() == len(pairs)
+
+
+def test_numbers_that_are_whole_in_four_bytes_travel_so(spark, small):
+    m = unit(90).astype(np.float32).astype(float)
+    rows = corpus(spark, m).withColumn("label", F.col("id") % 3)
+    assert all(len(b.m) == 4 * len(b.ids) * b.dim for b in S.blocks(rows).collect())
+    mixed = rows.unionByName(corpus(spark, unit(40, seed=5), range(100, 140)).withColumn("label", F.col("id") % 3))
+    assert {len(b.m) // (len(b.ids) * b.dim) for b in S.blocks(mixed).collect()} == {4, 8}
+    for some, v in ((rows, m), (mixed, np.concatenate([m, unit(40, seed=5)]))):
+        s, ids = np.round(v @ v.T, 6), [*range(90), *range(100, 140)]
+        want = Counter((round(np.floor(s[i, j] / 0.05) * 0.05, 2), ids[i] % 3 == ids[j] % 3) for i in range(len(v)) for j in range(i + 1, len(v)))
+        assert {(r.bucket, r.is_dup): r.n for r in S.score_histogram_of_all(some).collect()} == want
+        assert {(r.a, r.b) for r in S.all_pairs(some, 0.3).collect()} == {(ids[i], ids[j]) for i, j in plain(v, 0.3)}
+
+
+def test_products_stay_in_their_task_s_thread():
+    """BLAS gives large products to threads of all cores, which wait for each other where many tasks run."""
+    code = """
+import time, numpy as np
+from tessella.operators import similarity as S
+m = np.random.default_rng(3).normal(size=(1500, 64)) / 8
+same = np.ones((1500, 1500), bool)
+S._buckets(m, m, 0.05, same, None, None)
+a, b = time.process_time(), time.thread_time()
+for _ in range(5):
+    S._buckets(m, m, 0.05, same, None, None)
+print((time.process_time() - a) / (time.thread_time() - b))
+"""
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4", "PYTHONPATH": str(Path(__file__).parents[1])}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 1.2
+    r = np.random.default_rng(6)
+    for rows, n, dim in ((3, 5, 0), (70, 130, 1), (130, 333, 24), (64, 128, 64), (65, 129, 300), (9, 20, 5000)):
+        q, m = r.normal(size=(rows, dim)), r.normal(size=(n, dim))
+        assert np.allclose(S.product(q, m, np.empty((rows + 2, n))), q @ m.T)
