@@ -7,7 +7,7 @@ an aggregate, so nothing is looked up row by row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,24 +141,30 @@ def utility(exports: DataFrame, used: DataFrame, hops: DataFrame) -> DataFrame:
     return _verdict(exports.join(u, ["file", "name"], "left").join(t, ["file", "name"], "left")).select(*UTILITY)
 
 
-def utility_of_groups(names: DataFrame, files: DataFrame, used: DataFrame, hops: DataFrame) -> DataFrame:
+def utility_of_groups(names: DataFrame, files: DataFrame, used: DataFrame, hops: DataFrame, shorten: Callable[[Column], Column] = lambda d: d) -> DataFrame:
     """`utility` where every file (file, module) of a module exports all of its names (name, module); hops: (symbol, referencer).
 
-    The product of names and files is what comes out, but it is not shuffled: names meet their uses, a name with the files
-    that use it goes to the files of its module, and only the exports that no one imports are made there.
+    The product of names and files is what comes out, but it is not shuffled: names meet their uses, a name with those files
+    of its module that use it goes to the files of its module, and only the exports that no one imports are made there.
+    What a row of the product costs counts: the verdict, with its detail shortened, is made once a name, and a file is
+    sought by its hash before its path.
     """
     u = used.select(c("source_file").alias("file"), c("symbol").alias("name"), "importers", "type_importers")
     via = hops.groupBy(c("symbol").alias("name")).agg(F.array_sort(F.collect_set("referencer")).alias("via"))
     each = names.join(via, "name", "left")
     count = lambda rows, n: rows.groupBy("module").agg(F.count("*").alias(n))
     total = count(names, "n").join(count(files, "f"), "module").agg(F.coalesce(F.sum(c("n") * c("f")), F.lit(0)), F.coalesce(F.sum("f"), F.lit(0))).first()
-    near = F.broadcast(files) if total[1] <= BROADCAST_ROWS else files
-    hit = _verdict(each.join(u, "name").join(near, ["module", "file"]))
-    taken = u.groupBy("name").agg(F.collect_list("file").alias("taken"))
+    near = lambda rows: F.broadcast(rows) if total[1] <= BROADCAST_ROWS else rows
+    short = lambda rows: _verdict(rows).withColumn("detail", shorten(c("detail")))
+    hit = short(each.join(u, "name").join(near(files), ["module", "file"]))
+    own = u.select("name", "file").join(names, "name").join(near(files), ["module", "file"])
+    taken = own.groupBy("name", "module").agg(F.collect_set("file").alias("taken"))
     none = F.lit(None).cast("array<string>")
-    rest = _verdict(each.join(taken, "name", "left").withColumns({"importers": none, "type_importers": none}))
-    rest = rest.select("name", "module", "taken", "value", "confidence", "detail").repartition(min(TASKS, 1 + total[0] // ROWS_A_TASK), "name")
-    rest = rest.join(near, "module").filter(~F.coalesce(F.array_contains("taken", c("file")), F.lit(False)))
+    rest = short(each.join(taken, ["name", "module"], "left").withColumns({"importers": none, "type_importers": none}))
+    rest = rest.select("name", "module", "taken", F.transform("taken", lambda f: F.xxhash64(f)).alias("hashes"), "value", "confidence", "detail")
+    rest = rest.repartition(min(TASKS, 1 + total[0] // ROWS_A_TASK), "name")
+    found = F.array_contains("hashes", c("hash")) & F.array_contains("taken", c("file"))
+    rest = rest.join(near(files.withColumn("hash", F.xxhash64("file"))), "module").filter(~F.coalesce(found, F.lit(False)))
     return hit.select(*UTILITY).unionAll(rest.select(*UTILITY))
 
 

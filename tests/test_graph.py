@@ -107,3 +107,22 @@ def test_normalize(spark):
 ])
 def test_parse(file, text, want):
     assert parse_text(file, text)[2] == want
+
+
+def test_the_verdict_is_made_before_the_product_of_names_and_files(spark):
+    """Above the join with the files nothing is made of a detail, and only files of a name's module are looked through."""
+    names = spark.createDataFrame([(f"n{i}", i % 2) for i in range(4)], "name string, module int")
+    files = spark.createDataFrame([(f"f{i}", i % 2) for i in range(6)], "file string, module int")
+    used = G.usage(spark.createDataFrame([("n0", f"f{i}", "o", False) for i in range(5)], "symbol string, source_file string, importer string, type_only boolean"))
+    none = spark.createDataFrame([], "symbol string, referencer string")
+    out = G.utility_of_groups(names, files, used, none, lambda d: F.substring_index(d, " ", 1)).select("file", "name", F.col("detail").alias("why"))
+    want = [(f"f{i}", f"n{j}", "Runtime-imported" if j == 0 and i < 5 else "Exported") for i in range(6) for j in range(4) if i % 2 == j % 2]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    cut = next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+    above, least = [], depth[cut]
+    for i in range(cut - 1, -1, -1):
+        if depth[i] < least:
+            above, least = [*above, lines[i]], depth[i]
+    assert above and not [x for x in above if "substring_index" in x]
